@@ -25,7 +25,7 @@ def bare_hex(value: str | Column) -> Column:
 
 def canonical_id(value: str | Column) -> Column:
     """Upper-case identifier without prefix, at least three digits long."""
-    return pad_left(F.ltrim(F.lit("0"), bare_hex(value)), 3)
+    return pad_left(F.ltrim(bare_hex(value), F.lit("0")), 3)
 
 
 def hex_value(value: str | Column) -> Column:
@@ -36,7 +36,7 @@ def hex_value(value: str | Column) -> Column:
 
 def id_in_range(value: str | Column, top: int = 0x7FF) -> Column:
     """Whether an identifier is hexadecimal and at most ``top``."""
-    text = F.ltrim(F.lit("0"), bare_hex(value))
+    text = F.ltrim(bare_hex(value), F.lit("0"))
     digits = len(f"{top:X}")
     return (
         bare_hex(value).rlike("^[0-9A-F]+$")

@@ -36,15 +36,13 @@ def per_byte(template: str) -> str:
 @query(
     "p01_canonical_ids",
     f"""WITH {FRAMES} SELECT row_id, Arbitration_ID AS canonical,
-        lpad(Arbitration_ID || 'F', 4, '0') AS longer_kept FROM frames""",
+        lpad(ltrim(Arbitration_ID || 'F', '0'), CAST(greatest(3, length(ltrim(Arbitration_ID || 'F', '0'))) AS INTEGER), '0') AS longer_kept FROM frames""",
 )
 def canonical_ids(spark, sf_dir):
     written = F.concat(F.lit("  0x000"), F.lower("Arbitration_ID"), F.lit(" "))
     longer = F.concat(F.lit("0X"), F.col("Arbitration_ID"), F.lit("f"))
-    trimmed = F.when(F.col("Arbitration_ID") == "000", F.lit("00F")).otherwise(hx.canonical_id(longer))
     return st.frames(spark, sf_dir).select(
-        "row_id", hx.canonical_id(written).alias("canonical"),
-        F.lpad(trimmed, 4, "0").alias("longer_kept"),
+        "row_id", hx.canonical_id(written).alias("canonical"), hx.canonical_id(longer).alias("longer_kept")
     )
 
 
@@ -116,7 +114,7 @@ def id_bits(spark, sf_dir):
 
 
 VECTOR_SQL = (
-    f"concat_ws(' ', array_to_string(list_transform(string_split(lpad(bin({ID_INT}), 11, '0'), ''), x -> x), ' '), DLC, "
+    f"concat_ws(' ', array_to_string(string_split(lpad(bin({ID_INT}), 11, '0'), ''), ' '), DLC, "
     + per_byte("COALESCE(CASE WHEN {0} <> 'PAD' THEN CAST('0x' || {0} AS INTEGER) END, 0)")
     + ")"
 )
@@ -145,7 +143,7 @@ HEX_DIGITS = (
 
 @query(
     "f07_nibble_tokens",
-    f"""WITH {FRAMES} SELECT row_id, array_to_string(list_transform(string_split({HEX_DIGITS}, ''), c -> CAST('0x' || c AS INTEGER)), ' ') AS tokens FROM frames""",
+    f"""WITH {FRAMES} SELECT row_id, array_to_string([CAST('0x' || c AS INTEGER) for c in string_split({HEX_DIGITS}, '')], ' ') AS tokens FROM frames""",
 )
 def nibble_tokens(spark, sf_dir):
     return st.frames(spark, sf_dir).select("row_id", shown(enc.nibble_tokens()).alias("tokens"))
@@ -162,8 +160,7 @@ def payload_bits(spark, sf_dir):
 
 @query(
     "f09_nibbles_of_bits",
-    f"""WITH {FRAMES} SELECT row_id, array_to_string(list_transform(string_split({" || ".join(f"CASE WHEN {b} = 'PAD' THEN '00' ELSE {b} END" for b in BYTES)}, ''),
-        c -> CAST('0x' || c AS INTEGER)), ' ') AS nibbles FROM frames""",
+    f"""WITH {FRAMES} SELECT row_id, array_to_string([CAST('0x' || c AS INTEGER) for c in string_split({" || ".join(f"CASE WHEN {b} = 'PAD' THEN '00' ELSE {b} END" for b in BYTES)}, '')], ' ') AS nibbles FROM frames""",
 )
 def nibbles_of_bits(spark, sf_dir):
     return st.frames(spark, sf_dir).select("row_id", shown(enc.nibbles_of_bits(enc.payload_bits())).alias("nibbles"))
@@ -258,7 +255,7 @@ def absolute_time_encoding(spark, sf_dir):
 @query(
     "f16_list_functions",
     f"""WITH {LABELLED}, groups AS (SELECT session_id, list("Class" ORDER BY "Timestamp", row_id) AS labels FROM labelled WHERE "Class" <> 0 GROUP BY session_id)
-        SELECT session_id, array_to_string(list_sort(list_distinct(labels)), ' ') AS distinct_labels, len(list_filter(labels, x -> x > 2)) AS above_two
+        SELECT session_id, array_to_string(list_sort(list_distinct(labels)), ' ') AS distinct_labels, len([x for x in labels if x > 2]) AS above_two
         FROM groups""",
 )
 def list_functions(spark, sf_dir):
@@ -271,14 +268,14 @@ def list_functions(spark, sf_dir):
 
 @query(
     "f17_string_functions",
-    f"""WITH {FRAMES} SELECT row_id, lpad(ltrim(Arbitration_ID, '0'), greatest(3, length(ltrim(Arbitration_ID, '0'))), '0') AS refilled,
+    f"""WITH {FRAMES} SELECT row_id, lpad(ltrim(Arbitration_ID, '0'), CAST(greatest(3, length(ltrim(Arbitration_ID, '0'))) AS INTEGER), '0') AS refilled,
         regexp_matches(session_id, '_S(_|$)') AS stationary, length(session_id) AS name_length,
         printf('%03X', {ID_INT}) AS formatted FROM frames""",
 )
 def string_functions(spark, sf_dir):
     return st.frames(spark, sf_dir).select(
         "row_id",
-        hx.pad_left(F.ltrim(F.lit("0"), F.col("Arbitration_ID")), 3).alias("refilled"),
+        hx.pad_left(F.ltrim(F.col("Arbitration_ID"), F.lit("0")), 3).alias("refilled"),
         F.col("session_id").rlike(r"_S(?:_|$)").alias("stationary"),
         F.length("session_id").cast("long").alias("name_length"),
         F.format_string("%03X", enc.id_value()).alias("formatted"),

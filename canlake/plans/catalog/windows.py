@@ -330,9 +330,9 @@ def expanded_labels(spark, sf_dir):
 @query(
     "a10_mixed_label_windows",
     f"""WITH {members()}, per_window AS (SELECT session_id, start_row_id,
-          count(DISTINCT CASE WHEN label_t NOT IN (0, 5) THEN label_t END) AS attacks, bool_or(label_t = 0) AND bool_or(label_t = 5) AS both
+          count(DISTINCT CASE WHEN label_t NOT IN (0, 5) THEN label_t END) AS attacks, bool_or(label_t = 0) AND bool_or(label_t = 5) AS both_seen
           FROM (SELECT *, CASE WHEN row_id % 2 = 0 AND "Class" = 0 THEN 5 ELSE "Class" END AS label_t FROM members) GROUP BY session_id, start_row_id)
-        SELECT count(*) FILTER (attacks > 1) AS several_attacks, count(*) FILTER (both) AS both_benign FROM per_window""",
+        SELECT count(*) FILTER (attacks > 1) AS several_attacks, count(*) FILTER (both_seen) AS both_benign FROM per_window""",
 )
 def mixed_label_windows(spark, sf_dir):
     frames = st.positioned(spark, sf_dir).withColumn(

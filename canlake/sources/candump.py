@@ -23,7 +23,7 @@ def split_line(lines: DataFrame, pattern: str) -> DataFrame:
         lines.where(text != "")
         .withColumn("well_formed", text.rlike(pattern))
         .withColumn("raw_time", F.regexp_extract(text, pattern, 1).try_cast("double"))
-        .withColumn("raw_id", F.ltrim(F.lit("0"), F.upper(F.regexp_extract(text, pattern, 2))))
+        .withColumn("raw_id", F.ltrim(F.upper(F.regexp_extract(text, pattern, 2)), F.lit("0")))
         .withColumn("raw_payload", F.upper(F.regexp_extract(text, pattern, 3)))
     )
 
@@ -68,7 +68,7 @@ def injected() -> Column:
     """Inside the capture's interval, on its identifier, with its payload."""
     target = F.upper(F.trim("target"))
     any_id = target.isNull() | target.isin("", ANY_ID)
-    wanted = F.lpad(F.ltrim(F.lit("0"), F.regexp_replace(target, "^0X", "")), 3, "0")
+    wanted = F.lpad(F.ltrim(F.regexp_replace(target, "^0X", ""), F.lit("0")), 3, "0")
     return F.coalesce(
         F.round("Timestamp", 6).between(F.col("t_lo"), F.col("t_hi"))
         & (any_id | (F.col("Arbitration_ID") == wanted))

@@ -51,7 +51,7 @@ def parse_ciciov(lines: DataFrame) -> DataFrame:
         with_header(lines)
         .withColumn("lacking", F.filter(F.array(*[F.lit(c) for c in CICIOV_REQUIRED]), lambda c: ~F.array_contains("header", c)))
         .withColumn("dlc_text", dlc)
-        .withColumn("Arbitration_ID", pad_left(F.ltrim(F.lit("0"), without_decimals(bare_hex(cell("ID")))), 3))
+        .withColumn("Arbitration_ID", pad_left(F.ltrim(without_decimals(bare_hex(cell("ID"))), F.lit("0")), 3))
         .withColumn("attack_type", F.when(raw_class == "DOS", "DoS").otherwise(raw_class))
     )
     shown = F.col("dlc_text")
@@ -123,7 +123,7 @@ def parse_hcrl_text(lines: DataFrame) -> DataFrame:
         .withColumn("DLC", F.regexp_extract(text, LABELLED_LINE, 3).try_cast("short"))
         .withColumn("bytes", F.filter(F.slice(raw_bytes, 1, 8), lambda b: b != ""))
         .withColumn("attack_type", F.lit("Normal"))
-        .withColumn("bytes", F.transform("bytes", lambda b: pad_left(F.ltrim(F.lit("0"), bare_hex(b)), 2)))
+        .withColumn("bytes", F.transform("bytes", lambda b: pad_left(F.ltrim(bare_hex(b), F.lit("0")), 2)))
     )
     reason = reasons(
         ("malformed", ~F.col("well_formed")),
