@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from canlake.functions.hexfields import PAD, bare_hex, byte_or_zero, col, pad_left, payload_array
+from canlake.functions.hexfields import PAD, VALUES, bare_hex, col, or_zero, pad_left
 from canlake.schemas import BYTE_COLUMNS
 
 # Token vocabulary of the next-identifier detector.
@@ -13,66 +13,61 @@ VOID_TOKEN = 2304
 MASK_TOKEN = 2305
 VOCABULARY = 2306
 
+# Encodings that read ``id_number`` or ``value_0..7`` need ``hexfields.decoded`` first.
+ID = "id_number"
+
 
 def id_value(value: str | Column = "Arbitration_ID") -> Column:
     return F.conv(bare_hex(value), 16, 10).cast("int")
 
 
-def bits_of(number: Column, width: int) -> Column:
+def bits(number: Column, width: int) -> list[Column]:
     """The low ``width`` bits, most significant first."""
-    return F.array(*[F.shiftright(number, width - 1 - i).bitwiseAND(1) for i in range(width)])
+    return [F.shiftright(number, width - 1 - i).bitwiseAND(1) for i in range(width)]
 
 
 def id_bits(width: int = 11) -> Column:
-    return bits_of(id_value(), width)
+    return F.array(*bits(F.col(ID), width))
 
 
-def numeric_fields() -> Column:
+def numeric_values() -> list[Column]:
     """DLC and the eight byte values: the part of the frame vector that is normalised."""
-    return F.array(F.col("DLC").cast("double"), *[byte_or_zero(c).cast("double") for c in BYTE_COLUMNS])
+    return [F.col("DLC").cast("double"), *[or_zero(v).cast("double") for v in VALUES]]
 
 
 def frame_vector(width: int = 11) -> Column:
     """Identifier bits, DLC and bytes in one array of doubles (20 values for 11 bits)."""
-    return F.concat(F.transform(id_bits(width), lambda b: b.cast("double")), numeric_fields())
-
-
-def z_score(values: Column, mean: Column, std: Column) -> Column:
-    return F.zip_with(
-        F.zip_with(values, mean, lambda x, m: x - m), std, lambda centred, s: centred / s
-    )
+    return F.array(*[b.cast("double") for b in bits(F.col(ID), width)], *numeric_values())
 
 
 def id_nibbles_and_bytes() -> Column:
-    """Four identifier nibbles, then the eight byte values."""
-    digits = F.right(pad_left(bare_hex("Arbitration_ID"), 4), F.lit(4))
-    nibbles = [F.conv(F.substring(digits, i + 1, 1), 16, 10).cast("int") for i in range(4)]
-    return F.concat(F.array(*nibbles), payload_array())
+    """Four identifier nibbles (of the last four digits), then the eight byte values."""
+    nibbles = [F.shiftright(F.col(ID), s).bitwiseAND(15) for s in (12, 8, 4, 0)]
+    return F.array(*nibbles, *[or_zero(v) for v in VALUES])
 
 
 def nibble_tokens() -> Column:
     """Three identifier nibbles, then high and low nibble of every byte (19 tokens)."""
-    number = id_value()
+    number = F.col(ID).bitwiseAND(0x7FF)
     head = [F.shiftright(number, s).bitwiseAND(15) for s in (8, 4, 0)]
     tail = []
-    for name in BYTE_COLUMNS:
-        value = byte_or_zero(name)
-        tail += [F.shiftright(value, 4).bitwiseAND(15), value.bitwiseAND(15)]
+    for value in VALUES:
+        tail += [F.shiftright(or_zero(value), 4).bitwiseAND(15), or_zero(value).bitwiseAND(15)]
     return F.array(*head, *tail)
 
 
 def payload_bits() -> Column:
     """8 x 8 bit matrix of the payload, most significant bit first."""
-    return F.array(*[bits_of(byte_or_zero(name), 8) for name in BYTE_COLUMNS])
+    return F.array(*[F.array(*bits(or_zero(v), 8)) for v in VALUES])
 
 
-def nibbles_of_bits(matrix: Column) -> Column:
-    """Sixteen nibbles out of an 8 x 8 bit matrix."""
-    flat = F.flatten(matrix)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(15)),
-        lambda n: F.aggregate(F.slice(flat, n * 4 + 1, 4), F.lit(0), lambda acc, bit: acc * 2 + bit),
-    )
+def nibbles_of_bits(matrix: str) -> Column:
+    """Sixteen nibbles out of a column holding an 8 x 8 bit matrix."""
+    out = []
+    for row in range(8):
+        cells = [F.get(F.get(F.col(matrix), F.lit(row)), F.lit(i)) for i in range(8)]
+        out += [a * 8 + b * 4 + c * 2 + d for a, b, c, d in (cells[:4], cells[4:])]
+    return F.array(*out)
 
 
 def id_token(value: str | Column = "Arbitration_ID") -> Column:
@@ -95,7 +90,7 @@ def byte_token(value: str | Column) -> Column:
 
 
 def payload_tokens() -> Column:
-    return payload_array(byte_token)
+    return F.array(*[byte_token(name) for name in BYTE_COLUMNS])
 
 
 def frame_text() -> Column:
@@ -140,5 +135,4 @@ def elapsed_ms(timestamp: Column, origin: Column) -> Column:
 
 def byte_lane(index: int) -> Column:
     """Byte value scaled into the unit lane ``[index, index + 1]``; null for a missing byte."""
-    value = F.when(F.col(BYTE_COLUMNS[index]) != PAD, F.conv(F.col(BYTE_COLUMNS[index]), 16, 10).cast("double"))
-    return F.lit(float(index)) + value / F.lit(255.0)
+    return F.lit(float(index)) + F.col(VALUES[index]) / F.lit(255.0)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from canlake.schemas import BYTE_COLUMNS
 
 PAD = "PAD"
+VALUES = [f"value_{i}" for i in range(8)]
 
 
 def col(value: str | Column) -> Column:
@@ -38,10 +39,9 @@ def id_in_range(value: str | Column, top: int = 0x7FF) -> Column:
     """Whether an identifier is hexadecimal and at most ``top``."""
     text = F.ltrim(bare_hex(value), F.lit("0"))
     digits = len(f"{top:X}")
-    return (
-        bare_hex(value).rlike("^[0-9A-F]+$")
-        & (F.length(text) <= digits)
-        & (F.coalesce(F.conv(F.when(F.length(text) <= digits, text), 16, 10).cast("int"), F.lit(0)) <= top)
+    short = F.when(F.length(text) <= digits, text)
+    return bare_hex(value).rlike("^[0-9A-F]+$") & (
+        F.when(text == "", 0).otherwise(F.coalesce(F.conv(short, 16, 10).cast("int"), F.lit(top + 1))) <= top
     )
 
 
@@ -67,6 +67,28 @@ def byte_or_zero(value: str | Column) -> Column:
     return F.coalesce(byte_value(value), F.lit(0))
 
 
+def decoded(frames: DataFrame) -> DataFrame:
+    """Adds ``id_number`` and ``value_0..7`` (null for a missing byte).
+
+    The encodings use each number many times; parsed in a projection of their own
+    the hex texts are parsed once.
+    """
+    return frames.withColumns(
+        {
+            "id_number": F.conv(bare_hex("Arbitration_ID"), 16, 10).cast("int"),
+            **{value: byte_value(name) for value, name in zip(VALUES, BYTE_COLUMNS)},
+        }
+    )
+
+
+def without_decoded(frames: DataFrame) -> DataFrame:
+    return frames.drop("id_number", *VALUES)
+
+
+def or_zero(value: str) -> Column:
+    return F.coalesce(F.col(value), F.lit(0))
+
+
 def bytes_of_payload(payload: str | Column) -> list[Column]:
     """Eight two-digit columns cut out of a 16-digit payload."""
     return [F.substring(col(payload), 2 * i + 1, 2).alias(name) for i, name in enumerate(BYTE_COLUMNS)]
@@ -75,7 +97,3 @@ def bytes_of_payload(payload: str | Column) -> list[Column]:
 def bytes_of_list(parts: Column) -> list[Column]:
     """Eight columns from an array of byte texts; missing entries become ``PAD``."""
     return [F.coalesce(F.get(parts, F.lit(i)), F.lit(PAD)).alias(name) for i, name in enumerate(BYTE_COLUMNS)]
-
-
-def payload_array(as_value=byte_or_zero) -> Column:
-    return F.array(*[as_value(name) for name in BYTE_COLUMNS])

@@ -11,6 +11,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from canlake.functions.hexfields import decoded
 from canlake.operators import normalise
 from canlake.operators.scoring import macro_metrics
 from canlake.operators.windows import flattened_vectors
@@ -30,7 +31,7 @@ class Detector:
 
 
 def frame_inputs(frames: DataFrame, stats: normalise.NormStats) -> DataFrame:
-    return frames.withColumn("features", array_to_vector(normalise.scaled_frame_vector(stats))).withColumn(
+    return decoded(frames).withColumn("features", array_to_vector(normalise.scaled_frame_vector(stats))).withColumn(
         "label", F.col("Class").cast("double")
     )
 

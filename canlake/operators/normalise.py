@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from canlake.functions import encodings as enc
-from canlake.functions.hexfields import byte_or_zero
+from canlake.functions.hexfields import VALUES, decoded, or_zero
 from canlake.schemas import BYTE_COLUMNS
 
 NUMERIC_COLUMNS = ["DLC", *BYTE_COLUMNS]
@@ -28,7 +28,8 @@ class NormStats:
 
 
 def numeric(name: str) -> Column:
-    return F.col("DLC").cast("double") if name == "DLC" else byte_or_zero(name).cast("double")
+    """A numeric field of a decoded frame."""
+    return (F.col("DLC") if name == "DLC" else or_zero(VALUES[BYTE_COLUMNS.index(name)])).cast("double")
 
 
 def usable(std: Column) -> Column:
@@ -48,7 +49,7 @@ def in_rows(wide: DataFrame) -> DataFrame:
 def frame_stats(frames: DataFrame) -> DataFrame:
     """Mean and population deviation per numeric column over frames."""
     return in_rows(
-        frames.agg(
+        decoded(frames).agg(
             *[F.avg(numeric(n)).alias(f"{n}_mean") for n in NUMERIC_COLUMNS],
             *[F.stddev_pop(numeric(n)).alias(f"{n}_std") for n in NUMERIC_COLUMNS],
         )
@@ -65,7 +66,7 @@ def window_count(size: int, stride: int) -> Column:
 
 def window_stats(frames: DataFrame, sessions: DataFrame, size: int, stride: int) -> DataFrame:
     """Same figures when every full window counts its frames: a weighted single pass."""
-    weighted = frames.join(sessions.select("session_id", "n_frames"), "session_id").withColumn(
+    weighted = decoded(frames).join(sessions.select("session_id", "n_frames"), "session_id").withColumn(
         "w", window_count(size, stride).cast("double")
     )
     sums = weighted.agg(
@@ -96,15 +97,11 @@ def fit(stats: DataFrame) -> NormStats:
     )
 
 
-def literal_array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def scaled_numeric(stats: NormStats) -> Column:
+def scaled_values(stats: NormStats) -> list[Column]:
     """The nine numeric fields as z-scores of the training statistics."""
-    return enc.z_score(enc.numeric_fields(), literal_array(stats.mean), literal_array(stats.std))
+    return [(x - F.lit(m)) / F.lit(s) for x, m, s in zip(enc.numeric_values(), stats.mean, stats.std)]
 
 
 def scaled_frame_vector(stats: NormStats, width: int = 11) -> Column:
-    """Identifier bits as they are, numeric fields as z-scores."""
-    return F.concat(F.transform(enc.id_bits(width), lambda b: b.cast("double")), scaled_numeric(stats))
+    """Identifier bits as they are, numeric fields as z-scores; needs a decoded frame."""
+    return F.array(*[b.cast("double") for b in enc.bits(F.col(enc.ID), width)], *scaled_values(stats))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from canlake.functions.encodings import hertz, id_value
-from canlake.functions.hexfields import byte_value
+from canlake.functions.hexfields import VALUES, decoded
 from canlake.functions.labels import is_benign
 from canlake.operators.ordering import with_ordinal
 from canlake.schemas import BYTE_COLUMNS, LabelSchema
@@ -110,11 +110,8 @@ def byte_patterns(laid_out: DataFrame) -> DataFrame:
     Partitions of the layout are the blocks; the last known values before a block
     come in as one carry row, so a dominant identifier is worked on block by block.
     """
-    values = laid_out.select(
-        "Arbitration_ID", "DLC", "part", "slot",
-        *[byte_value(c).alias(f"v{i}") for i, c in enumerate(BYTE_COLUMNS)],
-    ).withColumn("core", F.lit(True))
-    names = [f"v{i}" for i in range(8)]
+    names = VALUES
+    values = decoded(laid_out).select("Arbitration_ID", "DLC", "part", "slot", *names, F.lit(True).alias("core"))
     ahead = W.partitionBy("Arbitration_ID").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     lasts = values.groupBy("Arbitration_ID", "part").agg(
         *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("slot"))).alias(n) for n in names]

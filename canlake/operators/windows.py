@@ -12,6 +12,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from canlake.functions import encodings as enc
+from canlake.functions.hexfields import decoded
 from canlake.functions.labels import is_benign
 from canlake.operators.normalise import NormStats, scaled_frame_vector
 from canlake.schemas import LabelSchema
@@ -173,7 +174,7 @@ def relabel(index: DataFrame, frames: DataFrame, rule: str) -> DataFrame:
 def flattened_vectors(frames: DataFrame, size: int, stride: int, stats: NormStats | None = None) -> DataFrame:
     """One vector of ``size`` frame vectors per window, normalised when stats are given."""
     vector = F.col("vector")
-    base = frames.withColumn("vector", enc.frame_vector() if stats is None else scaled_frame_vector(stats))
+    base = decoded(frames).withColumn("vector", enc.frame_vector() if stats is None else scaled_frame_vector(stats))
     expanded = frames_in_windows(base, size, stride, ["row_id", "Class", "vector"])
     return collect_windows(
         expanded, ["session_id", "window"], size,

@@ -25,6 +25,10 @@ def micro(array):
     return F.array_join(F.transform(array, lambda x: F.round(x * 1e6).cast("long").cast("string")), " ")
 
 
+def decoded_frames(spark, sf_dir):
+    return hx.decoded(st.frames(spark, sf_dir))
+
+
 ID_INT = "CAST('0x' || Arbitration_ID AS INTEGER)"
 JOIN8 = "concat_ws(' ', {})"
 
@@ -110,7 +114,7 @@ def hex_values(spark, sf_dir):
     f"""WITH {FRAMES} SELECT row_id, lpad(bin({ID_INT}), 11, '0') AS bits FROM frames""",
 )
 def id_bits(spark, sf_dir):
-    return st.frames(spark, sf_dir).select("row_id", shown(enc.id_bits(), "").alias("bits"))
+    return decoded_frames(spark, sf_dir).select("row_id", shown(enc.id_bits(), "").alias("bits"))
 
 
 VECTOR_SQL = (
@@ -122,7 +126,7 @@ VECTOR_SQL = (
 
 @query("f03_frame_vectors", f"WITH {FRAMES} SELECT row_id, {VECTOR_SQL} AS vector FROM frames")
 def frame_vectors(spark, sf_dir):
-    return st.frames(spark, sf_dir).select(
+    return decoded_frames(spark, sf_dir).select(
         "row_id", shown(F.transform(enc.frame_vector(), lambda x: x.cast("int"))).alias("vector")
     )
 
@@ -133,7 +137,7 @@ def frame_vectors(spark, sf_dir):
         {per_byte("COALESCE(CASE WHEN {0} <> 'PAD' THEN CAST('0x' || {0} AS INTEGER) END, 0)")}) AS features FROM frames""",
 )
 def id_nibbles_and_bytes(spark, sf_dir):
-    return st.frames(spark, sf_dir).select("row_id", shown(enc.id_nibbles_and_bytes()).alias("features"))
+    return decoded_frames(spark, sf_dir).select("row_id", shown(enc.id_nibbles_and_bytes()).alias("features"))
 
 
 HEX_DIGITS = (
@@ -146,7 +150,7 @@ HEX_DIGITS = (
     f"""WITH {FRAMES} SELECT row_id, array_to_string([CAST('0x' || c AS INTEGER) for c in string_split({HEX_DIGITS}, '')], ' ') AS tokens FROM frames""",
 )
 def nibble_tokens(spark, sf_dir):
-    return st.frames(spark, sf_dir).select("row_id", shown(enc.nibble_tokens()).alias("tokens"))
+    return decoded_frames(spark, sf_dir).select("row_id", shown(enc.nibble_tokens()).alias("tokens"))
 
 
 @query(
@@ -155,7 +159,7 @@ def nibble_tokens(spark, sf_dir):
 )
 def payload_bits(spark, sf_dir):
     rows = F.transform(enc.payload_bits(), lambda r: F.array_join(F.transform(r, lambda b: b.cast("string")), ""))
-    return st.frames(spark, sf_dir).select("row_id", F.array_join(rows, "/").alias("bits"))
+    return decoded_frames(spark, sf_dir).select("row_id", F.array_join(rows, "/").alias("bits"))
 
 
 @query(
@@ -163,7 +167,8 @@ def payload_bits(spark, sf_dir):
     f"""WITH {FRAMES} SELECT row_id, array_to_string([CAST('0x' || c AS INTEGER) for c in string_split({" || ".join(f"CASE WHEN {b} = 'PAD' THEN '00' ELSE {b} END" for b in BYTES)}, '')], ' ') AS nibbles FROM frames""",
 )
 def nibbles_of_bits(spark, sf_dir):
-    return st.frames(spark, sf_dir).select("row_id", shown(enc.nibbles_of_bits(enc.payload_bits())).alias("nibbles"))
+    matrices = decoded_frames(spark, sf_dir).select("row_id", enc.payload_bits().alias("matrix"))
+    return matrices.select("row_id", shown(enc.nibbles_of_bits("matrix")).alias("nibbles"))
 
 
 def _token(b: str) -> str:
@@ -289,7 +294,7 @@ def string_functions(spark, sf_dir):
 )
 def display_scales(spark, sf_dir):
     layout = st.layout(spark, sf_dir)
-    return layout.frames.join(layout.sessions.select("session_id", "t_first"), "session_id").select(
+    return hx.decoded(layout.frames).join(layout.sessions.select("session_id", "t_first"), "session_id").select(
         "row_id",
         F.round(enc.elapsed_ms(F.col("Timestamp"), F.col("t_first")), 3).alias("elapsed_ms"),
         F.round(enc.byte_lane(3), 9).alias("lane_3"),

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from canlake.functions.labels import class_id, is_benign
 from canlake.operators import audits, deltas, normalise, ordering, rolling, traffic
-from canlake.functions.encodings import numeric_fields
 from canlake.plans import standin as st
 from canlake.plans.catalog.registry import query
 from canlake.plans.catalog.twins import BYTES, FRAMES, LABELLED, PREPARED, number, zero
@@ -234,10 +233,10 @@ def frame_norm_stats(spark, sf_dir):
 def scaled_numeric_fields(spark, sf_dir):
     base = st.frames(spark, sf_dir)
     stats = normalise.fit(normalise.frame_stats(base.where("attack_type = 'Normal'")))
-    scaled = base.withColumn("z", normalise.scaled_numeric(stats))
-    return scaled.select(
+    scaled = normalise.scaled_values(stats)
+    return normalise.decoded(base).select(
         "row_id",
-        *[(F.round(F.get("z", F.lit(i)), 6) + 0.0).alias(f"z_{c}") for i, c in enumerate(normalise.NUMERIC_COLUMNS)],
+        *[(F.round(z, 6) + 0.0).alias(f"z_{c}") for c, z in zip(normalise.NUMERIC_COLUMNS, scaled)],
     )
 
 

@@ -73,7 +73,8 @@ def swarm_offsets(spark, sf_dir):
 def raw_capture_audit(spark, sf_dir):
     from canlake.sources.parsing import cell, has_column, with_header
 
-    lines = with_header(st.log_lines(spark, sf_dir, "car_hacking_attack_defense"))
+    wanted = ["Timestamp", "SubClass", "Class"]
+    lines = with_header(st.log_lines(spark, sf_dir, "car_hacking_attack_defense"), wanted)
     sub = has_column("SubClass")
     return audits.capture_audit(
         lines.select(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from canlake.functions import labels
-from canlake.functions.hexfields import bytes_of_payload, hex_value
-from canlake.sources.parsing import canonical, reasons, with_first_time
+from canlake.functions.hexfields import bytes_of_payload
+from canlake.sources.parsing import canonical, group, matched, reasons, with_capture_facts
 
 # Line formats and identifier limits.
-ROAD_LINE = r"^\(([^)]+)\)\s+\S+\s+([0-9A-Fa-f]+)#([0-9A-Fa-f]*)"
+ROAD_LINE = r"(?s)^\(([^)]+)\)\s+\S+\s+([0-9A-Fa-f]+)#([0-9A-Fa-f]*).*$"
 MIRGU_LINE = r"^\(([^)]+)\)\s+\S+\s+([0-9A-Fa-f]+)#([0-9A-Fa-f]*)\s+([01])\s*$"
 ROAD_SCOPE = 0x700
 ROAD_LIMIT = 0xFFF
@@ -17,29 +17,27 @@ MIRGU_LIMIT = 0x7FF
 ANY_ID = "XXX"
 
 
-def split_line(lines: DataFrame, pattern: str) -> DataFrame:
-    text = F.trim("value")
-    return (
-        lines.where(text != "")
-        .withColumn("well_formed", text.rlike(pattern))
-        .withColumn("raw_time", F.regexp_extract(text, pattern, 1).try_cast("double"))
-        .withColumn("raw_id", F.ltrim(F.upper(F.regexp_extract(text, pattern, 2)), F.lit("0")))
-        .withColumn("raw_payload", F.upper(F.regexp_extract(text, pattern, 3)))
-    )
-
+def with_fields(lines: DataFrame) -> DataFrame:
+    """Relative time, identifier, raw and left-padded payload, DLC.
 
-def normal_fields(matched: DataFrame, limit: int) -> DataFrame:
-    """Relative time, identifier, left-padded payload and DLC."""
-    small = F.length("raw_id") <= 3
-    number = F.when(small, F.coalesce(hex_value("raw_id"), F.lit(0)))
+    ``id_number`` is -1 for an identifier of more than three significant digits.
+    """
+    raw_id = F.ltrim(F.upper(group(2)), F.lit("0"))
+    short = F.length("raw_id") <= 3
     return (
-        with_first_time(matched)
-        .withColumn("id_number", number)
-        .withColumn("id_ok", small & (number <= limit))
-        .withColumn("Arbitration_ID", F.lpad("raw_id", 3, "0"))
-        .withColumn("Timestamp", F.col("raw_time") - F.col("t_first"))
-        .withColumn("payload", F.lpad("raw_payload", 16, "0"))
-        .withColumn("DLC", F.floor(F.length("raw_payload") / 2))
+        lines.withColumns(
+            {"raw_time": group(1).try_cast("double"), "raw_id": raw_id, "raw_payload": F.upper(group(3))}
+        )
+        .withColumns(
+            {
+                "id_number": F.when(short, F.conv(F.lpad("raw_id", 3, "0"), 16, 10).cast("int")).otherwise(-1),
+                "Arbitration_ID": F.lpad("raw_id", 3, "0"),
+                "Timestamp": F.col("raw_time") - F.col("t_first"),
+                "payload": F.lpad("raw_payload", 16, "0"),
+                "digits": F.length("raw_payload"),
+            }
+        )
+        .withColumn("DLC", F.shiftright("digits", 1))
     )
 
 
@@ -79,44 +77,41 @@ def injected() -> Column:
 
 def parse_road(lines: DataFrame, injections: DataFrame) -> DataFrame:
     """ROAD frames; the injection table has one row per capture and joins on it."""
-    fields = normal_fields(split_line(lines, ROAD_LINE), ROAD_LIMIT)
-    length = F.length("raw_payload")
+    family = labels.road_family(F.col("session_id"))
+    fields = with_fields(with_capture_facts(matched(lines, ROAD_LINE, 3), family))
+    digits = F.col("digits")
     reason = reasons(
         ("malformed", ~F.col("well_formed")),
         ("bad_time", F.col("raw_time").isNull()),
-        ("id_out_of_range", ~F.col("id_ok")),
+        ("id_out_of_range", ~F.col("id_number").between(0, ROAD_LIMIT)),
         ("out_of_scope", F.col("id_number") > ROAD_SCOPE),
-        ("bad_payload", (length == 0) | (length % 2 == 1) | (length > 16)),
+        ("bad_payload", (digits == 0) | (digits % 2 == 1) | (digits > 16)),
     )
-    family = labels.road_family(F.col("session_id"))
+    attack = F.when(F.col("family").isNotNull() & injected(), F.col("family")).otherwise("Normal")
     return canonical(
         fields.join(injections, "session_id", "left")
-        .withColumn("attack_type", F.when(family.isNotNull() & injected(), family).otherwise("Normal"))
-        .withColumn("reject_reason", reason)
+        .withColumns({"attack_type": attack, "reject_reason": reason})
         .select("*", *bytes_of_payload("payload"))
     )
 
 
 def parse_mirgu(lines: DataFrame) -> DataFrame:
     """CAN-MIRGU frames; an empty payload is all zeros, labels come from the line flag."""
-    fields = normal_fields(split_line(lines, MIRGU_LINE), MIRGU_LIMIT).withColumn(
-        "flag", F.regexp_extract(F.trim("value"), MIRGU_LINE, 4)
-    )
-    length = F.length("raw_payload")
     stem = F.col("session_id")
-    family = labels.mirgu_family(F.col("path"), stem)
+    by_name = labels.mirgu_family(F.col("path"), stem)
+    fields = with_fields(with_capture_facts(matched(lines, MIRGU_LINE, 4), by_name))
+    digits, family = F.col("digits"), F.col("family")
     exact = labels.compound_family(stem, family, F.col("Arbitration_ID"), F.col("Timestamp"))
     reason = reasons(
         ("malformed", ~F.col("well_formed")),
         ("bad_time", F.col("raw_time").isNull()),
-        ("id_out_of_range", ~F.col("id_ok")),
-        ("bad_payload", (length % 2 == 1) | (length > 16)),
+        ("id_out_of_range", ~F.col("id_number").between(0, MIRGU_LIMIT)),
+        ("bad_payload", (digits % 2 == 1) | (digits > 16)),
         ("unknown_family", family.isNull()),
     )
+    attack = F.when((family == "Normal") | (group(4) == "0"), "Normal").otherwise(exact)
     return canonical(
-        fields.withColumn(
-            "attack_type", F.when((family == "Normal") | (F.col("flag") == "0"), "Normal").otherwise(exact)
+        fields.withColumns({"attack_type": attack, "reject_reason": reason}).select(
+            "*", *bytes_of_payload("payload")
         )
-        .withColumn("reject_reason", reason)
-        .select("*", *bytes_of_payload("payload"))
     )

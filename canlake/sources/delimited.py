@@ -1,20 +1,28 @@
-"""Comma-separated and labelled-text dialects."""
+"""Comma-separated and labelled-text dialects.
+
+Upper case, ``0x`` prefixes and trailing decimals are dealt with on the whole line
+before it is cut into cells, instead of cell by cell.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from canlake.functions import labels
-from canlake.functions.hexfields import PAD, bare_hex, bytes_of_list, canonical_id, pad_left
+from canlake.functions.hexfields import PAD, canonical_id, pad_left
 from canlake.schemas import BYTE_COLUMNS
-from canlake.sources.parsing import canonical, cell, has_column, reasons, with_header
+from canlake.sources.parsing import (
+    canonical, cell, filled, group, has_column, matched, once, place, reasons, with_header,
+)
 
 # Line format of the labelled text, columns of the headed CSVs.
-LABELLED_LINE = r"Timestamp:\s*(\S+)\s+ID:\s*(\S+)\s+\S+\s+DLC:\s*(\d+)\s*(.*)$"
-CICIOV_REQUIRED = ("ID", "label", "specific_class", *[f"DATA_{i}" for i in range(8)])
+LABELLED_LINE = r"^.*?Timestamp:\s*(\S+)\s+ID:\s*(\S+)\s+\S+\s+DLC:\s*(\d+)\s*(.*)$"
+CICIOV_REQUIRED = ["ID", "label", "specific_class", *[f"DATA_{i}" for i in range(8)]]
 RAGGED_WIDTH = 12
 KNOWN_BYTE = "^([0-9a-f]{1,2}|[0-9A-F]{1,2})$"
 HEX_TEXT = "^(0[xX])?[0-9A-Fa-f]+$"
+HEX_PREFIX = r"(^|,|\s)\s*0X"
+DECIMALS = r"\.[0-9]+(?=\s*(,|$))"
 
 
 def parse_attack_defense(lines: DataFrame) -> DataFrame:
@@ -22,55 +30,52 @@ def parse_attack_defense(lines: DataFrame) -> DataFrame:
 
     Bytes stay as written; extra bytes are ignored.
     """
+    rows = with_header(lines, ["Timestamp", "Arbitration_ID", "DLC", "Data", "SubClass", "Class"])
     label = F.when(has_column("SubClass"), cell("SubClass")).when(has_column("Class"), cell("Class"))
-    rows = (
-        with_header(lines)
-        .withColumn("Timestamp", cell("Timestamp").try_cast("double"))
-        .withColumn("Arbitration_ID", canonical_id(cell("Arbitration_ID")))
-        .withColumn("DLC", F.trim(cell("DLC")).try_cast("short"))
-        .withColumn("attack_type", F.trim(F.coalesce(label, F.lit("Normal"))))
-        .withColumn("bytes", F.split(cell("Data"), " "))
+    rows = rows.withColumns(
+        {
+            "Timestamp": cell("Timestamp").try_cast("double"),
+            "Arbitration_ID": canonical_id(cell("Arbitration_ID")),
+            "DLC": F.trim(cell("DLC")).try_cast("short"),
+            "attack_type": F.trim(F.coalesce(label, F.lit("Normal"))),
+            "bytes": F.split(cell("Data"), " "),
+        }
     )
     reason = reasons(
         ("bad_time", F.col("Timestamp").isNull()),
         ("bad_id", F.col("Arbitration_ID").isNull()),
         ("bad_dlc", F.col("DLC").isNull()),
     )
-    return canonical(rows.withColumn("reject_reason", reason).select("*", *bytes_of_list(F.col("bytes"))))
-
-
-def without_decimals(text: Column) -> Column:
-    return F.regexp_replace(text, r"\.[0-9]+$", "")
+    data = [F.coalesce(F.get("bytes", F.lit(i)), F.lit(PAD)).alias(n) for i, n in enumerate(BYTE_COLUMNS)]
+    return canonical(rows.withColumn("reject_reason", reason).select("*", *data))
 
 
 def parse_ciciov(lines: DataFrame) -> DataFrame:
     """Header CSV without time; bracketed or absent DLC means 8, blank bytes are ``PAD``."""
+    rows = with_header(lines, [*CICIOV_REQUIRED, "DLC"])
+    plain = F.regexp_replace(F.regexp_replace(F.upper("value"), HEX_PREFIX, "$1"), DECIMALS, "")
+    rows = once(rows, "hex", F.split(plain, r"\s*,\s*", -1))
+    lacking = F.lit(False)
+    for name in CICIOV_REQUIRED:
+        lacking = lacking | ~has_column(name)
+    shown = F.trim(F.translate(cell("DLC", "hex"), "[]\t\r\n", "     "))
     raw_class = F.upper(F.trim(cell("specific_class")))
-    dlc = F.regexp_replace(cell("DLC"), r"^[\[\] \t\r\n]+|[\[\] \t\r\n]+$", "")
-    rows = (
-        with_header(lines)
-        .withColumn("lacking", F.filter(F.array(*[F.lit(c) for c in CICIOV_REQUIRED]), lambda c: ~F.array_contains("header", c)))
-        .withColumn("dlc_text", dlc)
-        .withColumn("Arbitration_ID", pad_left(F.ltrim(without_decimals(bare_hex(cell("ID"))), F.lit("0")), 3))
-        .withColumn("attack_type", F.when(raw_class == "DOS", "DoS").otherwise(raw_class))
-    )
-    shown = F.col("dlc_text")
-    rows = rows.withColumn(
-        "DLC",
-        F.when(shown.isNull() | (shown == ""), F.lit(8).cast("short")).otherwise(
-            without_decimals(shown).try_cast("short")
-        ),
-    )
+    data = {}
     for i, name in enumerate(BYTE_COLUMNS):
-        raw = cell(f"DATA_{i}")
-        rows = rows.withColumn(
-            name,
-            F.when(raw.isNull() | (F.trim(raw) == ""), PAD).otherwise(
-                pad_left(without_decimals(bare_hex(raw)), 2)
+        text = F.trim(F.get("hex", F.col(place(f"DATA_{i}"))))
+        data[name] = F.when(F.coalesce(text, F.lit("")) == "", PAD).otherwise(pad_left(text, 2))
+    rows = rows.withColumns(
+        {
+            "Arbitration_ID": pad_left(F.ltrim(F.trim(cell("ID", "hex")), F.lit("0")), 3),
+            "attack_type": F.when(raw_class == "DOS", "DoS").otherwise(raw_class),
+            "DLC": F.when(F.coalesce(shown, F.lit("")) == "", F.lit(8).cast("short")).otherwise(
+                F.regexp_replace(shown, r"\.[0-9]+$", "").try_cast("short")
             ),
-        )
+            **data,
+        }
+    )
     reason = reasons(
-        ("missing_columns", F.size("lacking") > 0),
+        ("missing_columns", lacking),
         ("bad_id", F.col("Arbitration_ID").isNull()),
         ("bad_label", F.col("attack_type").isNull()),
         ("bad_dlc", F.col("DLC").isNull()),
@@ -80,20 +85,20 @@ def parse_ciciov(lines: DataFrame) -> DataFrame:
 
 def parse_hcrl_csv(lines: DataFrame) -> DataFrame:
     """Ragged CSV without header; the last filled cell is the T/R flag."""
-    cells = F.transform(
-        F.slice(F.split("value", ",", -1), 1, RAGGED_WIDTH), lambda c: F.when(c != "", c)
-    )
-    rows = (
-        lines.where(F.trim("value") != "")
-        .withColumn("cells", cells)
-        .withColumn("Timestamp", F.get("cells", F.lit(0)).try_cast("double"))
-        .withColumn("Arbitration_ID", canonical_id(F.get("cells", F.lit(1))))
-        .withColumn("DLC", F.trim(F.get("cells", F.lit(2))).try_cast("short"))
-        .withColumn("tail", F.array_compact(F.slice("cells", 4, RAGGED_WIDTH - 3)))
-        .withColumn("flag", F.upper(F.trim(F.get("tail", F.size("tail") - 1))))
+    plain = F.regexp_replace(F.upper("value"), HEX_PREFIX, "$1")
+    rows = once(filled(lines), "cells", F.slice(F.split(plain, ",", -1), 1, RAGGED_WIDTH))
+    item = lambda i: F.nullif(F.get("cells", F.lit(i)), F.lit(""))
+    flag = F.coalesce(*[item(i) for i in range(RAGGED_WIDTH - 1, 2, -1)])
+    rows = rows.withColumns(
+        {
+            "Timestamp": item(0).try_cast("double"),
+            "Arbitration_ID": canonical_id(item(1)),
+            "DLC": F.trim(item(2)).try_cast("short"),
+            "flag": F.trim(flag),
+        }
     )
     data = [
-        F.when(F.col("DLC") > i, pad_left(bare_hex(F.get("cells", F.lit(i + 3))), 2)).otherwise(PAD).alias(name)
+        F.when(F.col("DLC") > i, pad_left(F.trim(item(i + 3)), 2)).otherwise(PAD).alias(name)
         for i, name in enumerate(BYTE_COLUMNS)
     ]
     family = labels.hcrl_family(F.col("session_id"))
@@ -103,35 +108,41 @@ def parse_hcrl_csv(lines: DataFrame) -> DataFrame:
         ("bad_dlc", F.col("DLC").isNull()),
     )
     return canonical(
-        rows.withColumn("attack_type", F.when(F.col("flag") == "T", family).otherwise("Normal"))
-        .withColumn("reject_reason", reason)
-        .select("*", *data)
+        rows.withColumns(
+            {"attack_type": F.when(F.col("flag") == "T", family).otherwise("Normal"), "reject_reason": reason}
+        ).select("*", *data)
     )
 
 
 def parse_hcrl_text(lines: DataFrame) -> DataFrame:
     """Labelled text of normal traffic; every frame is ``Normal``."""
-    text = F.trim("value")
-    raw_id = F.regexp_extract(text, LABELLED_LINE, 2)
-    raw_bytes = F.split(F.trim(F.regexp_extract(text, LABELLED_LINE, 4)), r"\s+")
-    rows = (
-        lines.where(text != "")
-        .withColumn("well_formed", text.rlike(LABELLED_LINE))
-        .withColumn("Timestamp", F.regexp_extract(text, LABELLED_LINE, 1).try_cast("double"))
-        .withColumn("id_ok", raw_id.rlike(HEX_TEXT))
-        .withColumn("Arbitration_ID", canonical_id(raw_id))
-        .withColumn("DLC", F.regexp_extract(text, LABELLED_LINE, 3).try_cast("short"))
-        .withColumn("bytes", F.filter(F.slice(raw_bytes, 1, 8), lambda b: b != ""))
-        .withColumn("attack_type", F.lit("Normal"))
-        .withColumn("bytes", F.transform("bytes", lambda b: pad_left(F.ltrim(bare_hex(b), F.lit("0")), 2)))
+    rows = matched(lines, LABELLED_LINE, 4)
+    payload = F.trim(F.regexp_replace(F.upper(group(4)), HEX_PREFIX, "$1"))
+    rows = once(rows, "bytes", F.split(payload, r"\s+"))
+    data = {
+        name: F.coalesce(pad_left(F.ltrim(byte_text(i), F.lit("0")), 2), F.lit(PAD))
+        for i, name in enumerate(BYTE_COLUMNS)
+    }
+    rows = rows.withColumns(
+        {
+            "Timestamp": group(1).try_cast("double"),
+            "Arbitration_ID": canonical_id(group(2)),
+            "DLC": group(3).try_cast("short"),
+            "attack_type": F.lit("Normal"),
+            **data,
+        }
     )
     reason = reasons(
         ("malformed", ~F.col("well_formed")),
         ("bad_time", F.col("Timestamp").isNull()),
-        ("bad_id", ~F.col("id_ok")),
-        ("bad_byte", F.exists("bytes", lambda b: ~b.rlike("^[0-9A-F]{2}$"))),
+        ("bad_id", ~group(2).rlike(HEX_TEXT)),
+        ("bad_byte", ~F.concat(*BYTE_COLUMNS).rlike("^([0-9A-F]{2}|PAD){8}$")),
     )
-    return canonical(rows.withColumn("reject_reason", reason).select("*", *bytes_of_list(F.col("bytes"))))
+    return canonical(rows.withColumn("reject_reason", reason))
+
+
+def byte_text(index: int) -> Column:
+    return F.nullif(F.get("bytes", F.lit(index)), F.lit(""))
 
 
 def parse_hcrl(lines: DataFrame) -> DataFrame:
@@ -144,36 +155,39 @@ def parse_hcrl(lines: DataFrame) -> DataFrame:
 
 def parse_survival(lines: DataFrame) -> DataFrame:
     """Comma lines with the payload either in one spaced cell or in cells before a flag."""
-    rows = (
-        lines.where(F.trim("value") != "")
-        .withColumn("cells", F.split(F.trim("value"), ",", -1))
-        .withColumn("Timestamp", F.trim(F.get("cells", F.lit(0))).try_cast("double"))
-        .withColumn("raw_id", F.trim(F.get("cells", F.lit(1))))
-        .withColumn("DLC", F.trim(F.get("cells", F.lit(2))).try_cast("short"))
-        .withColumn("fourth", F.trim(F.get("cells", F.lit(3))))
-        .withColumn("last", F.upper(F.trim(F.element_at("cells", -1))))
-    )
-    spaced = F.col("fourth").contains(" ")
-    flagged = ~spaced & F.col("last").isin("R", "T")
+    rows = once(filled(lines), "cells", F.split(F.trim("value"), r"\s*,\s*", -1))
     count = F.size("cells")
-    in_cells = F.slice("cells", F.lit(4), F.greatest(count - 3 - F.when(flagged, 1).otherwise(0), F.lit(0)))
-    parts = F.when(spaced, F.slice(F.split("fourth", r"\s+"), 1, 8)).otherwise(in_cells)
-    known = F.transform(
-        parts,
-        lambda b: F.when(F.trim(b).rlike(KNOWN_BYTE), F.lpad(F.upper(F.trim(b)), 2, "0")).otherwise(PAD),
-    )
+    fourth, last = F.get("cells", F.lit(3)), F.upper(F.get("cells", count - 1))
+    rows = rows.withColumns(
+        {
+            "spaced": F.coalesce(fourth.contains(" "), F.lit(False)),
+            "flagged": F.coalesce(~fourth.contains(" ") & last.isin("R", "T"), F.lit(False)),
+            "injected": last == "T",
+        }
+    )
+    wide = F.greatest(count - 3 - F.col("flagged").cast("int"), F.lit(0))
+    parts = F.when(F.col("spaced"), F.split(fourth, r"\s+")).otherwise(F.slice("cells", F.lit(4), wide))
+    rows = once(rows, "bytes", parts)
+    data = {}
+    for i, name in enumerate(BYTE_COLUMNS):
+        text = F.get("bytes", F.lit(i))
+        data[name] = F.when(text.rlike(KNOWN_BYTE), F.lpad(F.upper(text), 2, "0")).otherwise(PAD)
     family = labels.survival_family(F.col("session_id"))
+    raw_id = F.get("cells", F.lit(1))
+    rows = rows.withColumns(
+        {
+            "Timestamp": F.get("cells", F.lit(0)).try_cast("double"),
+            "DLC": F.get("cells", F.lit(2)).try_cast("short"),
+            "Arbitration_ID": canonical_id(raw_id),
+            "attack_type": F.when(F.col("flagged") & F.col("injected"), family).otherwise("Normal"),
+            **data,
+        }
+    )
     reason = reasons(
         ("too_few_cells", count < 4),
         ("bad_time", F.col("Timestamp").isNull()),
-        ("bad_id", ~F.col("raw_id").rlike(HEX_TEXT)),
+        ("bad_id", ~raw_id.rlike(HEX_TEXT)),
         ("bad_dlc", F.col("DLC").isNull()),
         ("unknown_family", family.isNull()),
     )
-    return canonical(
-        rows.withColumn("bytes", known)
-        .withColumn("Arbitration_ID", canonical_id("raw_id"))
-        .withColumn("attack_type", F.when(flagged & (F.col("last") == "T"), family).otherwise("Normal"))
-        .withColumn("reject_reason", reason)
-        .select("*", *bytes_of_list(F.col("bytes")))
-    )
+    return canonical(rows.withColumn("reject_reason", reason))

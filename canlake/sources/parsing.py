@@ -1,4 +1,4 @@
-"""What the line parsers share: rejects, headers and the canonical projection."""
+"""What the line parsers share: fields, headers, rejects and the canonical projection."""
 
 from __future__ import annotations
 
@@ -8,6 +8,35 @@ from canlake.schemas import BYTE_COLUMNS
 from canlake.storage import settle
 
 LINE_COLUMNS = ["path", "file_block", "line_key"]
+SEPARATOR = "\u0001"
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed exactly once per row.
+
+    A later filter on a plain projected column is pushed below the projection and
+    evaluates its expression a second time; it stops at an exploded one.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def filled(lines: DataFrame) -> DataFrame:
+    return lines.where(F.trim("value") != "")
+
+
+def matched(lines: DataFrame, pattern: str, groups: int) -> DataFrame:
+    """Filled lines with the pattern's groups in array ``m`` (from index 1).
+
+    One regular expression per line; ``well_formed`` is false where it did not match.
+    """
+    text = F.translate(F.trim("value"), SEPARATOR, "?")
+    marks = "".join(f"{SEPARATOR}${i + 1}" for i in range(groups))
+    parts = F.split(F.regexp_replace(text, pattern, marks), SEPARATOR, -1)
+    return once(filled(lines), "m", parts).withColumn("well_formed", F.size("m") == groups + 1)
+
+
+def group(index: int) -> Column:
+    return F.get("m", F.lit(index))
 
 
 def reasons(*checks: tuple[str, Column]) -> Column:
@@ -52,42 +81,50 @@ def captures_without_frames(parsed: DataFrame) -> DataFrame:
     )
 
 
-def with_header(lines: DataFrame) -> DataFrame:
-    """Data lines as ``cells`` with the ``header`` of their own file.
+def with_header(lines: DataFrame, names: list[str]) -> DataFrame:
+    """Data lines as ``cells``, with the place of each named column in their own file.
 
-    Files of one folder may have different headers, so each file's first line is
-    looked up; a table of one row per file is joined back.
+    Files of one folder may have different headers.  Each file's first line is looked
+    up once; the table of places, one row per file, is joined back.
     """
-    heads = settle(
-        lines.groupBy("path").agg(
-            F.min_by("value", "line_key").alias("head"), F.min("line_key").alias("head_key")
+    heads = lines.groupBy("path").agg(
+        F.min_by("value", "line_key").alias("head"), F.min("line_key").alias("head_key")
+    )
+    header = F.transform(F.split("head", ","), F.trim)
+    places = settle(
+        heads.select(
+            "path", "head_key",
+            *[(F.array_position(header, F.lit(n)).cast("int") - 1).alias(place(n)) for n in names],
         ),
         "headers",
     )
-    return (
-        lines.join(heads, "path")
-        .where((F.col("line_key") != F.col("head_key")) & (F.trim("value") != ""))
-        .withColumn("header", F.transform(F.split("head", ","), F.trim))
-        .withColumn("cells", F.split("value", ",", -1))
-        .drop("head", "head_key")
-    )
+    rows = filled(lines).join(places, "path").where("line_key <> head_key")
+    return once(rows, "cells", F.split("value", ",", -1)).drop("head_key")
 
 
-def cell(name: str) -> Column:
-    """Cell of a named column; null when the file lacks the column or the cell is empty."""
-    place = F.array_position("header", F.lit(name)).cast("int")
-    text = F.when(place > 0, F.get("cells", place - 1))
-    return F.when(text != "", text)
+def place(name: str) -> str:
+    return f"_at_{name}"
 
 
 def has_column(name: str) -> Column:
-    return F.array_contains("header", name)
+    return F.col(place(name)) >= 0
 
 
-def with_first_time(matched: DataFrame) -> DataFrame:
-    """Adds ``t_first``, the time of the first well-formed line of each file."""
-    firsts = settle(
-        matched.where("well_formed").groupBy("path").agg(F.min_by("raw_time", "line_key").alias("t_first")),
-        "first-times",
+def cell(name: str, cells: str = "cells") -> Column:
+    """Cell of a named column; null when the file lacks the column or the cell is empty."""
+    return F.nullif(F.get(F.col(cells), F.col(place(name))), F.lit(""))
+
+
+def with_capture_facts(lines: DataFrame, family: Column) -> DataFrame:
+    """Adds ``t_first``, the time of the file's first well-formed line, and its ``family``.
+
+    Both belong to the file, so they are worked out on one row per file.
+    """
+    firsts = lines.where("well_formed").groupBy("path", "session_id").agg(
+        F.min_by(group(1), "line_key").alias("first")
+    )
+    facts = settle(
+        firsts.select("path", F.col("first").try_cast("double").alias("t_first"), family.alias("family")),
+        "capture-facts",
     )
-    return matched.join(firsts, "path", "left")
+    return lines.join(facts, "path", "left")
