@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from canlake.functions.labels import is_benign
 from canlake.operators.splits import SPLITS
-from canlake.operators.windows import covering_windows
+from canlake.operators.windows import covering_windows, with_start
 from canlake.schemas import LabelSchema
 
 
@@ -75,11 +75,7 @@ def heterogeneous_windows(frames: DataFrame, index: DataFrame, schema: LabelSche
     Only attack frames are copied to the windows that cover them; a window keeps a
     set of at most the schema's class count.
     """
-    placed = index.join(
-        frames.select("session_id", F.col("row_id").alias("start_row_id"), F.col("pos").alias("start_pos")),
-        ["session_id", "start_row_id"],
-    )
-    slots = placed.select(
+    slots = with_start(index, frames).select(
         "window_id", "session_id", "start_row_id", "label",
         F.explode(F.sequence(F.col("start_pos"), F.col("start_pos") + F.col("window_size") - 1)).alias("pos"),
     )
@@ -186,10 +182,9 @@ def split_report(split_table: DataFrame, label: str, identifier: str) -> DataFra
 
 def leaked_frames(frames: DataFrame, split_windows: DataFrame, stride: int, size: int) -> DataFrame:
     """Frames lying in windows of two or more splits (stride below window size)."""
-    places = frames.select(
-        "session_id", F.col("row_id").alias("start_row_id"), F.floor(F.col("pos") / stride).alias("window")
+    assigned = with_start(split_windows, frames).select(
+        "session_id", F.floor(F.col("start_pos") / stride).alias("window"), "split"
     )
-    assigned = split_windows.join(places, ["session_id", "start_row_id"]).select("session_id", "window", "split")
     covered = frames.select(
         "session_id", "row_id", F.explode(covering_windows(F.col("pos"), size, stride)).alias("window")
     )

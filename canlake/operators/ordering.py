@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from canlake.storage import scratch_path, settle
 
 BLOCK_ROWS = 1 << 18
+BROADCAST_RUNS = 1_000_000  # about 100 MB of (session, partition) bookkeeping
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in its low 33 bits
 
 
@@ -25,6 +26,7 @@ class Layout:
 
     spark: SparkSession
     path: str
+    n_runs: int
 
     @property
     def runs(self) -> DataFrame:
@@ -35,7 +37,9 @@ class Layout:
     def frames(self) -> DataFrame:
         """Stored columns plus ``pos`` (0-based in the session), ``part`` and ``slot``.
 
-        ``slot`` grows in table order, ``part`` is its range partition.
+        ``slot`` grows in table order, ``part`` is its range partition.  The bookkeeping
+        is broadcast after a check of its counted size; a larger one is joined on
+        (session, partition), which no single session dominates.
         """
         rows = self.spark.read.parquet(f"{self.path}/rows").withColumn(
             "part", F.shiftright("slot", _LOCAL_BITS)
@@ -43,6 +47,8 @@ class Layout:
         runs = self.runs.select(
             F.col("session_id").alias("_s"), F.col("part").alias("_p"), "first_slot", "before"
         )
+        if self.n_runs <= BROADCAST_RUNS:
+            runs = F.broadcast(runs)
         return (
             rows.join(runs, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
             .withColumn("pos", F.col("slot") - F.col("first_slot") + F.col("before"))
@@ -94,7 +100,7 @@ def lay_out(df: DataFrame) -> Layout:
         .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .write.parquet(f"{path}/runs")
     )
-    return Layout(spark, path)
+    return Layout(spark, path, spark.read.parquet(f"{path}/runs").count())
 
 
 def block_of(position: str | Column, block_rows: int = BLOCK_ROWS) -> Column:

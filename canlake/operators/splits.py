@@ -86,10 +86,11 @@ def stratified_windows(
     downsample: bool = False,
     downsample_size: int | None = None,
     seed: int = 42,
+    positions: bool = False,
 ) -> DataFrame:
     """Window references with first-attack labels, split per class; adds ``split``."""
     check_split_ratios(val_ratio, test_ratio)
-    index = window_references(candidate_windows(frames, size, stride, schema), size)
+    index = window_references(candidate_windows(frames, size, stride, schema), size, positions)
     ordered, sizes = smp.with_class_ordinal(index, "label", "start_row_id")
     if not sizes:
         raise ValueError("no session is long enough for a window")

@@ -1,8 +1,8 @@
 """Session-bounded sliding windows: candidates, references and materialisation.
 
-Windows are found by arithmetic on positions.  Frames are first folded into panes
-of ``gcd(size, stride)`` frames (map-side), and only panes are copied to the
-windows that cover them, so the frames themselves are shuffled once at most.
+Windows are found by arithmetic on positions.  For labels, frames are folded into
+panes of ``gcd(size, stride)`` frames (map-side) and only panes are copied to the
+windows that cover them.  For contents, frames are shuffled once by block.
 """
 
 from __future__ import annotations
@@ -15,15 +15,23 @@ from canlake.functions import encodings as enc
 from canlake.functions.hexfields import decoded
 from canlake.functions.labels import is_benign
 from canlake.operators.normalise import NormStats, scaled_frame_vector
+from canlake.operators.ordering import BLOCK_ROWS, with_halo
 from canlake.schemas import LabelSchema
 
 LABEL_RULES = ("last_frame", "any_attack")
 
 
-def covering_windows(position: Column, size: int, stride: int, length: int = 1) -> Column:
-    """Ordinals of the windows that contain positions ``[position, position+length)``."""
+def covering_windows(
+    position: Column, size: int, stride: int, length: int = 1, among: tuple[Column, Column] | None = None
+) -> Column:
+    """Ordinals of the windows that contain positions ``[position, position+length)``.
+
+    ``among`` narrows them to an inclusive range of ordinals.
+    """
     lowest = F.greatest(F.ceil((position + (length - size)) / F.lit(stride)), F.lit(0))
     highest = F.floor(position / F.lit(stride))
+    if among is not None:
+        lowest, highest = F.greatest(lowest, among[0]), F.least(highest, among[1])
     return F.when(highest >= lowest, F.sequence(lowest, highest)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -83,19 +91,30 @@ def last_frame_windows(frames: DataFrame, size: int, stride: int) -> DataFrame:
     )
 
 
-def window_references(windows: DataFrame, size: int) -> DataFrame:
-    """The compact index: window id, session, first row, size, label (other columns kept)."""
-    extra = [c for c in windows.columns if c not in ("session_id", "start_row_id", "label", "start_pos")]
+def window_references(windows: DataFrame, size: int, positions: bool = False) -> DataFrame:
+    """The compact index: window id, session, first row, size, label.
+
+    With ``positions`` the index also keeps ``start_pos``, which saves later operators
+    the look-up of the first frame.
+    """
     return windows.select(
         F.concat_ws(":", "session_id", "start_row_id").alias("window_id"),
         "session_id",
         "start_row_id",
         F.lit(size).cast("long").alias("window_size"),
         "label",
-        *extra,
+        *(["start_pos"] if positions else []),
     )
 
 
+def with_start(index: DataFrame, frames: DataFrame) -> DataFrame:
+    """Adds ``start_pos`` unless the index has it; null where the first row is unknown."""
+    if "start_pos" in index.columns:
+        return index
+    starts = frames.select("session_id", F.col("row_id").alias("start_row_id"), F.col("pos").alias("start_pos"))
+    return index.join(starts, ["session_id", "start_row_id"], "left")
+
+
 def unknown_sessions(index: DataFrame, frames: DataFrame) -> DataFrame:
     """Sessions an index refers to that have no frames."""
     return index.select("session_id").distinct().join(
@@ -106,14 +125,13 @@ def unknown_sessions(index: DataFrame, frames: DataFrame) -> DataFrame:
 def expand_references(index: DataFrame, frames: DataFrame, columns: list[str]) -> DataFrame:
     """One row per (window, frame), ``offset`` giving the frame's place in the window.
 
-    The first frame is looked up by row id, the others by position: two equi-joins
-    on balanced keys, no range condition.
+    The first frame is looked up by row id, the others by position: equi-joins on
+    balanced keys, no range condition.
     """
     wanted = [c for c in columns if c not in ("session_id", "pos")]
-    starts = frames.select("session_id", F.col("row_id").alias("start_row_id"), F.col("pos").alias("start_pos"))
-    addressed = index.join(starts, ["session_id", "start_row_id"], "left")
     return (
-        addressed.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("window_size") - 1)))
+        with_start(index, frames)
+        .withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("window_size") - 1)))
         .withColumn("pos", F.col("start_pos") + F.col("offset"))
         .join(frames.select("session_id", "pos", *wanted), ["session_id", "pos"], "left")
     )
@@ -129,28 +147,51 @@ def incomplete_windows(index: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-def frames_in_windows(frames: DataFrame, size: int, stride: int, columns: list[str]) -> DataFrame:
-    """All full windows as (session, window, offset, columns) straight from positions.
+WINDOW_KEYS = ["session_id", "block", "window"]
 
-    Used when every candidate is wanted: each frame is copied to its windows, no join.
-    Windows cut off by the end of the session are still present; ``collect_windows``
-    drops them by length.
+
+def frames_in_windows(
+    frames: DataFrame, size: int, stride: int, columns: list[str], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Every frame with each window that contains it: ``window``, ``offset``, columns.
+
+    Used when all candidates are wanted.  Frames are shuffled once by (session, block),
+    with the few rows a block's last windows reach into the next one, and are copied to
+    their windows only after the shuffle.  Grouping by ``WINDOW_KEYS`` then needs no
+    further exchange.  Windows cut off by the end of the session are still present;
+    ``collect_windows`` drops them by length.
     """
+    per_block = max(block_rows // stride, -(-size // stride))
+    wanted = frames.select("session_id", "pos", *[c for c in columns if c not in ("session_id", "pos")])
+    blocks = with_halo(wanted, after=size - 1, block_rows=per_block * stride).drop("core")
+    first = F.col("block") * per_block
+    mine = covering_windows(F.col("pos"), size, stride, among=(first, first + (per_block - 1)))
     return (
-        frames.select("session_id", "pos", *[c for c in columns if c not in ("session_id", "pos")])
-        .withColumn("window", F.explode(covering_windows(F.col("pos"), size, stride)))
+        blocks.repartition("session_id", "block")
+        .withColumn("window", F.explode(mine))
         .withColumn("offset", F.col("pos") - F.col("window") * stride)
     )
 
 
-def collect_windows(expanded: DataFrame, keys: list[str], size: int, items: dict[str, Column]) -> DataFrame:
-    """Gather each full window into arrays ordered by offset; a group has ``size`` rows."""
-    packed = F.array_sort(F.collect_list(F.struct("offset", *[c.alias(n) for n, c in items.items()])))
+def collect_windows(
+    expanded: DataFrame,
+    keys: list[str],
+    size: int,
+    arrays: dict[str, Column],
+    at: dict[str, tuple[int, Column]] | None = None,
+) -> DataFrame:
+    """Gather each full window; a group has at most ``size`` rows.
+
+    ``arrays`` become arrays ordered by offset, ``at`` single values taken from the
+    frame at the given offset, so that what is needed once is not collected ``size`` times.
+    """
+    packed = F.array_sort(F.collect_list(F.struct("offset", *[c.alias(n) for n, c in arrays.items()])))
+    singles = [F.max(F.when(F.col("offset") == place, value)).alias(n) for n, (place, value) in (at or {}).items()]
     return (
         expanded.groupBy(*keys)
-        .agg(packed.alias("_w"))
+        .agg(packed.alias("_w"), *singles)
         .where(F.size("_w") == size)
-        .select(*keys, *[F.col(f"_w.{name}").alias(name) for name in items])
+        .select(*keys, *[F.col(f"_w.{name}").alias(name) for name in arrays], *(at or {}))
     )
 
 
@@ -160,10 +201,9 @@ def relabel(index: DataFrame, frames: DataFrame, rule: str) -> DataFrame:
         raise ValueError(f"unknown label rule {rule!r}; known: {list(LABEL_RULES)}")
     if rule == "any_attack":
         return index
-    places = frames.select("session_id", F.col("row_id").alias("start_row_id"), F.col("pos").alias("start_pos"))
     lasts = frames.select("session_id", F.col("pos").alias("last_pos"), F.col("Class").cast("long").alias("last_class"))
     return (
-        index.join(places, ["session_id", "start_row_id"])
+        with_start(index, frames)
         .withColumn("last_pos", F.col("start_pos") + F.col("window_size") - 1)
         .join(lasts, ["session_id", "last_pos"])
         .withColumn("label", F.col("last_class"))
@@ -173,55 +213,44 @@ def relabel(index: DataFrame, frames: DataFrame, rule: str) -> DataFrame:
 
 def flattened_vectors(frames: DataFrame, size: int, stride: int, stats: NormStats | None = None) -> DataFrame:
     """One vector of ``size`` frame vectors per window, normalised when stats are given."""
-    vector = F.col("vector")
     base = decoded(frames).withColumn("vector", enc.frame_vector() if stats is None else scaled_frame_vector(stats))
-    expanded = frames_in_windows(base, size, stride, ["row_id", "Class", "vector"])
     return collect_windows(
-        expanded, ["session_id", "window"], size,
-        {"row_id": F.col("row_id"), "Class": F.col("Class"), "vector": vector},
-    ).select(
-        "session_id",
-        F.get("row_id", F.lit(0)).alias("start_row_id"),
-        F.element_at("Class", -1).cast("long").alias("label"),
-        F.flatten("vector").alias("vector"),
-    )
+        frames_in_windows(base, size, stride, ["row_id", "Class", "vector"]), WINDOW_KEYS, size,
+        {"vector": F.col("vector")},
+        {"start_row_id": (0, F.col("row_id")), "label": (size - 1, F.col("Class").cast("long"))},
+    ).select("session_id", "start_row_id", "label", F.flatten("vector").alias("vector"))
 
 
 def masked_sequences(frames: DataFrame, size: int, stride: int, schema: LabelSchema) -> DataFrame:
     """Next-identifier samples: id tokens with the last one masked, its payload and target."""
-    tokens = frames.withColumn("token", enc.id_token()).withColumn("payload", enc.payload_tokens())
-    expanded = frames_in_windows(tokens, size, stride, ["row_id", "Class", "token", "payload"])
+    last = size - 1
+    is_last = (F.col("pos") >= last) & ((F.col("pos") - last) % stride == 0)
+    tokens = frames.withColumns({"token": enc.id_token(), "payload": F.when(is_last, enc.payload_tokens())})
     return collect_windows(
-        expanded, ["session_id", "window"], size,
+        frames_in_windows(tokens, size, stride, ["row_id", "Class", "token", "payload"]), WINDOW_KEYS, size,
+        {"token": F.col("token")},
         {
-            "row_id": F.col("row_id"),
-            "Class": F.col("Class"),
-            "token": F.col("token"),
-            "payload": F.when(F.col("offset") == size - 1, F.col("payload")),
+            "start_row_id": (0, F.col("row_id")),
+            "spatial": (last, F.col("payload")),
+            "attack": (last, (~is_benign("Class", schema)).cast("int")),
         },
     ).select(
-        "session_id",
-        F.get("row_id", F.lit(0)).alias("start_row_id"),
-        F.concat(F.slice("token", 1, size - 1), F.array(F.lit(enc.MASK_TOKEN))).alias("temporal"),
-        F.element_at("payload", -1).alias("spatial"),
+        "session_id", "start_row_id",
+        F.concat(F.slice("token", 1, last), F.array(F.lit(enc.MASK_TOKEN))).alias("temporal"),
+        "spatial",
         F.element_at("token", -1).alias("target"),
-        (~is_benign(F.element_at("Class", -1), schema)).cast("int").alias("attack"),
+        "attack",
     )
 
 
 def time_encoded_windows(frames: DataFrame, size: int, stride: int, width: int, alpha: float = 1e-7) -> DataFrame:
     """Per (window, frame): the window-relative time-smoothed positional encoding."""
-    expanded = frames_in_windows(frames, size, stride, ["row_id", "Timestamp"])
     gathered = collect_windows(
-        expanded, ["session_id", "window"], size,
-        {"row_id": F.col("row_id"), "ts": F.col("Timestamp")},
+        frames_in_windows(frames, size, stride, ["row_id", "Timestamp"]), WINDOW_KEYS, size,
+        {"ts": F.col("Timestamp")}, {"start_row_id": (0, F.col("row_id"))},
     )
-    return gathered.select(
-        "session_id",
-        F.get("row_id", F.lit(0)).alias("start_row_id"),
-        F.get("ts", F.lit(0)).alias("t0"),
-        F.posexplode("ts").alias("offset", "ts"),
-    ).withColumn(
-        "encoding",
-        enc.sinusoids(enc.smoothed_position(F.col("offset"), F.col("ts") - F.col("t0"), alpha), width),
+    placed = gathered.select(
+        "session_id", "start_row_id", F.get("ts", F.lit(0)).alias("t0"), F.posexplode("ts").alias("offset", "ts")
     )
+    position = enc.smoothed_position(F.col("offset"), F.col("ts") - F.col("t0"), alpha)
+    return placed.withColumn("encoding", enc.sinusoids(position, width))

@@ -48,7 +48,7 @@ def last_frame_windows(spark, sf_dir):
 )
 def loader_labels(spark, sf_dir):
     frames = st.positioned(spark, sf_dir)
-    index = win.window_references(candidates(spark, sf_dir), SIZE)
+    index = win.window_references(candidates(spark, sf_dir), SIZE, positions=True)
     kept = win.relabel(index, frames, "any_attack").select("window_id", F.col("label").alias("any_attack"))
     last = win.relabel(index, frames, "last_frame").select("window_id", F.col("label").alias("last_frame"))
     return kept.join(last, "window_id")
@@ -71,7 +71,7 @@ def window_references(spark, sf_dir):
 )
 def materialised_windows(spark, sf_dir):
     frames = st.positioned(spark, sf_dir)
-    index = win.window_references(candidates(spark, sf_dir), SIZE)
+    index = win.window_references(candidates(spark, sf_dir), SIZE, positions=True)
     expanded = win.expand_references(index, frames, ["row_id", "Class", "Arbitration_ID"])
     gathered = win.collect_windows(
         expanded, ["window_id"], SIZE,
@@ -321,12 +321,6 @@ def window_lengths(spark, sf_dir):
     return audits.window_lengths(win.window_references(candidates(spark, sf_dir), SIZE))
 
 
-def expanded_labels(spark, sf_dir):
-    frames = st.positioned(spark, sf_dir)
-    expanded = win.frames_in_windows(frames, SIZE, STRIDE, ["Class"])
-    return win.collect_windows(expanded, ["session_id", "window"], SIZE, {"frame_labels": F.col("Class")})
-
-
 @query(
     "a10_mixed_label_windows",
     f"""WITH {members()}, per_window AS (SELECT session_id, start_row_id,
@@ -339,7 +333,7 @@ def mixed_label_windows(spark, sf_dir):
         "Class", F.when((F.col("row_id") % 2 == 0) & (F.col("Class") == 0), 5).otherwise(F.col("Class"))
     )
     expanded = win.frames_in_windows(frames, SIZE, STRIDE, ["Class"])
-    gathered = win.collect_windows(expanded, ["session_id", "window"], SIZE, {"frame_labels": F.col("Class")})
+    gathered = win.collect_windows(expanded, win.WINDOW_KEYS, SIZE, {"frame_labels": F.col("Class")})
     return audits.mixed_windows(gathered, label_schema("ten_state_attack"))
 
 
@@ -350,7 +344,7 @@ def mixed_label_windows(spark, sf_dir):
         FROM members WHERE "Class" <> 0 GROUP BY session_id, start_row_id HAVING count(DISTINCT "Class") > 1""",
 )
 def heterogeneous_windows(spark, sf_dir):
-    index = win.window_references(candidates(spark, sf_dir), SIZE)
+    index = win.window_references(candidates(spark, sf_dir), SIZE, positions=True)
     found = audits.heterogeneous_windows(st.positioned(spark, sf_dir), index, st.FIVE)
     return found.select("window_id", "label", shown("attack_labels").alias("attack_labels"))
 
@@ -443,5 +437,7 @@ def split_accounting(spark, sf_dir):
         GROUP BY p.row_id HAVING count(DISTINCT w.split) > 1""",
 )
 def frames_shared_by_splits(spark, sf_dir):
-    found = audits.leaked_frames(st.positioned(spark, sf_dir), split_windows(spark, sf_dir), STRIDE, SIZE)
+    frames = st.positioned(spark, sf_dir)
+    placed = splits.stratified_windows(frames, SIZE, STRIDE, st.FIVE, positions=True)
+    found = audits.leaked_frames(frames, placed, STRIDE, SIZE)
     return found.select("row_id", F.array_join("splits", " ").alias("splits"))

@@ -87,7 +87,7 @@ def with_header(lines: DataFrame, names: list[str]) -> DataFrame:
     Files of one folder may have different headers.  Each file's first line is looked
     up once; the table of places, one row per file, is joined back.
     """
-    heads = lines.groupBy("path").agg(
+    heads = lines.where("file_block = 0").groupBy("path").agg(
         F.min_by("value", "line_key").alias("head"), F.min("line_key").alias("head_key")
     )
     header = F.transform(F.split("head", ","), F.trim)
