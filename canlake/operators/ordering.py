@@ -44,11 +44,9 @@ class Layout:
         rows = self.spark.read.parquet(f"{self.path}/rows").withColumn(
             "part", F.shiftright("slot", _LOCAL_BITS)
         )
-        runs = self.runs.select(
-            F.col("session_id").alias("_s"), F.col("part").alias("_p"), "first_slot", "before"
+        runs = self.bounded(
+            self.runs.select(F.col("session_id").alias("_s"), F.col("part").alias("_p"), "first_slot", "before")
         )
-        if self.n_runs <= BROADCAST_RUNS:
-            runs = F.broadcast(runs)
         return (
             rows.join(runs, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
             .withColumn("pos", F.col("slot") - F.col("first_slot") + F.col("before"))
@@ -57,13 +55,19 @@ class Layout:
 
     @property
     def sessions(self) -> DataFrame:
-        """One row per session: frame count, first and last time."""
-        return self.runs.groupBy("session_id").agg(
-            F.sum("n").alias("n_frames"),
-            F.min("t_min").alias("t_first"),
-            F.max("t_max").alias("t_last"),
+        """One row per session: frame count, first and last time; never more than runs."""
+        return self.bounded(
+            self.runs.groupBy("session_id").agg(
+                F.sum("n").alias("n_frames"),
+                F.min("t_min").alias("t_first"),
+                F.max("t_max").alias("t_last"),
+            )
         )
 
+    def bounded(self, bookkeeping: DataFrame) -> DataFrame:
+        """Broadcast if the counted bookkeeping is small, else leave the join to Spark."""
+        return F.broadcast(bookkeeping) if self.n_runs <= BROADCAST_RUNS else bookkeeping
+
 
 def session_order(df: DataFrame) -> list[str]:
     """Canonical order: by time where there is one, ``row_id`` breaking ties."""

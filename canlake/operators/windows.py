@@ -147,51 +147,60 @@ def incomplete_windows(index: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-WINDOW_KEYS = ["session_id", "block", "window"]
-
-
-def frames_in_windows(
-    frames: DataFrame, size: int, stride: int, columns: list[str], block_rows: int = BLOCK_ROWS
+def gather_windows(
+    frames: DataFrame,
+    size: int,
+    stride: int,
+    arrays: dict[str, Column],
+    at: dict[str, tuple[int, Column]] | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Every frame with each window that contains it: ``window``, ``offset``, columns.
+    """Contents of every full window: ``session_id``, ``window``, arrays and single values.
 
-    Used when all candidates are wanted.  Frames are shuffled once by (session, block),
-    with the few rows a block's last windows reach into the next one, and are copied to
-    their windows only after the shuffle.  Grouping by ``WINDOW_KEYS`` then needs no
-    further exchange.  Windows cut off by the end of the session are still present;
-    ``collect_windows`` drops them by length.
+    ``arrays`` become arrays in frame order; ``at`` takes a value from the frame at one
+    offset only.  Frames are shuffled once by (session, block), with the few rows a
+    block's last windows reach into the next block.  Inside the block they are packed
+    into panes of ``gcd(size, stride)`` frames, and panes, not frames, are copied to
+    the windows; both groupings keep the block's partitioning, so nothing moves again.
     """
+    singles = at or {}
+    pane = gcd(size, stride)
     per_block = max(block_rows // stride, -(-size // stride))
-    wanted = frames.select("session_id", "pos", *[c for c in columns if c not in ("session_id", "pos")])
-    blocks = with_halo(wanted, after=size - 1, block_rows=per_block * stride).drop("core")
+    wanted = frames.select(
+        "session_id", "pos", *[c.alias(n) for n, c in arrays.items()],
+        *[F.when(F.col("pos") % pane == place % pane, value).alias(n) for n, (place, value) in singles.items()],
+    )
+    blocks = with_halo(wanted, after=size - 1, block_rows=per_block * stride).repartition("session_id", "block")
+    panes = blocks.groupBy("session_id", "block", F.floor(F.col("pos") / pane).alias("pane")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", *arrays))).alias("items"),
+        *[F.max(n).alias(n) for n in singles],
+    )
     first = F.col("block") * per_block
-    mine = covering_windows(F.col("pos"), size, stride, among=(first, first + (per_block - 1)))
+    mine = covering_windows(F.col("pane") * pane, size, stride, pane, (first, first + (per_block - 1)))
+    placed = panes.withColumn("window", F.explode(mine)).withColumn(
+        "place", F.col("pane") - F.col("window") * (stride // pane)
+    )
     return (
-        blocks.repartition("session_id", "block")
-        .withColumn("window", F.explode(mine))
-        .withColumn("offset", F.col("pos") - F.col("window") * stride)
+        placed.groupBy("session_id", "block", "window")
+        .agg(
+            F.sum(F.size("items")).alias("n"),
+            F.array_sort(F.collect_list(F.struct("place", "items"))).alias("panes"),
+            *[F.max(F.when(F.col("place") == k // pane, F.col(n))).alias(n) for n, (k, _) in singles.items()],
+        )
+        .where(F.col("n") == size)
+        .withColumn("items", F.flatten("panes.items"))
+        .select("session_id", "window", *[F.col(f"items.{n}").alias(n) for n in arrays], *singles)
     )
 
 
-def collect_windows(
-    expanded: DataFrame,
-    keys: list[str],
-    size: int,
-    arrays: dict[str, Column],
-    at: dict[str, tuple[int, Column]] | None = None,
-) -> DataFrame:
-    """Gather each full window; a group has at most ``size`` rows.
-
-    ``arrays`` become arrays ordered by offset, ``at`` single values taken from the
-    frame at the given offset, so that what is needed once is not collected ``size`` times.
-    """
+def collect_windows(expanded: DataFrame, keys: list[str], size: int, arrays: dict[str, Column]) -> DataFrame:
+    """Arrays ordered by offset out of expanded references; a group has at most ``size`` rows."""
     packed = F.array_sort(F.collect_list(F.struct("offset", *[c.alias(n) for n, c in arrays.items()])))
-    singles = [F.max(F.when(F.col("offset") == place, value)).alias(n) for n, (place, value) in (at or {}).items()]
     return (
         expanded.groupBy(*keys)
-        .agg(packed.alias("_w"), *singles)
+        .agg(packed.alias("_w"))
         .where(F.size("_w") == size)
-        .select(*keys, *[F.col(f"_w.{name}").alias(name) for name in arrays], *(at or {}))
+        .select(*keys, *[F.col(f"_w.{name}").alias(name) for name in arrays])
     )
 
 
@@ -214,8 +223,8 @@ def relabel(index: DataFrame, frames: DataFrame, rule: str) -> DataFrame:
 def flattened_vectors(frames: DataFrame, size: int, stride: int, stats: NormStats | None = None) -> DataFrame:
     """One vector of ``size`` frame vectors per window, normalised when stats are given."""
     base = decoded(frames).withColumn("vector", enc.frame_vector() if stats is None else scaled_frame_vector(stats))
-    return collect_windows(
-        frames_in_windows(base, size, stride, ["row_id", "Class", "vector"]), WINDOW_KEYS, size,
+    return gather_windows(
+        base, size, stride,
         {"vector": F.col("vector")},
         {"start_row_id": (0, F.col("row_id")), "label": (size - 1, F.col("Class").cast("long"))},
     ).select("session_id", "start_row_id", "label", F.flatten("vector").alias("vector"))
@@ -226,8 +235,8 @@ def masked_sequences(frames: DataFrame, size: int, stride: int, schema: LabelSch
     last = size - 1
     is_last = (F.col("pos") >= last) & ((F.col("pos") - last) % stride == 0)
     tokens = frames.withColumns({"token": enc.id_token(), "payload": F.when(is_last, enc.payload_tokens())})
-    return collect_windows(
-        frames_in_windows(tokens, size, stride, ["row_id", "Class", "token", "payload"]), WINDOW_KEYS, size,
+    return gather_windows(
+        tokens, size, stride,
         {"token": F.col("token")},
         {
             "start_row_id": (0, F.col("row_id")),
@@ -245,9 +254,8 @@ def masked_sequences(frames: DataFrame, size: int, stride: int, schema: LabelSch
 
 def time_encoded_windows(frames: DataFrame, size: int, stride: int, width: int, alpha: float = 1e-7) -> DataFrame:
     """Per (window, frame): the window-relative time-smoothed positional encoding."""
-    gathered = collect_windows(
-        frames_in_windows(frames, size, stride, ["row_id", "Timestamp"]), WINDOW_KEYS, size,
-        {"ts": F.col("Timestamp")}, {"start_row_id": (0, F.col("row_id"))},
+    gathered = gather_windows(
+        frames, size, stride, {"ts": F.col("Timestamp")}, {"start_row_id": (0, F.col("row_id"))}
     )
     placed = gathered.select(
         "session_id", "start_row_id", F.get("ts", F.lit(0)).alias("t0"), F.posexplode("ts").alias("offset", "ts")

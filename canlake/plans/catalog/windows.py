@@ -332,8 +332,7 @@ def mixed_label_windows(spark, sf_dir):
     frames = st.positioned(spark, sf_dir).withColumn(
         "Class", F.when((F.col("row_id") % 2 == 0) & (F.col("Class") == 0), 5).otherwise(F.col("Class"))
     )
-    expanded = win.frames_in_windows(frames, SIZE, STRIDE, ["Class"])
-    gathered = win.collect_windows(expanded, win.WINDOW_KEYS, SIZE, {"frame_labels": F.col("Class")})
+    gathered = win.gather_windows(frames, SIZE, STRIDE, {"frame_labels": F.col("Class")})
     return audits.mixed_windows(gathered, label_schema("ten_state_attack"))
 
 

@@ -139,18 +139,18 @@ def test_expanded_window_audits(spark):
 @pytest.mark.parametrize("block_rows", [1, 6, 20, 1 << 18])
 def test_window_contents_in_blocks(sessions, size, stride, block_rows):
     rows, layout = sessions
-    expanded = win.frames_in_windows(layout.frames, size, stride, ["row_id"], block_rows)
-    got = {
-        (r["session_id"], tuple(r["rows"]))
-        for r in win.collect_windows(expanded, win.WINDOW_KEYS, size, {"rows": F.col("row_id")}).collect()
+    row = F.col("row_id")
+    gathered = win.gather_windows(layout.frames, size, stride, {"rows": row}, {"first": (0, row), "end": (size - 1, row)}, block_rows)
+    got = {(r["session_id"], tuple(r["rows"]), r["first"], r["end"]) for r in gathered.collect()}
+    want = {
+        (session, tuple(range(first, first + size)), first, first + size - 1)
+        for session, first, *_ in brute(rows, size, stride, False)
     }
-    want = {(session, tuple(range(first, first + size))) for session, first, *_ in brute(rows, size, stride, False)}
     assert got == want
 
 
 def test_window_contents_need_one_shuffle(sessions):
     _, layout = sessions
-    expanded = win.frames_in_windows(layout.frames, 16, 8, ["row_id"])
-    gathered = win.collect_windows(expanded, win.WINDOW_KEYS, 16, {"rows": F.col("row_id")})
+    gathered = win.gather_windows(layout.frames, 16, 8, {"rows": F.col("row_id")})
     plan = gathered._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
