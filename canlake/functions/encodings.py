@@ -18,7 +18,8 @@ ID = "id_number"
 
 
 def id_value(value: str | Column = "Arbitration_ID") -> Column:
-    return F.conv(bare_hex(value), 16, 10).cast("int")
+    """Number of a well-formed identifier, with or without ``0x``."""
+    return F.conv(F.substring_index(F.upper(F.trim(col(value))), "X", -1), 16, 10).cast("int")
 
 
 def bits(number: Column, width: int) -> list[Column]:

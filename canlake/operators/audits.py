@@ -26,17 +26,19 @@ def session_row_counts(df: DataFrame) -> DataFrame:
 def session_summary(df: DataFrame, schema: LabelSchema) -> DataFrame:
     """Frames, time range and attack classes per session.
 
-    Classes are collected as a set of at most the schema's class count.
+    Frames are reduced to one row per session and class before classes are collected.
     """
-    attacks = F.array_sort(F.collect_set(F.when(~is_benign("Class", schema), F.col("Class"))))
+    per_class = df.groupBy("session_id", "Class").agg(
+        F.count(F.lit(1)).alias("n"), F.min("Timestamp").alias("t_min"), F.max("Timestamp").alias("t_max")
+    )
     return (
-        df.groupBy("session_id")
+        per_class.groupBy("session_id")
         .agg(
-            F.count(F.lit(1)).alias("frames"),
-            F.size(F.collect_set("Class")).alias("classes"),
-            F.min("Timestamp").alias("t_first"),
-            F.max("Timestamp").alias("t_last"),
-            attacks.alias("attack_classes"),
+            F.sum("n").alias("frames"),
+            F.count("Class").cast("int").alias("classes"),
+            F.min("t_min").alias("t_first"),
+            F.max("t_max").alias("t_last"),
+            F.array_sort(F.collect_set(F.when(~is_benign("Class", schema), F.col("Class")))).alias("attack_classes"),
         )
         .withColumn("duration", F.col("t_last") - F.col("t_first"))
     )
@@ -191,6 +193,10 @@ def leaked_frames(frames: DataFrame, split_windows: DataFrame, stride: int, size
     return (
         covered.join(assigned, ["session_id", "window"])
         .groupBy("session_id", "row_id")
-        .agg(F.array_sort(F.collect_set("split")).alias("splits"))
-        .where(F.size("splits") > 1)
+        .agg(*[F.max((F.col("split") == name).cast("int")).alias(name) for name in SPLITS])
+        .where(sum(F.col(name) for name in SPLITS) > 1)
+        .select(
+            "session_id", "row_id",
+            F.array_sort(F.array_compact(F.array(*[F.when(F.col(n) == 1, n) for n in SPLITS]))).alias("splits"),
+        )
     )

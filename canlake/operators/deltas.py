@@ -29,14 +29,14 @@ def with_delta_id(frames: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     along = W.partitionBy("session_id", "Arbitration_ID").orderBy("block")
     carries = (
         frames.groupBy("session_id", "Arbitration_ID", block_of("pos", block_rows).alias("block"))
-        .agg(F.max(F.struct("pos", "Timestamp")).alias("seen"))
-        .withColumn("seen", F.lag("seen").over(along))
-        .where("seen IS NOT NULL")
+        .agg(F.max_by("Timestamp", "pos").alias("last_time"), F.max("pos").alias("last_pos"))
         .select(
             "session_id", "Arbitration_ID", "block",
-            F.col("seen.pos").alias("pos"), F.col("seen.Timestamp").alias("Timestamp"),
+            F.lag("last_pos").over(along).alias("pos"),
+            F.lag("last_time").over(along).alias("Timestamp"),
             F.lit(False).alias("core"),
         )
+        .where("pos IS NOT NULL")
     )
     inside = W.partitionBy("session_id", "block", "Arbitration_ID").orderBy("pos")
     return (

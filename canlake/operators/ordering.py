@@ -124,14 +124,14 @@ def with_halo(
         raise ValueError(f"a halo of {max(before, after)} rows does not fit blocks of {block_rows}")
     own = block_of(position, block_rows)
     inside = F.col(position) - own * block_rows
-    copies = [own]
-    if before:
-        copies.append(F.when(inside >= block_rows - before, own + 1))
-    if after:
-        copies.append(F.when((inside < after) & (own > 0), own - 1))
-    return df.withColumn("block", F.explode(F.array_compact(F.array(*copies)))).withColumn(
-        "core", F.col("block") == own
+    to_next, to_previous = inside >= block_rows - before, (inside < after) & (own > 0)
+    copies = (
+        F.when(to_next & to_previous, F.array(own, own + 1, own - 1))
+        .when(to_next, F.array(own, own + 1))
+        .when(to_previous, F.array(own, own - 1))
+        .otherwise(F.array(own))
     )
+    return df.withColumn("block", F.explode(copies)).withColumn("core", F.col("block") == own)
 
 
 def with_ordinal(

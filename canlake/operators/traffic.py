@@ -32,7 +32,9 @@ def ids_per_attack_type(df: DataFrame) -> DataFrame:
 
 
 def classes_per_id(df: DataFrame) -> DataFrame:
-    return df.groupBy("Arbitration_ID").agg(
+    """Labels seen with each identifier, in one text; pairs are deduplicated first."""
+    pairs = df.select("Arbitration_ID", "attack_type").distinct()
+    return pairs.groupBy("Arbitration_ID").agg(
         F.array_join(F.array_sort(F.collect_set("attack_type")), ", ").alias("classes")
     )
 
@@ -96,11 +98,11 @@ def slice_of(df: DataFrame, session: str, can_id: str, t_from: float, t_to: floa
     ).orderBy("Timestamp", "row_id")
 
 
-def active_bytes(df: DataFrame, groups: list[str]) -> DataFrame:
-    """Per group, the byte columns its first frame (in time) uses."""
-    first = df.groupBy(*groups).agg(F.min(F.struct("Timestamp", "row_id", "DLC")).alias("first"))
+def active_bytes(df: DataFrame, groups: list[str], order: str = "pos") -> DataFrame:
+    """Per group, the byte columns its first frame uses."""
+    first = df.groupBy(*groups).agg(F.min_by("DLC", order).alias("dlc"))
     names = F.array(*[F.lit(n) for n in BYTE_COLUMNS])
-    return first.select(*groups, F.slice(names, F.lit(1), F.col("first.DLC")).alias("active"))
+    return first.select(*groups, F.slice(names, F.lit(1), F.col("dlc")).alias("active"))
 
 
 def byte_patterns(laid_out: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def byte_patterns(laid_out: DataFrame) -> DataFrame:
         change = F.col(name) - F.col(f"p{i}")
         figures += [
             F.count(name).alias(f"n{i}"),
-            F.size(F.collect_set(name)).alias(f"u{i}"),
+            *[value_bits(name, word).alias(f"u{i}_{word}") for word in range(4)],
             F.count(change).alias(f"d{i}"),
             F.count_if(change > 0).alias(f"up{i}"),
             F.count_if(change < 0).alias(f"down{i}"),
@@ -145,7 +147,7 @@ def byte_patterns(laid_out: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(i).alias("byte"),
                 pattern_name(
-                    F.lit(i) >= F.col("dlc"), F.col(f"n{i}"), F.col(f"u{i}"), F.col(f"d{i}"),
+                    F.lit(i) >= F.col("dlc"), F.col(f"n{i}"), sum(F.bit_count(f"u{i}_{w}") for w in range(4)), F.col(f"d{i}"),
                     F.col(f"up{i}"), F.col(f"down{i}"),
                 ).alias("pattern"),
             )
@@ -155,6 +157,12 @@ def byte_patterns(laid_out: DataFrame) -> DataFrame:
     return per_id.select("Arbitration_ID", F.inline(rows))
 
 
+def value_bits(name: str, word: int) -> Column:
+    """Which of the byte values ``64 * word`` to ``64 * word + 63`` occur, as 64 bits."""
+    mine = F.shiftright(name, 6) == word
+    return F.bit_or(F.when(mine, F.expr(f"shiftleft(1L, {name} & 63)")).otherwise(F.lit(0).cast("long")))
+
+
 def pattern_name(unused: Column, n: Column, distinct: Column, steps: Column, up: Column, down: Column) -> Column:
     return (
         F.when(unused | (n == 0), "No byte")

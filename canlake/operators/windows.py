@@ -18,6 +18,7 @@ from canlake.operators.normalise import NormStats, scaled_frame_vector
 from canlake.operators.ordering import BLOCK_ROWS, with_halo
 from canlake.schemas import LabelSchema
 
+CLASS_SPAN = 256  # class ids fit one byte
 LABEL_RULES = ("last_frame", "any_attack")
 
 
@@ -38,26 +39,35 @@ def covering_windows(
 def candidate_windows(frames: DataFrame, size: int, stride: int, schema: LabelSchema) -> DataFrame:
     """Full windows at every ``stride`` with the label of their first attack frame.
 
-    A window without attack takes the label of its first frame.
+    A window without attack takes the label of its first frame.  The first attack is
+    kept as ``position * CLASS_SPAN + class``: one number, so that both aggregations
+    stay hash aggregations.
     """
     pane = gcd(size, stride)
-    attack = ~is_benign("Class", schema)
-    head = F.struct("pos", "row_id", "Class")
+    leads = F.col("pos") % pane == 0
+    attack = F.when(~is_benign("Class", schema), F.col("pos") * CLASS_SPAN + F.col("Class"))
     panes = frames.groupBy("session_id", F.floor(F.col("pos") / pane).alias("pane")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(head).alias("head"),
-        F.min(F.when(attack, F.struct("pos", "Class"))).alias("attack"),
+        F.max(F.when(leads, F.col("row_id"))).alias("row_id"),
+        F.max(F.when(leads, F.col("Class"))).alias("lead_class"),
+        F.min(attack).alias("attack"),
     )
+    opens = F.col("pane") == F.col("window") * (stride // pane)
     return (
         panes.withColumn("window", F.explode(covering_windows(F.col("pane") * pane, size, stride, pane)))
         .groupBy("session_id", "window")
-        .agg(F.sum("n").alias("n"), F.min("head").alias("head"), F.min("attack").alias("attack"))
+        .agg(
+            F.sum("n").alias("n"),
+            F.max(F.when(opens, F.col("row_id"))).alias("start_row_id"),
+            F.max(F.when(opens, F.col("lead_class"))).alias("lead_class"),
+            F.min("attack").alias("attack"),
+        )
         .where(F.col("n") == size)
         .select(
             "session_id",
             (F.col("window") * stride).alias("start_pos"),
-            F.col("head.row_id").alias("start_row_id"),
-            F.coalesce(F.col("attack.Class"), F.col("head.Class")).cast("long").alias("label"),
+            "start_row_id",
+            F.coalesce(F.col("attack") % CLASS_SPAN, F.col("lead_class")).cast("long").alias("label"),
         )
     )
 

@@ -95,7 +95,7 @@ def attack_frames(spark, sf_dir):
         FROM (SELECT session_id, Arbitration_ID, min_by(DLC, row_id) AS dlc FROM frames GROUP BY session_id, Arbitration_ID)""",
 )
 def active_bytes(spark, sf_dir):
-    found = traffic.active_bytes(st.frames(spark, sf_dir), ["session_id", "Arbitration_ID"])
+    found = traffic.active_bytes(st.positioned(spark, sf_dir), ["session_id", "Arbitration_ID"])
     return found.withColumn("active", F.array_join("active", " "))
 
 

@@ -74,7 +74,7 @@ def raw_capture_audit(spark, sf_dir):
     from canlake.sources.parsing import cell, has_column, with_header
 
     wanted = ["Timestamp", "SubClass", "Class"]
-    lines = with_header(st.log_lines(spark, sf_dir, "car_hacking_attack_defense"), wanted)
+    lines = with_header(st.log_lines(spark, sf_dir, "car_hacking_attack_defense"), wanted, "Arbitration_ID")
     sub = has_column("SubClass")
     return audits.capture_audit(
         lines.select(

@@ -30,7 +30,7 @@ def parse_attack_defense(lines: DataFrame) -> DataFrame:
 
     Bytes stay as written; extra bytes are ignored.
     """
-    rows = with_header(lines, ["Timestamp", "Arbitration_ID", "DLC", "Data", "SubClass", "Class"])
+    rows = with_header(lines, ["Timestamp", "Arbitration_ID", "DLC", "Data", "SubClass", "Class"], "Arbitration_ID")
     label = F.when(has_column("SubClass"), cell("SubClass")).when(has_column("Class"), cell("Class"))
     rows = rows.withColumns(
         {
@@ -52,7 +52,7 @@ def parse_attack_defense(lines: DataFrame) -> DataFrame:
 
 def parse_ciciov(lines: DataFrame) -> DataFrame:
     """Header CSV without time; bracketed or absent DLC means 8, blank bytes are ``PAD``."""
-    rows = with_header(lines, [*CICIOV_REQUIRED, "DLC"])
+    rows = with_header(lines, [*CICIOV_REQUIRED, "DLC"], "specific_class")
     plain = F.regexp_replace(F.regexp_replace(F.upper("value"), HEX_PREFIX, "$1"), DECIMALS, "")
     rows = once(rows, "hex", F.split(plain, r"\s*,\s*", -1))
     lacking = F.lit(False)

@@ -81,13 +81,14 @@ def captures_without_frames(parsed: DataFrame) -> DataFrame:
     )
 
 
-def with_header(lines: DataFrame, names: list[str]) -> DataFrame:
+def with_header(lines: DataFrame, names: list[str], marker: str) -> DataFrame:
     """Data lines as ``cells``, with the place of each named column in their own file.
 
-    Files of one folder may have different headers.  Each file's first line is looked
-    up once; the table of places, one row per file, is joined back.
+    Files of one folder may have different headers.  A file's header is its first line
+    that names the ``marker`` column; only such lines are aggregated, and the table of
+    places, one row per file, is joined back.  A file without header has no places.
     """
-    heads = lines.where("file_block = 0").groupBy("path").agg(
+    heads = lines.where(F.col("value").contains(marker)).groupBy("path").agg(
         F.min_by("value", "line_key").alias("head"), F.min("line_key").alias("head_key")
     )
     header = F.transform(F.split("head", ","), F.trim)
@@ -98,7 +99,7 @@ def with_header(lines: DataFrame, names: list[str]) -> DataFrame:
         ),
         "headers",
     )
-    rows = filled(lines).join(places, "path").where("line_key <> head_key")
+    rows = filled(lines).join(places, "path", "left").where("NOT (line_key <=> head_key)")
     return once(rows, "cells", F.split("value", ",", -1)).drop("head_key")
 
 
@@ -107,7 +108,7 @@ def place(name: str) -> str:
 
 
 def has_column(name: str) -> Column:
-    return F.col(place(name)) >= 0
+    return F.coalesce(F.col(place(name)) >= 0, F.lit(False))
 
 
 def cell(name: str, cells: str = "cells") -> Column:
@@ -116,15 +117,11 @@ def cell(name: str, cells: str = "cells") -> Column:
 
 
 def with_capture_facts(lines: DataFrame, family: Column) -> DataFrame:
-    """Adds ``t_first``, the time of the file's first well-formed line, and its ``family``.
+    """Adds ``t_first``, the time of the file's first good line, and its ``family``.
 
     Both belong to the file, so they are worked out on one row per file.
     """
-    firsts = lines.where("well_formed").groupBy("path", "session_id").agg(
-        F.min_by(group(1), "line_key").alias("first")
-    )
-    facts = settle(
-        firsts.select("path", F.col("first").try_cast("double").alias("t_first"), family.alias("family")),
-        "capture-facts",
-    )
+    timed = lines.where("well_formed").withColumn("time", group(1).try_cast("double")).where("time IS NOT NULL")
+    firsts = timed.groupBy("path", "session_id").agg(F.min_by("time", "line_key").alias("t_first"))
+    facts = settle(firsts.select("path", "t_first", family.alias("family")), "capture-facts")
     return lines.join(facts, "path", "left")

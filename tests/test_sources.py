@@ -69,7 +69,7 @@ def test_ciciov(spark, tmp_path):
     rows = frames(parsed)
     assert [(r["Arbitration_ID"], r["DLC"], r["attack_type"]) for r in rows] == [("065", 4, "BENIGN"), ("291", 8, "DoS"), ("005", 8, "GAS")]
     assert data(rows[0]) == ["0A", "0F", "PAD", "12", "PAD", "FF", "00", "07"]
-    assert rejects(parsed) == {("benign", "bad_dlc"): 1, ("broken", "missing_columns"): 1}
+    assert rejects(parsed) == {("benign", "bad_dlc"): 1, ("broken", "missing_columns"): 2}  # no header line either
 
 
 def test_hcrl_ragged_csv_and_text(spark, tmp_path):
