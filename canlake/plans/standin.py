@@ -254,16 +254,15 @@ def injections(spark: SparkSession, sf_dir: str) -> DataFrame:
     The interval covers 10 % to 30 % of the capture; odd captures target their most
     frequent identifier, the others any.
     """
-    base = frames(spark, sf_dir)
-    spans = base.groupBy("session_id").agg((F.max("Timestamp") - F.min("Timestamp")).alias("span"))
-    busiest = (
-        base.groupBy("session_id", "Arbitration_ID")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("session_id")
-        .agg(F.min_by("Arbitration_ID", F.struct((-F.col("n")).alias("n"), "Arbitration_ID")).alias("busiest"))
+    per_id = frames(spark, sf_dir).groupBy("session_id", "Arbitration_ID").agg(
+        F.count(F.lit(1)).alias("n"), F.min("Timestamp").alias("t_min"), F.max("Timestamp").alias("t_max")
+    )
+    facts = per_id.groupBy("session_id").agg(
+        (F.max("t_max") - F.min("t_min")).alias("span"),
+        F.min_by("Arbitration_ID", F.struct((-F.col("n")).alias("n"), "Arbitration_ID")).alias("busiest"),
     )
     path = capture_path("road_raw", F.col("session_id"))
-    return spans.join(busiest, "session_id").select(
+    return facts.select(
         F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "").alias("session_id"),
         F.round(F.col("span") * 0.1, 3).alias("t_lo"),
         F.round(F.col("span") * 0.3, 3).alias("t_hi"),

@@ -126,3 +126,14 @@ def test_first_delta_is_zero_and_checked(layout):
     assert deltas.nonzero_first_deltas(prepared).count() == 0
     broken = prepared.withColumn("Deltatime", F.lit(1.0))
     assert deltas.nonzero_first_deltas(broken).count() == 4
+
+
+def test_large_bookkeeping_is_joined_not_broadcast(spark, layout):
+    large = ordering.Layout(spark, layout.path, ordering.BROADCAST_RUNS + 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = large.frames._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+        assert as_dict(large.frames, "row_id", "pos") == as_dict(layout.frames, "row_id", "pos")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
