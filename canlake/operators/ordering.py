@@ -169,22 +169,27 @@ def number_rows(
 ) -> DataFrame:
     """Second pass of ``with_ordinal``; also adds ``<name>_total``, the group size."""
     keys = [*groups, "block"]
-    lookup = before.select(*[F.col(k).alias(f"_{k}") for k in keys], "before", "total")
-    matches = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    condition = matches[0]
-    for match in matches[1:]:
-        condition = condition & match
     inside = W.partitionBy(*keys).orderBy(order)
+    numbered = df.withColumn("block", block_of(order, block_rows)).withColumn(
+        "_inside", F.row_number().over(inside) - 1
+    )
     return (
-        df.withColumn("block", block_of(order, block_rows))
-        .withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(lookup, condition)
+        join_groups(numbered, before.select(*keys, "before", "total"), keys)
         .withColumn(name, (F.col("_inside") + F.col("before")).cast("long"))
         .withColumnRenamed("total", f"{name}_total")
-        .drop(*[f"_{k}" for k in keys], "_inside", "before", "block")
+        .drop("_inside", "before", "block")
     )
 
 
+def join_groups(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Adds per-group facts to rows; a null key is a group like any other."""
+    renamed = facts.withColumnsRenamed({k: f"_{k}" for k in keys})
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return df.join(renamed, condition, how).drop(*[f"_{k}" for k in keys])
+
+
 def in_canonical_order(df: DataFrame) -> DataFrame:
     """The table in (session, time, row) order, for export."""
     return df.orderBy(*session_order(df))

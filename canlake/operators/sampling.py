@@ -6,7 +6,7 @@ from math import floor, gcd
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from canlake.operators.ordering import BLOCK_ROWS, number_rows, rows_before
+from canlake.operators.ordering import BLOCK_ROWS, join_groups, number_rows, rows_before
 from canlake.storage import settle
 
 # Seed spacing of the affine permutation and its stream numbers.
@@ -112,22 +112,38 @@ def evenly_spaced(ordinal: Column, total: Column, points: int) -> Column:
     return F.when(total <= points, F.lit(True)).otherwise(hits | (ordinal == total - 1))
 
 
-def capped_sample(df: DataFrame, groups: list[str], order: str, cap: int, seed: int = 42, salts: int = 64) -> DataFrame:
-    """At most ``cap`` rows per group, picked by a hash of the row and the seed.
+EARLY_SLICES = 8
 
-    The cap is the feature: it bounds a scatter plot.  Each salted share of a group
-    keeps its own best rows first, so a hot group is reduced in parallel and the
-    final ranking sees at most ``cap * salts`` rows.
+
+def capped_sample(df: DataFrame, groups: list[str], order: str, cap: int, seed: int = 42) -> DataFrame:
+    """At most ``cap`` rows per group: those with the smallest hash of seed and row.
+
+    The cap is the feature: it bounds a scatter plot.  The hash range of a group is cut
+    into slices of about ``cap`` rows.  Counting the first few slices tells in which one
+    the cap is reached; only rows up to it are ranked, so a hot group is never sorted
+    as a whole.  Should the counted slices not reach the cap, the group is ranked whole.
     """
-    drawn = df.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(order).cast("string")))).withColumn(
-        "_salt", F.pmod(F.xxhash64(order), F.lit(salts))
+    drawn = df.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(order).cast("string"))))
+    sizes = settle(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    share = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    sliced = join_groups(drawn, sizes, groups).withColumn(
+        "_slice", F.floor(share * F.col("_n") / F.lit(float(cap))).cast("long")
     )
-    partial = W.partitionBy(*groups, "_salt").orderBy("_draw", order)
-    final = W.partitionBy(*groups).orderBy("_draw", order)
+    so_far = F.sum("_c").over(W.partitionBy(*groups).orderBy("_slice"))
+    reached = settle(
+        sliced.where(F.col("_slice") < EARLY_SLICES)
+        .groupBy(*groups, "_slice")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_sum", so_far)
+        .groupBy(*groups)
+        .agg(F.min(F.when(F.col("_sum") >= cap, F.col("_slice"))).alias("_last")),
+        "reached-slices",
+    )
+    best = W.partitionBy(*groups).orderBy("_draw", order)
     return (
-        drawn.withColumn("_rank", F.row_number().over(partial))
-        .where(F.col("_rank") <= cap)
-        .withColumn("_rank", F.row_number().over(final))
+        join_groups(sliced, reached, groups, "left")
+        .where(F.col("_last").isNull() | (F.col("_slice") <= F.col("_last")))
+        .withColumn("_rank", F.row_number().over(best))
         .where(F.col("_rank") <= cap)
-        .drop("_draw", "_salt", "_rank")
+        .drop("_draw", "_n", "_slice", "_last", "_rank")
     )

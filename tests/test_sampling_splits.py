@@ -1,5 +1,6 @@
 """Permutations, samples and splits."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -54,8 +55,19 @@ def test_capped_sample_keeps_small_groups_whole(spark):
     df = spark.range(1000).select(F.col("id").alias("row_id"), F.when(F.col("id") < 10, "small").otherwise("big").alias("g"))
     got = {r["g"]: r["count"] for r in smp.capped_sample(df, ["g"], "row_id", 50).groupBy("g").count().collect()}
     assert got == {"small": 10, "big": 50}
-    again = lambda salts: {r[0] for r in smp.capped_sample(df, ["g"], "row_id", 50, salts=salts).select("row_id").collect()}
-    assert again(1) == again(7) == again(64)
+
+
+@pytest.mark.parametrize("cap", [1, 7, 100, 2000])
+def test_capped_sample_takes_the_smallest_hashes(spark, cap, monkeypatch):
+    group = F.when(F.col("id") % 10 < 6, "hot").when(F.col("id") % 10 < 9, F.concat(F.lit("g"), (F.col("id") % 7).cast("string")))
+    df = spark.range(3000).select(F.col("id").alias("row_id"), group.alias("g"))
+    ranked = {}
+    for row_id, g in df.collect():
+        ranked.setdefault(g, []).append((hashlib.md5(f"42:{row_id}".encode()).hexdigest(), row_id))
+    want = {r for rows in ranked.values() for _, r in sorted(rows)[:cap]}
+    assert {r["row_id"] for r in smp.capped_sample(df, ["g"], "row_id", cap).collect()} == want
+    monkeypatch.setattr(smp, "EARLY_SLICES", 0)  # nothing counted: every group is ranked whole
+    assert {r["row_id"] for r in smp.capped_sample(df, ["g"], "row_id", cap).collect()} == want
 
 
 @pytest.fixture(scope="module")
