@@ -10,13 +10,14 @@ class 1 is rare, classes 2 and 3 are frequent.  A prefix of a set is indexed: a
 shingle by itself, frequent ones as combinations of 2 or 3 of the same class and bin.  A
 linked document lacks at most ``missing = size - ceil(percent size / 100)`` shingles of the set,
 and ``k`` shared members of a class and bin are needed for one shared combination, so the prefix is extended
-until ``sum(members - k + 1)`` over classes and bins is greater than ``missing``.  Of two linked
-sets, the one whose prefix ends first shares a combination with the other.  The number of
-bins depends on the size level, so that combinations stay linear in the size; levels are
+until ``sum(members - k + 1)`` over classes and bins is greater than ``missing + spare``.  Of two linked
+sets, the one whose prefix ends first shares more than ``spare`` signatures with the other: documents that
+only have a passage in common drop out before any set is compared.  The number of bins depends on the size level, so that combinations stay linear in the size; levels are
 spaced so that linked sets differ by one at most, and each set is indexed at its own
 level and the next.  Small sets are indexed by single shingles only.
 
-Signatures that meet give candidates.  First every node is verified against one node
+Signatures that meet give candidates, once nodes and pairs with too few of them are gone.
+First every node is verified against one node
 that it meets most often; then only pairs that are not yet in one component are
 verified, so a large group of near copies costs no pair for every two of its members
 and no link that matters is left out.  Verification compares whole sets.
@@ -43,6 +44,16 @@ from canlake.storage import settle
 SMALL = 12
 #: Prefix members that a bin of a frequent class should hold.
 IN_BIN = 6
+#: Hundredths of a set by which its prefix is extended.
+SPARE_PERCENT = 10
+
+
+def spare(size: int) -> int:
+    return 0 if size < 2 * SMALL else size * SPARE_PERCENT // 100
+
+
+#: The same in SQL.
+SPARE_SQL = f"if({{0}} < {2 * SMALL}, 0, {{0}} * {SPARE_PERCENT} div 100)"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,17 +96,16 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
 def signatures(members: np.ndarray, kinds: np.ndarray, percent: int, starts: np.ndarray) -> np.ndarray:
     """Index keys of one set; ``members`` ascend by (class, hash)."""
     n = len(members)
-    missing = n - -(-percent * n // 100)
+    wanted = n - -(-percent * n // 100) + 1 + spare(n)
+    # Sets that may link with a small one are indexed like a small one too.
+    small = [K.mixed(members[:wanted] ^ np.uint64(0x51))] if n < 2 * SMALL else []
+    if n < SMALL:
+        return small[0]
     rare = int(np.searchsorted(kinds, 2))
-    if rare > missing or n < SMALL:
-        # Rare shingles alone do; sets that may link with a small one fall back to singles at its levels.
-        singles = members[: missing + 1]
-        extra = [] if n >= SMALL * 2 else [K.mixed(members[: missing + 1] ^ np.uint64(0x51))]
-        return np.concatenate([singles[: max(rare, 0)] if n >= SMALL else singles[:0], *extra])
+    if rare >= wanted:
+        return np.concatenate([members[:wanted], *small])
+    found = [members[:rare], *small]
     own = int(np.searchsorted(starts, n, side="right")) - 1
-    found = [members[:rare]]
-    if n < SMALL * 2:
-        found.append(K.mixed(members[: missing + 1] ^ np.uint64(0x51)))
     for level in (own, own + 1):
         bins = max(1, (int(starts[level]) * (100 - percent) // 100) // IN_BIN)
         place = (K.mixed(members[rare:] + np.uint64(level)) % np.uint64(bins)).astype(np.int64)
@@ -106,16 +116,15 @@ def signatures(members: np.ndarray, kinds: np.ndarray, percent: int, starts: np.
         ranked[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
         # The i-th member of a cell adds one once the cell has enough for a combination.
         useful = np.cumsum(ranked >= kinds[rare:] - 1)
-        end = int(np.searchsorted(useful, missing + 1 - rare)) + 1
+        end = int(np.searchsorted(useful, wanted - rare)) + 1
         used, kept = members[rare : rare + end], cell[:end]
         for c in np.unique(kept):
             group = used[kept == c]
             tag = np.uint64(level * 64 + int(c) % 4)
+            i, j = np.triu_indices(len(group), 1)
             if c % 4 == 2:
-                i, j = np.triu_indices(len(group), 1)
                 found.append(K.mixed(K.mixed(group[i] ^ tag) + group[j]))
             else:
-                i, j = np.triu_indices(len(group), 1)
                 for m in range(2, len(group)):
                     below = j < m
                     found.append(K.mixed(K.mixed(K.mixed(group[i[below]] ^ tag) + group[j[below]]) ^ group[m]))
@@ -175,59 +184,50 @@ def index_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def meetings(index: DataFrame) -> DataFrame:
-    """Rows of the signatures that two or more nodes have, with the signature's first node as hub.
+    """The rows of the signatures that two or more nodes have, each (signature, node) once.
 
     Rows stream in the order (signature, node); one row is held back, never a list.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["signature", "node", "size", "hub", "hub_size"]
-        last = None  # signature, node, hub, hub size, whether the hub's own row waits
+        last, out = None, False  # the row before, and whether it has been given
         for batch in batches:
-            signature, node, size = (batch.column(i).to_numpy() for i in range(3))
-            if last is not None:  # the row before, so that groups go on
-                signature, node = np.insert(signature, 0, last[0]), np.insert(node, 0, last[1])
-                size = np.insert(size, 0, last[3] if last[4] else 0)
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            if last is not None:
+                rows = [np.insert(column, 0, value) for column, value in zip(rows, last)]
+            signature, node, _ = rows
             fresh = np.ones(len(node), dtype=bool)
             fresh[1:] = (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])
-            signature, node, size = signature[fresh], node[fresh], size[fresh]
-            begin = np.ones(len(node), dtype=bool)
-            begin[1:] = signature[1:] != signature[:-1]
+            rows = [column[fresh] for column in rows]
+            begin = np.ones(len(rows[0]), dtype=bool)
+            begin[1:] = rows[0][1:] != rows[0][:-1]
             group = np.cumsum(begin) - 1
-            first = np.flatnonzero(begin)
-            count = np.diff(np.append(first, len(node)))
-            hub, hub_size = node[first], size[first].copy()
-            going_on = last is not None and not last[4]
-            if last is not None:
-                hub[0], hub_size[0] = last[2], last[3]
-            emit = (count > 1)[group]
-            if going_on:
-                emit[group == 0] = True
-                emit[0] = False  # already out
-            end = group[-1]
-            waits = count[end] == 1 and not (going_on and end == 0)
-            last = (signature[-1], node[-1], hub[end], hub_size[end], bool(waits))
-            rows = np.flatnonzero(emit)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signature[rows]), pa.array(node[rows]), pa.array(size[rows]), pa.array(hub[group[rows]]), pa.array(hub_size[group[rows]])], names=names
-            )
+            give = (np.bincount(group) > 1)[group]
+            given = give[-1] or (out and group[-1] == 0)
+            if out:
+                give[0] = False
+            last, out = [column[-1] for column in rows], bool(given)
+            yield pa.RecordBatch.from_arrays([pa.array(column[give]) for column in rows], names=["signature", "node", "size"])
 
     ordered = index.repartition(partitions(index), "signature").sortWithinPartitions("signature", "node")
-    return ordered.mapInArrow(run, "signature long, node long, size int, hub long, hub_size int")
+    return ordered.mapInArrow(run, "signature long, node long, size int")
+
+
+def enough(met: DataFrame) -> DataFrame:
+    """Drops the rows of nodes that meet others in too few signatures to be linked."""
+    nodes = met.groupBy("node").agg(F.count("*").alias("n"), F.first("size").alias("_size"))
+    nodes = settle(nodes.where(f"n > {SPARE_SQL.format('_size')}").select("node"), "nodes-met")
+    return met.join(nodes, "node", "left_semi")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, members) for ``nodes``; texts are read again and pass a bitmap of fixed size first."""
 
     def as_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return data.view(np.uint64), offsets
+        return data.view(">u8").astype(np.uint64), offsets
 
     packed = nodes.select(F.unhex(F.lpad(F.hex("node"), 16, "0")).alias("text"))
-
-    def reversed_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return as_terms(data, offsets)[0].byteswap(), offsets
-
-    wanted, _ = document_counts(packed, reversed_terms)
+    wanted, _ = document_counts(packed, as_terms)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,13 +277,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def node_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between different sets that give the components of all links."""
-    met = settle(meetings(index_of(docs, width, percent)), "meetings")
+    met = settle(enough(settle(meetings(index_of(docs, width, percent)), "meetings")), "meetings-enough")
 
     def fits(x: str, y: str) -> str:
         return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
 
-    close = met.where(f"node <> hub and {fits('size', 'hub_size')}").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    best = close.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    hubs = met.groupBy("signature").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    starred = met.join(hubs.select("signature", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "signature")
+    close = starred.where(f"node <> hub and {fits('size', 'hub_size')}").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = settle(close.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")), "best-hubs")
     sets = settle(whole_sets(docs, met.select("node").distinct(), width), "sets")
     first = settle(verified(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "links")
 
@@ -298,7 +300,11 @@ def node_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     strays = rows.where("component <> main").select("signature", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("component").alias("x_group"))
     others = rows.select("signature", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("y_group"), "main")
     pairs = strays.join(others, "signature").where(f"x_group <> y_group and (y_group = main or x < y) and {fits('x_size', 'y_size')}")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # Each signature that two nodes share gives the pair once, so the count is exact.
+    least = f"least({SPARE_SQL.format('x_size')}, {SPARE_SQL.format('y_size')})"
+    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
+        F.count("*").alias("n"), F.first(F.expr(least)).alias("spare")
+    ).where("n > spare")
     return first.union(settle(verified(pairs, sets, percent), "links"))
 
 
