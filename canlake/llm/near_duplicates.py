@@ -16,8 +16,12 @@ only have a passage in common drop out before any set is compared.  The number o
 spaced so that linked sets differ by one at most, and each set is indexed at its own
 level and the next.  Small sets are indexed by single shingles only.
 
-Signatures that meet give candidates, once nodes and pairs with too few of them are gone.
-First every node is verified against one node
+A signature also carries its cost, the sum of ``members - k + 1`` over the prefix before its last
+member.  If it is the first that two sets share, both lack as many shingles as it costs,
+which bounds the size of the partner; rows without a partner of such a size are dropped, so
+a group of texts that are alike but not alike enough gives no pairs.
+
+Signatures that meet give candidates, once nodes with too few of them are gone.  First every node is verified against one node
 that it meets most often; then only pairs that are not yet in one component are
 verified, so a large group of near copies costs no pair for every two of its members
 and no link that matters is left out.  Verification compares whole sets.
@@ -43,9 +47,9 @@ from canlake.storage import settle
 #: Sets below this size are indexed by single shingles.
 SMALL = 12
 #: Prefix members that a bin of a frequent class should hold.
-IN_BIN = 6
+IN_BIN = 4
 #: Hundredths of a set by which its prefix is extended.
-SPARE_PERCENT = 10
+SPARE_PERCENT = 20
 
 
 def spare(size: int) -> int:
@@ -93,21 +97,22 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
     return (1 + (counts > bound) + (counts > 8 * bound)).astype(np.uint8)
 
 
-def signatures(members: np.ndarray, kinds: np.ndarray, percent: int, starts: np.ndarray) -> np.ndarray:
-    """Index keys of one set; ``members`` ascend by (class, hash)."""
+def signatures(members: np.ndarray, kinds: np.ndarray, percent: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set and their costs; ``members`` ascend by (class, hash)."""
     n = len(members)
     wanted = n - -(-percent * n // 100) + 1 + spare(n)
     # Sets that may link with a small one are indexed like a small one too.
     small = [K.mixed(members[:wanted] ^ np.uint64(0x51))] if n < 2 * SMALL else []
+    small_cost = [np.arange(len(k)) for k in small]
     if n < SMALL:
-        return small[0]
-    rare = int(np.searchsorted(kinds, 2))
-    if rare >= wanted:
-        return np.concatenate([members[:wanted], *small])
-    found = [members[:rare], *small]
+        return small[0], small_cost[0]
+    rare = min(int(np.searchsorted(kinds, 2)), wanted)
+    found, costs = [members[:rare], *small], [np.arange(rare), *small_cost]
+    if rare == wanted:
+        return np.concatenate(found), np.concatenate(costs)
     own = int(np.searchsorted(starts, n, side="right")) - 1
     for level in (own, own + 1):
-        bins = max(1, (int(starts[level]) * (100 - percent) // 100) // IN_BIN)
+        bins = max(1, int(starts[level]) * (100 - percent + SPARE_PERCENT) // 100 // IN_BIN)
         place = (K.mixed(members[rare:] + np.uint64(level)) % np.uint64(bins)).astype(np.int64)
         cell = place * 4 + kinds[rare:]
         order = np.argsort(cell, kind="stable")
@@ -118,17 +123,21 @@ def signatures(members: np.ndarray, kinds: np.ndarray, percent: int, starts: np.
         useful = np.cumsum(ranked >= kinds[rare:] - 1)
         end = int(np.searchsorted(useful, wanted - rare)) + 1
         used, kept = members[rare : rare + end], cell[:end]
+        before = rare + np.concatenate([[0], useful])
         for c in np.unique(kept):
-            group = used[kept == c]
+            places = np.flatnonzero(kept == c)
+            group, cost = used[places], before[places]
             tag = np.uint64(level * 64 + int(c) % 4)
             i, j = np.triu_indices(len(group), 1)
             if c % 4 == 2:
                 found.append(K.mixed(K.mixed(group[i] ^ tag) + group[j]))
+                costs.append(cost[j])
             else:
                 for m in range(2, len(group)):
                     below = j < m
                     found.append(K.mixed(K.mixed(K.mixed(group[i[below]] ^ tag) + group[j[below]]) ^ group[m]))
-    return np.concatenate(found)
+                    costs.append(np.full(int(below.sum()), cost[m]))
+    return np.concatenate(found), np.concatenate(costs)
 
 
 def sets_of(docs: DataFrame, key: str, width: int) -> DataFrame:
@@ -148,7 +157,7 @@ def sets_of(docs: DataFrame, key: str, width: int) -> DataFrame:
 
 
 def index_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(signature, node, size) of every set; a task gives each set once."""
+    """(signature, node, size, cost) of every set; a task gives each set once."""
     counts, _ = document_counts(docs, lambda data, offsets: shingle_sets(data, offsets, width))
     # One byte for each counter of the sketch, whatever the corpus.
     shared = docs.sparkSession.sparkContext.broadcast(classes_of(counts))
@@ -162,7 +171,7 @@ def index_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 members, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 kinds = class_of[counter_of(members)]
                 nodes = set_hash(members, at)
-                found, sizes = [], []
+                found, prices, sizes = [], [], []
                 for r in range(b - a):
                     sizes.append(0)
                     if at[r] == at[r + 1] or nodes[r] in seen:
@@ -170,17 +179,19 @@ def index_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     seen.add(nodes[r])
                     own, kind = members[at[r] : at[r + 1]], kinds[at[r] : at[r + 1]]
                     order = np.argsort(kind, kind="stable")
-                    keys = signatures(own[order], kind[order], percent, starts)
+                    keys, cost = signatures(own[order], kind[order], percent, starts)
                     found.append(keys)
+                    prices.append(cost)
                     sizes[-1] = len(keys)
                 if not found:
                     continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(np.diff(at).astype(np.int32), sizes))],
-                    names=["signature", "node", "size"],
+                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(np.diff(at).astype(np.int32), sizes)),
+                     pa.array(np.concatenate(prices).astype(np.int32))],
+                    names=["signature", "node", "size", "cost"],
                 )
 
-    return docs.select("text").mapInArrow(run, "signature long, node long, size int")
+    return docs.select("text").mapInArrow(run, "signature long, node long, size int, cost int")
 
 
 def meetings(index: DataFrame) -> DataFrame:
@@ -192,10 +203,10 @@ def meetings(index: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, out = None, False  # the row before, and whether it has been given
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(3)]
+            rows = [batch.column(i).to_numpy() for i in range(4)]
             if last is not None:
                 rows = [np.insert(column, 0, value) for column, value in zip(rows, last)]
-            signature, node, _ = rows
+            signature, node = rows[:2]
             fresh = np.ones(len(node), dtype=bool)
             fresh[1:] = (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])
             rows = [column[fresh] for column in rows]
@@ -207,10 +218,10 @@ def meetings(index: DataFrame) -> DataFrame:
             if out:
                 give[0] = False
             last, out = [column[-1] for column in rows], bool(given)
-            yield pa.RecordBatch.from_arrays([pa.array(column[give]) for column in rows], names=["signature", "node", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(column[give]) for column in rows], names=["signature", "node", "size", "cost"])
 
     ordered = index.repartition(partitions(index), "signature").sortWithinPartitions("signature", "node")
-    return ordered.mapInArrow(run, "signature long, node long, size int")
+    return ordered.mapInArrow(run, "signature long, node long, size int, cost int")
 
 
 def enough(met: DataFrame) -> DataFrame:
@@ -277,34 +288,43 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def node_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between different sets that give the components of all links."""
-    met = settle(enough(settle(meetings(index_of(docs, width, percent)), "meetings")), "meetings-enough")
+
+    def common(x: str, y: str) -> str:  # shingles that linked sets of these sizes share at least
+        return f"-((-{percent} * ({x} + {y})) div {100 + percent})"
 
     def fits(x: str, y: str) -> str:
         return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
 
-    hubs = met.groupBy("signature").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    starred = met.join(hubs.select("signature", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "signature")
-    close = starred.where(f"node <> hub and {fits('size', 'hub_size')}").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    met = enough(settle(meetings(index_of(docs, width, percent)), "meetings"))
+    met = settle(met.where(f"100 * cost <= {100 - percent} * size"), "meetings-enough")
+    least = met.groupBy("signature").agg(F.min("size").alias("least"))
+    met = met.join(least, "signature").where(f"cost <= size - ({common('size', f'greatest(least, -((-{percent} * size) div 100))')})").drop("least")
+    lists = settle(met, "meetings-possible")
+    hubs = lists.groupBy("signature").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    met = lists.join(hubs.select("signature", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "signature")
+    met = settle(met, "meetings-starred")
+    close = met.where(f"node <> hub and {fits('size', 'hub_size')}").groupBy("node", "hub").agg(F.count("*").alias("n"))
     best = settle(close.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")), "best-hubs")
     sets = settle(whole_sets(docs, met.select("node").distinct(), width), "sets")
     first = settle(verified(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "links")
 
     group = components(first, "first")
     labelled = settle(
-        met.join(group, "node", "left").select("signature", "node", "size", F.coalesce("component", "node").alias("component")), "meetings-labelled"
+        met.join(group, "node", "left").select("signature", "node", "size", "cost", F.coalesce("component", "node").alias("component")), "meetings-labelled"
     )
     # Within a signature, only rows outside its largest component look for partners.
     parts = labelled.groupBy("signature", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("signature").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("groups")).where("groups > 1")
     rows = settle(labelled.join(mixed.select("signature", "main"), "signature"), "meetings-mixed")
-    strays = rows.where("component <> main").select("signature", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("component").alias("x_group"))
-    others = rows.select("signature", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("y_group"), "main")
-    pairs = strays.join(others, "signature").where(f"x_group <> y_group and (y_group = main or x < y) and {fits('x_size', 'y_size')}")
-    # Each signature that two nodes share gives the pair once, so the count is exact.
-    least = f"least({SPARE_SQL.format('x_size')}, {SPARE_SQL.format('y_size')})"
-    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-        F.count("*").alias("n"), F.first(F.expr(least)).alias("spare")
-    ).where("n > spare")
+    strays, others = (
+        rows.select("signature", "main", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "cost", "component"))) for side in ("x", "y")
+    )
+    share = common("x_size", "y_size")
+    pairs = strays.where("x_component <> main").drop("main").join(others, "signature").where(
+        f"x_component <> y_component and (y_component = main or x_node < y_node) and {fits('x_size', 'y_size')} "
+        f"and x_cost <= x_size - ({share}) and y_cost <= y_size - ({share})"
+    )
+    pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     return first.union(settle(verified(pairs, sets, percent), "links"))
 
 
