@@ -9,30 +9,31 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from canlake.operators.ordering import BLOCK_ROWS, join_groups, number_rows, rows_before
 from canlake.storage import settle
 
-# Seed spacing of the affine permutation and its stream numbers.
-LABEL_STEP = 1_000_003
-STREAM_STEP = 97_003
 STREAM_DOWNSAMPLE, STREAM_WINDOWS, STREAM_FRAMES = 0, 1, 2
 
 
 def permutation_of(size: int, seed: int, label: int, stream: int) -> tuple[int, int]:
-    """Multiplier (coprime to ``size``) and offset of the permutation of ``range(size)``."""
+    """Multiplier and shift of the permutation ``(ordinal * multiplier + shift) mod size``.
+
+    The multiplier is the first number from the golden section of ``size`` on without a common
+    divisor, so neighbouring ordinals land far apart at any size and no split holds
+    more than a few neighbours in a row.  Seed, label and stream set the shift.
+    """
     if size < 2:
         return 1, 0
-    base = abs(seed) + LABEL_STEP * (label + 1) + STREAM_STEP * (stream + 1)
-    start = base % size or 1
-    multiplier = next(
-        m for m in ((start + step - 1) % size + 1 for step in range(size)) if gcd(m, size) == 1
-    )
-    return multiplier, (2 * base + label + stream) % size
+    multiplier = size * 618_034 // 1_000_000
+    while gcd(multiplier, size) != 1:
+        multiplier += 1
+    return multiplier, (seed * 7_919 + label * 104_729 + stream * 1_299_709 + 1) % size
 
 
 def permuted(ordinal: Column, label: str, sizes: dict[int, int], seed: int, stream: int) -> Column:
-    """Permuted rank of an ordinal in its label, one literal pair per label."""
+    """Permuted rank of an ordinal in its label, one literal pair per label; exact at any size."""
     rank = None
+    wide = ordinal.cast("decimal(19,0)")
     for value, size in sorted(sizes.items()):
-        multiplier, offset = permutation_of(size, seed, value, stream)
-        here = (ordinal * F.lit(multiplier) + F.lit(offset)) % F.lit(max(size, 1))
+        multiplier, shift = (F.lit(x).cast("decimal(18,0)") for x in permutation_of(size, seed, value, stream))
+        here = (wide * multiplier + shift) % F.lit(max(size, 1)).cast("decimal(18,0)")
         rank = F.when(F.col(label) == value, here) if rank is None else rank.when(F.col(label) == value, here)
     return rank.cast("long")
 

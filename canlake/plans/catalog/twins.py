@@ -80,12 +80,11 @@ def permutation(source: str, label: str, stream: int, name: str, size_of: str =
     """CTE ``name``: size, multiplier and offset of the permutation per label of ``source``."""
     return f"""
 {name}_n AS (SELECT {label} AS lab, CAST({size_of} AS BIGINT) AS size FROM {source} GROUP BY {label}),
-{name}_b AS (SELECT lab, size, {seed} + (lab + 1) * 1000003 + ({stream} + 1) * 97003 AS base FROM {name}_n),
 {name} AS (
-  SELECT lab, size, min_by(m, i) AS mult, any_value((base * 2 + lab + {stream}) % size) AS offs
-  FROM (SELECT lab, size, base, i, ((CASE WHEN base % size = 0 THEN 1 ELSE base % size END) + i - 1) % size + 1 AS m
-        FROM {name}_b, unnest(range(0, 500)) AS t(i))
-  WHERE gcd(m, size) = 1 GROUP BY lab, size
+  SELECT lab, size, CASE WHEN size < 2 THEN 1 ELSE min(m) END AS mult,
+         any_value(({seed} * 7919 + lab * 104729 + {stream} * 1299709 + 1) % size) AS offs
+  FROM (SELECT lab, size, size * 618034 // 1000000 + i AS m FROM {name}_n, unnest(range(0, 500)) AS t(i))
+  WHERE gcd(m, size) = 1 OR size < 2 GROUP BY lab, size
 )"""
 
 

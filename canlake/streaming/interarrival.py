@@ -15,17 +15,16 @@ def event_time():
     return F.timestamp_micros(F.round(F.col("Timestamp") * 1e6).cast("long"))
 
 
-def live_delta_id(frames: DataFrame, lateness: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
+def live_delta_id(frames: DataFrame) -> DataFrame:
     """``Delta_Id`` on a stream of frames, keeping one number per (session, identifier).
 
-    A frame older than the last one seen is marked ``late`` and gets no delta.  A key
-    without frames for ``idle_ms`` beyond the watermark is forgotten.
+    A frame older than the last one seen of its key is marked ``late`` and gets no delta; it is
+    never dropped, so rows out equal rows in.  There is no watermark, which would filter
+    late frames uncounted, and no expiry, which would reset a silent key's gap: the state is
+    one number for each identifier of a session.
     """
 
     def advance(key, chunks, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(["Timestamp", "row_id"], ignore_index=True)
         late = rows["Timestamp"] < last if last is not None else pd.Series(False, index=rows.index)
@@ -35,7 +34,6 @@ def live_delta_id(frames: DataFrame, lateness: str = "10 seconds", idle_ms: int
             previous.iloc[0] = good.iloc[0] if last is None else last
             last = float(good.iloc[-1])
         state.update((last,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(last * 1000)) + idle_ms)
         yield pd.DataFrame(
             {
                 "session_id": key[0],
@@ -49,10 +47,9 @@ def live_delta_id(frames: DataFrame, lateness: str = "10 seconds", idle_ms: int
         )
 
     return (
-        frames.select("session_id", "Arbitration_ID", "row_id", "Timestamp", event_time().alias("event_time"))
-        .withWatermark("event_time", lateness)
+        frames.select("session_id", "Arbitration_ID", "row_id", "Timestamp")
         .groupBy("session_id", "Arbitration_ID")
-        .applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
     )
 
 

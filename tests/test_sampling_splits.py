@@ -25,9 +25,23 @@ def test_permutation_is_a_bijection(size, label, stream):
 
 
 def test_permutation_takes_the_next_coprime_multiplier():
-    # base = 42 + 1000003 + 97003 = 1097048; an even size needs an odd multiplier
-    assert smp.permutation_of(10, 42, 0, 0) == (9, (2 * 1097048) % 10)
-    assert smp.permutation_of(4, 42, 0, 0) == (1, 0)  # 1097048 % 4 == 0 starts at 1
+    assert smp.permutation_of(10, 42, 0, 0) == (7, (42 * 7919 + 1) % 10)  # golden section 6 is even
+    assert smp.permutation_of(4, 42, 0, 0)[0] == 3
+    assert smp.permutation_of(1, 42, 0, 0) == (1, 0)
+
+
+@pytest.mark.parametrize("size", [10**10, 10**13])
+def test_permutation_is_exact_and_spread_at_scale(spark, size):
+    seed = 2**31
+    m, o = smp.permutation_of(size, seed, 9, 1)
+    rows = spark.range(size - 200, size).selectExpr("id", "9 AS label")
+    ranks = [r[0] for r in rows.select(smp.permuted(F.col("id"), "label", {9: size}, seed, 1)).collect()]
+    assert ranks == [(i * m + o) % size for i in range(size - 200, size)]
+    in_train, longest = 0, 0
+    for r in ranks:
+        in_train = in_train + 1 if r < size * 0.6 else 0
+        longest = max(longest, in_train)
+    assert longest <= 4
 
 
 @pytest.mark.parametrize(

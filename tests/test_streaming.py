@@ -36,6 +36,7 @@ def test_ingest_picks_up_new_files_only_once(spark, tmp_path):
 
 def test_live_deltas_over_batches(spark, make_frames, tmp_path):
     rows = [(i, "s", 100 + i * 0.25, ["100", "200", "300"][i % 3], 0) for i in range(60)]
+    rows.append((60, "s", 1100.0, "100", 0))  # silent for a quarter of an hour
     late = [(90, "s", 101.0, "100", 0)]
     columns = ["session_id", "Arbitration_ID", "row_id", "Timestamp"]
     source, out = tmp_path / "in", str(tmp_path / "out")
@@ -43,13 +44,14 @@ def test_live_deltas_over_batches(spark, make_frames, tmp_path):
         make_frames(batch).select(*columns).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("session_id string, Arbitration_ID string, row_id long, Timestamp double").parquet(str(source))
         (
-            live_delta_id(stream, lateness="1 hour").writeStream.format("parquet").option("path", out)
+            live_delta_id(stream).writeStream.format("parquet").option("path", out)
             .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
         )
     got = spark.read.schema(OUTPUT).parquet(out)
     want = {r["row_id"]: r["Delta_Id"] for r in with_delta_id(lay_out(make_frames(rows)).frames).collect()}
     assert {r["row_id"]: r["Delta_Id"] for r in got.where("NOT late").collect()} == want
     assert late_counts(got).collect() == [("s", 1)]
+    assert got.count() == len(rows) + len(late)
 
 
 def test_tumbling_load_stream_equals_batch(spark, make_frames, tmp_path):
