@@ -21,8 +21,8 @@ member.  If it is the first that two sets share, both lack as many shingles as i
 which bounds the size of the partner; rows without a partner of such a size are dropped, so
 a group of texts that are alike but not alike enough gives no pairs.
 
-Signatures that meet give candidates, once nodes with too few of them are gone.  First every node is verified against one node
-that it meets most often; then only pairs that are not yet in one component are
+Signatures that meet give candidates, once nodes with too few of them are gone.  First every node is verified, in
+``HUB_ROUNDS`` rounds, against one of the nodes that meet most others; then only pairs that are not yet in one component are
 verified, so a large group of near copies costs no pair for every two of its members
 and no link that matters is left out.  Verification compares whole sets.
 
@@ -50,6 +50,8 @@ SMALL = 12
 IN_BIN = 4
 #: Hundredths of a set by which its prefix is extended.
 SPARE_PERCENT = 20
+#: Rounds in which nodes are verified against central ones; results do not depend on it.
+HUB_ROUNDS = 2
 
 
 def spare(size: int) -> int:
@@ -300,32 +302,47 @@ def node_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     least = met.groupBy("signature").agg(F.min("size").alias("least"))
     met = met.join(least, "signature").where(f"cost <= size - ({common('size', f'greatest(least, -((-{percent} * size) div 100))')})").drop("least")
     lists = settle(met, "meetings-possible")
-    hubs = lists.groupBy("signature").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    met = lists.join(hubs.select("signature", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "signature")
-    met = settle(met, "meetings-starred")
-    close = met.where(f"node <> hub and {fits('size', 'hub_size')}").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    best = settle(close.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")), "best-hubs")
-    sets = settle(whole_sets(docs, met.select("node").distinct(), width), "sets")
-    first = settle(verified(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "links")
-
-    group = components(first, "first")
-    labelled = settle(
-        met.join(group, "node", "left").select("signature", "node", "size", "cost", F.coalesce("component", "node").alias("component")), "meetings-labelled"
-    )
-    # Within a signature, only rows outside its largest component look for partners.
-    parts = labelled.groupBy("signature", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("signature").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    rows = settle(labelled.join(mixed.select("signature", "main"), "signature"), "meetings-mixed")
+    # A node's centrality: how often it meets others.  The text that others were edited from meets most.
+    shared = lists.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
+    met = settle(lists.join(shared, "signature"), "meetings-shared")
+    central = settle(met.groupBy("node").agg(F.sum(F.col("n") - 1).alias("central")), "centralities")
+    rows = settle(met.drop("n").join(central, "node"), "meetings-central")
+    sets = settle(whole_sets(docs, central.select("node"), width), "sets")
+
+    share = common("x_size", "y_size")
+    possible = f"{fits('x_size', 'y_size')} and x_cost <= x_size - ({share}) and y_cost <= y_size - ({share})"
+    rows = rows.withColumn("component", F.col("node"))
+    hubs = links = tried = None
+    for _ in range(HUB_ROUNDS):
+        after = rows
+        if hubs is not None:  # the next central node of each signature
+            after = rows.join(hubs.select("signature", F.struct("y_central", "y_node").alias("_last")), "signature").where(F.struct("central", "node") < F.col("_last"))
+        hubs = after.groupBy("signature").agg(F.max(F.struct("central", "node", "size", "cost", "component")).alias("hub"))
+        hubs = settle(hubs.select("signature", *(F.col(f"hub.{c}").alias(f"y_{c}") for c in ("central", "node", "size", "cost", "component"))), "hubs")
+        own = rows.select("signature", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "cost", "component")))
+        close = own.join(hubs, "signature").where(f"x_component <> y_component and {possible}")
+        close = close.groupBy(F.col("x_node").alias("node"), F.col("y_node").alias("hub")).agg(F.count("*").alias("n"))
+        if tried is not None:
+            close = close.join(tried, ["node", "hub"], "left_anti")
+        best = settle(close.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select("node", "hub"), "best-hubs")
+        tried = best if tried is None else tried.union(best)
+        found = settle(verified(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "links")
+        links = found if links is None else links.union(found)
+        # Within a signature, only rows outside its largest component look for partners from here on.
+        group = components(links, "hub-rounds")
+        labelled = rows.drop("component", "main").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        labelled = settle(labelled, "meetings-labelled")
+        parts = labelled.groupBy("signature", "component").agg(F.count("*").alias("n"))
+        mixed = parts.groupBy("signature").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("groups")).where("groups > 1")
+        rows = settle(labelled.join(mixed.select("signature", "main"), "signature"), "meetings-mixed")
     strays, others = (
         rows.select("signature", "main", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "cost", "component"))) for side in ("x", "y")
     )
-    share = common("x_size", "y_size")
     pairs = strays.where("x_component <> main").drop("main").join(others, "signature").where(
-        f"x_component <> y_component and (y_component = main or x_node < y_node) and {fits('x_size', 'y_size')} "
-        f"and x_cost <= x_size - ({share}) and y_cost <= y_size - ({share})"
+        f"x_component <> y_component and (y_component = main or x_node < y_node) and {possible}"
     )
     pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    return first.union(settle(verified(pairs, sets, percent), "links"))
+    return links.union(settle(verified(pairs, sets, percent), "links"))
 
 
 def near_duplicate_groups(docs: DataFrame, key: str, width: int, percent: int) -> DataFrame:
