@@ -53,7 +53,7 @@ def document_counts(texts: DataFrame, terms_of: Callable) -> tuple[np.ndarray, i
             for chunk, n, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 rows += n
                 if counts:
-                    found = np.frombuffer(zlib.decompress(counts), np.uint32)
+                    found = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.uint64)
                     sums[chunk] = sums[chunk] + found if chunk in sums else found
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1, *sums], pa.int32()), pa.array([rows, *[0] * len(sums)], pa.int64()),
@@ -62,10 +62,10 @@ def document_counts(texts: DataFrame, terms_of: Callable) -> tuple[np.ndarray, i
         )
 
     schema = "chunk int, n long, counts binary"
-    total, rows = np.zeros((CHUNKS, (1 << BITS) // CHUNKS), np.uint32), 0
-    # At most CHUNKS rows with 8 MB together come to the driver.
+    total, rows = np.zeros((CHUNKS, (1 << BITS) // CHUNKS), np.uint64), 0
+    # At most CHUNKS rows with 16 MB together come to the driver.
     for row in texts.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toLocalIterator():
         rows += row["n"]
         if row["chunk"] >= 0:
-            total[row["chunk"]] += np.frombuffer(row["counts"], np.uint32)
+            total[row["chunk"]] += np.frombuffer(row["counts"], np.uint64)
     return total.reshape(-1), rows
