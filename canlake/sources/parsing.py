@@ -88,8 +88,9 @@ def with_header(lines: DataFrame, names: list[str], marker: str) -> DataFrame:
     that names the ``marker`` column; only such lines are aggregated, and the table of
     places, one row per file, is joined back.  A file without header has no places.
     """
+    in_file = F.struct("file_block", "line_key")
     heads = lines.where(F.col("value").contains(marker)).groupBy("path").agg(
-        F.min_by("value", "line_key").alias("head"), F.min("line_key").alias("head_key")
+        F.min_by("value", in_file).alias("head"), F.min_by("line_key", in_file).alias("head_key")
     )
     header = F.transform(F.split("head", ","), F.trim)
     places = settle(
@@ -122,6 +123,6 @@ def with_capture_facts(lines: DataFrame, family: Column) -> DataFrame:
     Both belong to the file, so they are worked out on one row per file.
     """
     timed = lines.where("well_formed").withColumn("time", group(1).try_cast("double")).where("time IS NOT NULL")
-    firsts = timed.groupBy("path", "session_id").agg(F.min_by("time", "line_key").alias("t_first"))
+    firsts = timed.groupBy("path", "session_id").agg(F.min_by("time", F.struct("file_block", "line_key")).alias("t_first"))
     facts = settle(firsts.select("path", "t_first", family.alias("family")), "capture-facts")
     return lines.join(facts, "path", "left")
