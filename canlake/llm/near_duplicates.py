@@ -21,6 +21,10 @@ member.  If it is the first that two sets share, both lack as many shingles as i
 which bounds the size of the partner; rows without a partner of such a size are dropped, so
 a group of texts that are alike but not alike enough gives no pairs.
 
+Each set has a sketch of ``SKETCH_BITS`` parity bits, one flipped by each member.  Two sets differ in at least as
+many members as their sketches differ in bits, so pairs whose sketches differ in too many are no
+candidates; that bound is exact and costs no link.
+
 Signatures that meet give candidates, once nodes with too few of them are gone.  First every node is verified, in
 ``HUB_ROUNDS`` rounds, against one of the nodes that meet most others; then only pairs that are not yet in one component are
 verified, so a large group of near copies costs no pair for every two of its members
@@ -52,6 +56,8 @@ IN_BIN = 4
 SPARE_PERCENT = 20
 #: Rounds in which nodes are verified against central ones; results do not depend on it.
 HUB_ROUNDS = 2
+#: Bits of a set's sketch; results do not depend on it.
+SKETCH_BITS = 1024
 
 
 def spare(size: int) -> int:
@@ -233,8 +239,14 @@ def enough(met: DataFrame) -> DataFrame:
     return met.join(nodes, "node", "left_semi")
 
 
+def sketch_of(members: np.ndarray) -> np.ndarray:
+    """The parity of the members that fall on each of ``SKETCH_BITS`` bits, as signed 64-bit numbers."""
+    places = (K.mixed(members) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=SKETCH_BITS) % 2 == 1).view(np.int64)
+
+
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, members) for ``nodes``; texts are read again and pass a bitmap of fixed size first."""
+    """(node, members, sketch) for ``nodes``; texts are read again and pass a bitmap of fixed size first."""
 
     def as_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return data.view(">u8").astype(np.uint64), offsets
@@ -255,11 +267,14 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                     if found[r] not in seen:
                         seen.add(found[r])
                         rows.append(r)
+                own = [members[at[r] : at[r + 1]] for r in rows]
+                words = np.concatenate([np.zeros(0, np.int64), *map(sketch_of, own)])
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(words))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[rows]), pa.array([members[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary())], names=["node", "members"]
+                    [pa.array(found[rows]), pa.array([m.tobytes() for m in own], pa.binary()), sketches], names=["node", "members", "sketch"]
                 )
 
-    sets = docs.select("text").mapInArrow(run, "node long, members binary")
+    sets = docs.select("text").mapInArrow(run, "node long, members binary, sketch array<long>")
     return sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -335,11 +350,13 @@ def node_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
         parts = labelled.groupBy("signature", "component").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("signature").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("groups")).where("groups > 1")
         rows = settle(labelled.join(mixed.select("signature", "main"), "signature"), "meetings-mixed")
+    rows = rows.join(sets.select("node", "sketch"), "node")
     strays, others = (
-        rows.select("signature", "main", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "cost", "component"))) for side in ("x", "y")
+        rows.select("signature", "main", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "cost", "component", "sketch"))) for side in ("x", "y")
     )
+    differing = " + ".join(f"bit_count(x_sketch[{i}] ^ y_sketch[{i}])" for i in range(SKETCH_BITS // 64))
     pairs = strays.where("x_component <> main").drop("main").join(others, "signature").where(
-        f"x_component <> y_component and (y_component = main or x_node < y_node) and {possible}"
+        f"x_component <> y_component and (y_component = main or x_node < y_node) and {possible} and {differing} <= x_size + y_size - 2 * ({share})"
     )
     pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     return links.union(settle(verified(pairs, sets, percent), "links"))
