@@ -189,6 +189,19 @@ def brute_components(texts, width, percent):
     return sets, label
 
 
+def test_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 12, 300, 6000):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) << np.uint64(12)
+        for gone in (0, n // 20, n // 3):
+            other = np.unique(np.append(base[gone:], rng.integers(0, 2**51, gone, dtype=np.uint64) << np.uint64(12)))
+            bits = near_duplicates.sketch_of(base) ^ near_duplicates.sketch_of(other)
+            assert len(bits) * 64 == near_duplicates.SKETCH_BITS
+            differ = np.unpackbits(bits.view(np.uint8)).sum()
+            members = len(np.setxor1d(base, other))
+            assert differ <= members and (members - differ) % 2 == 0 and bool(differ) <= bool(members)
+
+
 @pytest.mark.parametrize("frequent", [False, True])
 def test_ngram_join_equals_brute_force(spark, docs, empty, monkeypatch, frequent):
     """Also with nearly all shingles in the frequent classes, which are indexed by combinations."""
