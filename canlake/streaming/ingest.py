@@ -42,12 +42,16 @@ def ingest_new_captures(
     """Parse what is new and stop; run again (or on a schedule) for later files.
 
     Each micro-batch overwrites its own folder, so a repeated batch does not add
-    frames twice.  Frames are keyed by (path, file_block, line_key): a dense
+    frames twice; the folder carries the stream's id, which its checkpoint keeps, so
+    streams with other checkpoints can share ``output``.  Frames are keyed by (path, file_block, line_key): a dense
     ``row_id`` would need all files and belongs to the batch ingest.
     """
     parse = parser_for(dialect, injections)
 
     def write_batch(lines: DataFrame, batch: int) -> None:
+        stream = lines.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("no id of the stream: its batches could overwrite another's")
         keyed = lines.withColumn("line_key", F.monotonically_increasing_id())
         if exclude:
             keyed = keyed.where(~is_excluded(F.col("path"), folder, exclude))
@@ -56,7 +60,7 @@ def ingest_new_captures(
             frames.select("path", "file_block", "line_key", *canonical_order(frames).columns)
             .write.mode("overwrite")
             .option("compression", "zstd")
-            .parquet(f"{output}/batch={batch}")
+            .parquet(f"{output}/stream={stream}/batch={batch}")
         )
 
     return (

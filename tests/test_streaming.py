@@ -32,6 +32,18 @@ def test_ingest_picks_up_new_files_only_once(spark, tmp_path):
     assert table.groupBy("session_id").count().orderBy("session_id").collect() == [("one", 5), ("two", 7)]
     assert run().count() == 12
     assert table.select("path", "file_block", "line_key").distinct().count() == 12
+    assert table.select("stream").distinct().count() == 1
+
+
+def test_streams_with_own_checkpoints_share_an_output(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for name, lines in (("a", 5), ("b", 7)):
+        (tmp_path / name).mkdir()
+        text(tmp_path / name / f"{name}.txt", 0, lines)
+        ingest_new_captures(spark, str(tmp_path / name), "hcrl_carhacking", out, str(tmp_path / f"checkpoint-{name}")).awaitTermination()
+    table = spark.read.parquet(out)
+    assert table.groupBy("session_id").count().orderBy("session_id").collect() == [("a", 5), ("b", 7)]
+    assert table.select("stream").distinct().count() == 2
 
 
 def test_live_deltas_over_batches(spark, make_frames, tmp_path):
