@@ -17,6 +17,13 @@ def f_score(precision: Column, recall: Column) -> Column:
     return ratio(2 * precision * recall, precision + recall)
 
 
+def in_classes(column: str, num_classes: int) -> Column:
+    """The class number; one outside 0..C-1, or none at all, ends the job instead of leaving the figures."""
+    value = F.col(column)
+    message = F.concat(F.lit(f"{column} is not a class below {num_classes}: "), F.coalesce(value.cast("string"), F.lit("null")))
+    return F.when(value.between(0, num_classes - 1), value.cast("int")).otherwise(F.raise_error(message).cast("int"))
+
+
 def confusion_counts(predictions: DataFrame, num_classes: int) -> DataFrame:
     """Every (y_true, y_pred) cell with its count and row percentage, zero cells included.
 
@@ -24,8 +31,7 @@ def confusion_counts(predictions: DataFrame, num_classes: int) -> DataFrame:
     """
     spark = predictions.sparkSession
     counts = (
-        predictions.where(F.col("y_true").between(0, num_classes - 1) & F.col("y_pred").between(0, num_classes - 1))
-        .groupBy(F.col("y_true").cast("int").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"))
+        predictions.groupBy(in_classes("y_true", num_classes).alias("y_true"), in_classes("y_pred", num_classes).alias("y_pred"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     grid = spark.range(num_classes * num_classes).select(

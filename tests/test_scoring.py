@@ -124,3 +124,10 @@ def test_cutoff_keeps_the_first_windows(spark):
     cutoffs = spark.createDataFrame([("a", 7)], "session_id string, cutoff long")
     kept = scoring.before_cutoff(windows, cutoffs, size=4).groupBy("session_id").count().collect()
     assert {tuple(r) for r in kept} == {("a", 4), ("b", 3)}
+
+
+def test_a_class_outside_the_schema_ends_the_job(spark):
+    for pair in ((0, 3), (-1, 0), (None, 1)):
+        rows = spark.createDataFrame([(0, 0), pair], "y_true int, y_pred int")
+        with pytest.raises(Exception, match="is not a class below 3"):
+            scoring.confusion_counts(rows, 3).collect()
