@@ -134,10 +134,10 @@ def smoothed_macro_metrics(predictions: DataFrame, num_classes: int, weight: Col
         F.array(role("y_true", fn=w), role("y_pred", fp=w))
     )
     sums = (
-        predictions.select(F.inline(roles))
+        predictions.withColumns({c: in_classes(c, num_classes) for c in ("y_true", "y_pred")})
+        .select(F.inline(roles))
         .groupBy("class")
         .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-        .where(F.col("class").between(0, num_classes - 1))
     )
     every = predictions.sparkSession.range(num_classes).select(F.col("id").cast("int").alias("class"))
     filled = every.join(sums, "class", "left").na.fill(0.0, ["tp", "fp", "fn"])
