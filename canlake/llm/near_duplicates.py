@@ -11,8 +11,8 @@ shingle by itself, frequent ones as combinations of 2 or 3 of the same class and
 linked document lacks at most ``missing = size - ceil(percent size / 100)`` shingles of the set,
 and ``k`` shared members of a class and bin are needed for one shared combination, so the prefix is extended
 until ``sum(members - k + 1)`` over classes and bins is greater than ``missing + spare``.  Of two linked
-sets, the one whose prefix ends first shares more than ``spare`` signatures with the other: documents that
-only have a passage in common drop out before any set is compared.  The number of bins depends on the size level, so that combinations stay linear in the size; levels are
+sets, the one whose prefix ends first shares more than its own ``spare`` signatures with the other, so each has more than
+the ``spare`` of the smallest set that may link with it: documents that only have a passage in common drop out before any set is compared.  The number of bins depends on the size level, so that combinations stay linear in the size; levels are
 spaced so that linked sets differ by one at most, and each set is indexed at its own
 level and the next.  Small sets are indexed by single shingles only.
 
@@ -232,10 +232,13 @@ def meetings(index: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "signature long, node long, size int, cost int")
 
 
-def enough(met: DataFrame) -> DataFrame:
-    """Drops the rows of nodes that meet others in too few signatures to be linked."""
-    nodes = met.groupBy("node").agg(F.count("*").alias("n"), F.first("size").alias("_size"))
-    nodes = settle(nodes.where(f"n > {SPARE_SQL.format('_size')}").select("node"), "nodes-met")
+def enough(met: DataFrame, percent: int) -> DataFrame:
+    """Drops the rows of nodes that meet others in too few signatures to be linked.
+
+    The prefix that ends first may be the partner's, so the spare of the smallest set that may link counts.
+    """
+    nodes = met.groupBy("node").agg(F.count("*").alias("n"), ((percent * F.first("size") + 99) / 100).cast("int").alias("_least"))
+    nodes = settle(nodes.where(f"n > {SPARE_SQL.format('_least')}").select("node"), "nodes-met")
     return met.join(nodes, "node", "left_semi")
 
 
@@ -312,7 +315,7 @@ def node_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def fits(x: str, y: str) -> str:
         return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
 
-    met = enough(settle(meetings(index_of(docs, width, percent)), "meetings"))
+    met = enough(settle(meetings(index_of(docs, width, percent)), "meetings"), percent)
     met = settle(met.where(f"100 * cost <= {100 - percent} * size"), "meetings-enough")
     least = met.groupBy("signature").agg(F.min("size").alias("least"))
     met = met.join(least, "signature").where(f"cost <= size - ({common('size', f'greatest(least, -((-{percent} * size) div 100))')})").drop("least")

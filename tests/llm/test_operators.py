@@ -226,6 +226,22 @@ def test_ngram_join_equals_brute_force(spark, docs, empty, monkeypatch, frequent
         assert near_duplicates.near_duplicate_groups(empty.select("doc_id", "text"), "doc_id", 4, 85).count() == 0
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_isolated_pairs_link_across_the_spare(spark, percent):
+    """Pairs that meet nothing else, of sizes on both sides of where the spare begins and of larger ones."""
+    texts = []
+    for size in (*range(18, 32), 60, 100):
+        for more in (0, 1, 2, 3, 4, 5, 6, 8, size // 6, size // 5, size // 4):
+            words = [f"p{len(texts)}w{i}" for i in range(size + 3 + more)]
+            texts += [" ".join(words[: size + 3]), " ".join(words)]
+            texts += [" ".join(f"q{w}" for w in words[more:]), " ".join(f"q{w}" for w in words)]
+    found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicate_groups(found, "doc_id", 4, percent).collect()}
+    for i in range(0, len(texts), 2):
+        _, label = brute_components(texts[i : i + 2], 4, percent)
+        assert [got[i], got[i + 1]] == [i + k for k in label], (texts[i].count(" ") - 2, texts[i + 1].count(" ") - 2)
+
+
 def test_near_vectors_equal_brute_force(spark):
     reach_workers(spark)
     rng = np.random.default_rng(4)
