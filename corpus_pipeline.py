@@ -17,17 +17,15 @@ from canlake.llm.near_duplicates import near_duplicate_groups
 from canlake.llm.packing import pack
 from canlake.storage import settle
 
-#: A text whose best language has a smaller share is rejected; ``und`` has share 0.
-LEAST_SHARE = 0.5
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of a known language; those without a letter or without a clear language go."""
+    """Texts with a language, however close the next one comes; only ``und`` goes."""
     reach_workers(spark)
     marked = language.with_language(docs, language.trained(docs), ("_language", "_share"))
-    return marked.where((F.col("_language") != "und") & (F.col("_share") >= LEAST_SHARE)).select(*docs.columns)
+    return marked.where(F.col("_language") != "und").select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

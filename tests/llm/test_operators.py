@@ -3,6 +3,7 @@
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -164,6 +165,16 @@ def test_language_and_toxicity_on_awkward_rows(spark, docs, empty):
     assert toxicity.with_toxicity(empty, toxicity.trained(empty, labels)).count() == 0
 
 
+def test_language_stage_keeps_texts_between_languages(spark):
+    """Each text is there in four languages, so no language can have a clear share; only null, empty and letterless texts go."""
+    texts = [f"casa {i} menu radio {i * i} hotel" for i in range(12)]
+    rows = [(4 * i + k, text, lang) for i, text in enumerate(texts) for k, lang in enumerate(("de", "en", "es", "fr"))]
+    rows += [(100, None, "en"), (101, "", "fr"), (102, "12 34 !", "es")]
+    found = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_stage(spark, found, "")
+    assert kept.columns == found.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(4 * len(texts)))
+
+
 def test_isotonic_rises():
     x, y = toxicity.isotonic(np.array([3.0, 1.0, 2.0, 4.0]), np.array([1.0, 0.0, 1.0, 0.0]))
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()
