@@ -2,6 +2,8 @@
 
 The library's byte-level BPE cuts a text into pre-tokens before it merges, so a text may
 be cut at any place that surely ends a pre-token and its pieces encoded one by one.
+Added tokens of the vocabulary (``<|endoftext|>``) get their ids like in the library; no
+cut lies inside one.
 Every new piece goes through the tokenizers library once and is kept in a table of fixed
 size in each Python worker; a repeat copies its ids.  The table only saves time: an
 evicted piece is encoded again.
@@ -68,7 +70,9 @@ class PieceEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # Whether a token takes or judges its neighbours, so that no cut may touch it.
+        self.added = [(t.content.encode(), t.lstrip or t.rstrip or t.single_word) for t in added if t.content]
         self.merge = self.tokenizer.model.tokenize
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.alphabet = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
@@ -115,6 +119,15 @@ class PieceEncoder:
         self.filled += total
         return starts, lengths
 
+    def added_spans(self, block: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+        """Start, end and neighbourliness of every place that reads like an added token."""
+        raw = block.tobytes()
+        for content, near in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                yield at, at + len(content), near
+                at = raw.find(content, at + 1)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in order, and the n+1 offsets of each row's ids."""
         parts, begins, sizes = [], [], []
@@ -122,6 +135,9 @@ class PieceEncoder:
             block = data[at:end]
             letter = _letters(block)
             cut = _cuts(block, letter)
+            for a, b, near in self.added_spans(block):
+                cut[a + (not near) : b + near] = False
+                letter[a:b] = False  # not for the merges alone
             cut[offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at] = True
             cut[0] = True
             first = np.flatnonzero(cut)

@@ -7,6 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import AddedToken, Tokenizer
 
 from canlake.llm import embeddings, imatch, language, near_duplicates, packing, sharding, token_files, toxicity, url_filter
 from canlake.llm import kernels as K
@@ -56,6 +57,25 @@ def test_pieces_encode_like_whole_texts():
             assert ids[at[i] : at[i + 1]].tolist() == reference_ids(text)
 
 
+def same_as_library(encoder, library, texts):
+    data, offsets = K.text_buffers(pa.array(texts))
+    for _ in range(2):  # new, then known pieces
+        ids, at = encoder.encode(data, offsets)
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_added_tokens_encode_like_the_library(tmp_path):
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, end + end, f"a{end}b", f"a {end}\n{end} b", f"x\n\n {end}\t\n y", f" {end} ", "<|endof", "text|>", "<|endoftext|",
+             f"<|{end}|> it's{end}'s", f"\u00e9{end}\u00e9 1{end}2", "PAD a PADa bPAD <m>\nc d\n<m> e <m> f", "a<w>b <w> c<w> <w>d"]
+    same_as_library(PieceEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY), texts)
+    library = Tokenizer.from_file(VOCABULARY)
+    library.add_tokens(["PAD", AddedToken("<m>", lstrip=True, rstrip=True, normalized=False), AddedToken("<w>", single_word=True, normalized=False)])
+    library.save(str(tmp_path / "more.json"))
+    same_as_library(PieceEncoder(str(tmp_path / "more.json")), Tokenizer.from_file(str(tmp_path / "more.json")), texts)
+
+
 def test_control_bytes_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], np.uint32)
     control, data = token_files.encode_ranks(ranks)
