@@ -12,7 +12,7 @@ block is the only exception).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +73,15 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about ``size`` that end at a row's end or just before white space."""
+def white(data: np.ndarray, at: int, end: int) -> np.ndarray:
+    return _SPACE[data[at:end]]
+
+
+def blocks(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK, stops: Callable = white) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``size`` that end at a row's end or just before white space.
+
+    ``stops(data, at, end)`` tells for each of these bytes whether a range may end before it.
+    """
     at, n = 0, len(data)
     while at < n:
         end = min(at + size, n)
@@ -85,7 +92,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK) -> Iterator
             else:
                 row_stop = int(offsets[np.searchsorted(offsets, at, side="right")])
                 while end < row_stop:
-                    near = np.flatnonzero(_SPACE[data[end : min(end + 65536, row_stop)]])
+                    near = np.flatnonzero(stops(data, end, min(end + 65536, row_stop)))
                     if len(near):
                         end += int(near[0])
                         break

@@ -62,6 +62,18 @@ def _cuts(block: np.ndarray, letter: np.ndarray) -> np.ndarray:
     return cut
 
 
+def _after_word(data: np.ndarray, at: int, end: int) -> np.ndarray:
+    """Which bytes of ``data[at:end]`` are ASCII white space after a character that surely is none.
+
+    A pre-token begins there, whatever follows.
+    """
+    own = np.concatenate([np.zeros(max(3 - at, 0), np.uint8), data[max(at - 3, 0) : end]])
+    third, second, last = own[:-3], own[1:-2], own[2:-1]
+    wide = (second == 0xC2) | ((third == 0xE2) & ((second == 0x80) | (second == 0x81)))  # U+0085, U+00A0, U+2000 to U+205F
+    wide |= (last == 0x80) & (((third == 0xE1) & (second == 0x9A)) | ((third == 0xE3) & (second == 0x80)))  # U+1680, U+3000
+    return K.white(data, at, end) & (last > 0x20) & (last != 0x7F) & ~((last >= 0x80) & wide)
+
+
 class PieceEncoder:
     """Encodes byte batches; keeps the ids of pieces seen before."""
 
@@ -128,10 +140,19 @@ class PieceEncoder:
                 yield at, at + len(content), near
                 at = raw.find(content, at + 1)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def stops(self, data: np.ndarray, at: int, end: int) -> np.ndarray:
+        """Where a block may end: before white space after a word, but not at an added token that it would change."""
+        found = _after_word(data, at, end)
+        begin = max(at - max((len(content) for content, _ in self.added), default=0), 0)
+        for a, b, near in self.added_spans(data[begin : end + at - begin]):
+            a, b = a + begin - at, b + begin - at
+            found[max(a + (not near), 0) : max(b + near, 0)] = False
+        return found
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, size: int = K.BLOCK) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in order, and the n+1 offsets of each row's ids."""
         parts, begins, sizes = [], [], []
-        for at, end in K.blocks(data, offsets):
+        for at, end in K.blocks(data, offsets, size, self.stops):
             block = data[at:end]
             letter = _letters(block)
             cut = _cuts(block, letter)

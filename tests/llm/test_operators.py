@@ -57,10 +57,10 @@ def test_pieces_encode_like_whole_texts():
             assert ids[at[i] : at[i + 1]].tolist() == reference_ids(text)
 
 
-def same_as_library(encoder, library, texts):
+def same_as_library(encoder, library, texts, **size):
     data, offsets = K.text_buffers(pa.array(texts))
     for _ in range(2):  # new, then known pieces
-        ids, at = encoder.encode(data, offsets)
+        ids, at = encoder.encode(data, offsets, **size)
         for i, text in enumerate(texts):
             assert ids[at[i] : at[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
 
@@ -76,6 +76,20 @@ def test_added_tokens_encode_like_the_library(tmp_path):
     same_as_library(PieceEncoder(str(tmp_path / "more.json")), Tokenizer.from_file(str(tmp_path / "more.json")), texts)
 
 
+def test_block_ends_do_not_split_white_space(tmp_path):
+    wide = ["\u00a0", "\u0085", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000"]
+    runs = [" ", "\n", "  ", "\n\n", "\n\n ", " \n  ", "\t\t \n\n\n", "     ", "\x1c \n ", *wide, *(f"{w} \n {w} " for w in wide)]
+    texts = ["return a\n\n def", "".join(f"a{r}b,{r}\u00e9{r}\u65e5{r}\u3042{r}<|endoftext|>{r}" for r in runs), " \n\n\n  ", "\n\n tail \n\n "]
+    library = Tokenizer.from_file(VOCABULARY)
+    for size in (1, 2, 3, 5, 8, 9, 10, 11, 40):
+        same_as_library(PieceEncoder(VOCABULARY), library, texts, size=size)
+    library.add_tokens(["two  words", AddedToken("<m>", lstrip=True, rstrip=True, normalized=False)])
+    library.save(str(tmp_path / "more.json"))
+    texts = ["a two  words b two  word c", "a <m>  b \n<m>\n\n c  <m> d"]
+    for size in (1, 2, 3, 5, 8):
+        same_as_library(PieceEncoder(str(tmp_path / "more.json")), library, texts, size=size)
+
+
 def test_control_bytes_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], np.uint32)
     control, data = token_files.encode_ranks(ranks)
