@@ -15,8 +15,8 @@ not empty in both.
 Null text counts as empty.  A document without lexicon words gets the hash of all its
 words instead (``x``), which is like an equal one only.  Documents follow each other by
 doc_id, then by text; equal rows are fingerprinted each for itself; an only document
-follows itself.  Frequencies are counted over all documents in an array of fixed size
-(``sketch``), less the median of its counters, which is what unrelated words add.
+follows itself.  Frequencies are exact: every word's documents are counted by its hash, first in
+each task, then in a shuffle.  The lexicon goes to all tasks with 8 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from canlake.llm import kernels as K
 from canlake.llm.common import partitions, table
-from canlake.llm.sketch import counter_of, document_counts
 
 BAND = (0.15, 0.8)
 SUBSETS = 24
+#: Word hashes that a task adds up before it passes them on.
+COUNTED = 1 << 20
 _SALTS = np.random.default_rng(7).integers(1, 2**63, SUBSETS, dtype=np.uint64)
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
@@ -45,12 +46,50 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return K.sorted_distinct_by_row(*K.word_hashes(data, offsets))
 
 
+def word_documents(texts: DataFrame) -> DataFrame:
+    """(word, n): the number of rows with each word hash; tasks add up about ``COUNTED`` words before the shuffle."""
+
+    def summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found, back = np.unique(np.concatenate(words), return_inverse=True)
+        return found, np.bincount(back, np.concatenate(counts), len(found)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, held = [], [], 0
+        for batch in batches:
+            data, offsets = K.text_buffers(batch.column(0))
+            for a, b in K.slices(data, offsets):
+                found, _ = distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                found, n = np.unique(found, return_counts=True)
+                words.append(found)
+                counts.append(n)
+                held += len(found)
+                if held > COUNTED:
+                    found, n = summed(words, counts)
+                    if len(found) > COUNTED // 2:  # mostly different words: they leave
+                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["word", "n"])
+                        found, n = found[:0], n[:0]
+                    words, counts, held = [found], [n], len(found)
+        if held:
+            found, n = summed(words, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    return texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def lexicon(texts: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
-    """For each counter of the sketch, whether its words belong to the lexicon."""
-    counts, n = document_counts(texts, distinct_words)
-    frequency = np.maximum(counts.astype(np.float64) - np.median(counts), 1.0)
-    idf = np.log(max(n, 2) / np.minimum(frequency, max(n, 2))) / np.log(max(n, 2))
-    return (counts > 0) & (idf >= band[0]) & (idf <= band[1])
+    """The hashes of the words that belong to the lexicon, in ascending order."""
+    n = max(texts.count(), 2)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idf = np.log(n / np.minimum(batch.column("n").to_numpy(), n)) / np.log(n)
+            rows = np.flatnonzero((idf >= band[0]) & (idf <= band[1]))
+            words = batch.column("word").take(pa.array(rows)).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary())], names=["words"])
+
+    # Eight bytes for each word of the lexicon come to the driver.
+    rows = word_documents(texts).mapInArrow(choose, "words binary").toLocalIterator()
+    return np.sort(np.frombuffer(b"".join(r["words"] for r in rows), np.uint64))
 
 
 class Fingerprints:
@@ -67,7 +106,8 @@ class Fingerprints:
             words, at = distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             row = np.repeat(np.arange(a, b), np.diff(at))
             np.add.at(self.fallback, row, K.mixed(words))
-            inside = in_lexicon[counter_of(words)]
+            place = np.searchsorted(in_lexicon, words)
+            inside = np.append(in_lexicon, np.uint64(0))[place] == words if len(in_lexicon) else np.zeros(len(words), dtype=bool)
             self._hash_subsets(words[inside], row[inside])
 
     def _hash_subsets(self, words: np.ndarray, row: np.ndarray) -> None:

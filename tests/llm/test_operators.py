@@ -186,6 +186,27 @@ def test_imatch_follows_the_next_document(docs, empty):
     assert imatch.fingerprinted(empty).count() == 0
 
 
+@pytest.mark.parametrize("counted", [1 << 20, 64])
+def test_imatch_lexicon_is_exact_whatever_the_number_of_words(spark, monkeypatch, counted):
+    """Texts with a few common words and more distinct ones than the sketch has counters; tasks pass words on early, too."""
+    reach_workers(spark)
+    monkeypatch.setattr(imatch, "COUNTED", counted)
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(400)]
+    rare = 60_000 if counted > 64 else 50
+    texts = [" ".join([*rng.choice(common, 60), *(f"r{i}x{k}" for k in range(rare))]) for i in range(40)] + [None, "", "one", "one"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = {}
+    for t in texts:
+        for w in set((t or "").split()):
+            found[w] = found.get(w, 0) + 1
+    n = len(texts)
+    want = [w for w, f in found.items() if imatch.BAND[0] <= np.log(n / f) / np.log(n) <= imatch.BAND[1]]
+    data, offsets = K.text_buffers(pa.array(want))
+    words, at = imatch.distinct_words(data, offsets)
+    assert 50 < len(want) == len(words) and imatch.lexicon(docs).tolist() == sorted(words.tolist())
+
+
 def test_language_and_toxicity_on_awkward_rows(spark, docs, empty):
     marked = language.with_language(docs, language.trained(docs, steps=5))
     assert marked.columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score"]
