@@ -6,9 +6,10 @@ window, and a softmax layer gives the languages' shares; a text's shares are the
 its windows weighted by their bytes.  For prediction the embedding and the filters are
 folded into tables by byte pair, so a response is a sum of at most two look-ups.
 
-Training takes a bounded sample of labelled rows (``PER_LANGUAGE`` documents for each of
-at most ``LANGUAGES`` languages, chosen by a hash of doc_id, ``WINDOWS`` evenly spaced windows
-each); everything else reads all rows and whole texts.
+Training takes a bounded sample of labelled rows: ``PER_LANGUAGE`` documents of every language,
+fewer (``LEAST`` or more) of each if there are over ``LANGUAGES``, chosen by a hash of doc_id,
+``WINDOWS`` evenly spaced windows each; the steps grow with the languages.  Everything else
+reads all rows and whole texts.
 
 Null texts and texts without a letter get ``und`` and score 0, and so does every text when
 there is nothing to learn from.  Equal texts get equal results.
@@ -32,7 +33,9 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDED = 8
 PER_LANGUAGE = 600
+#: With more languages than this, the sample of each is smaller.
 LANGUAGES = 64
+LEAST = 20
 WINDOWS = 4
 STEPS = 400
 BATCH = 64
@@ -150,14 +153,16 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def training_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, windows and labels of a bounded sample of the labelled rows."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 40))
+    # One row for each language comes to the driver; its first text by hash is always in the sample.
+    first = F.min(F.when(F.length("text") > 0, place)).alias("first")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("count"), first).where("first is not null").orderBy("lang").collect()
     if not counts:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 40))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (place < int(min(1.0, PER_LANGUAGE / r["count"]) * (1 << 40))))
-    classes = sorted(r["lang"] for r in counts)
+    each = max(min(PER_LANGUAGE, PER_LANGUAGE * LANGUAGES // len(counts)), LEAST)
+    until = [(r["lang"], max(int(min(1.0, each / r["count"]) * (1 << 40)), r["first"] + 1)) for r in counts]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(until, "lang string, _until long"))
+    classes = [r["lang"] for r in counts]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +175,7 @@ def training_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray
                     found.append(rows[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "window"])
 
-    rows = usable.where(chosen).select("lang", "text").mapInArrow(cut, "lang string, window binary").orderBy("lang", "window").collect()
+    rows = usable.join(limits, "lang").where(place < F.col("_until")).select("lang", "text").mapInArrow(cut, "lang string, window binary").orderBy("lang", "window").collect()
     if not rows:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
     number = {c: i for i, c in enumerate(classes)}
@@ -186,7 +191,7 @@ def trained(docs: DataFrame, steps: int = STEPS) -> ByteNetwork | None:
         return None
     network = ByteNetwork(classes)
     if len(classes) > 1:
-        network.train(windows, labels, steps)
+        network.train(windows, labels, steps * -(-len(classes) // LANGUAGES))
     return network
 
 
@@ -215,7 +220,9 @@ def with_language(docs: DataFrame, network: ByteNetwork | None, names: tuple[str
         tables = model.fold() if model else []
         for batch in batches:
             data, offsets = K.text_buffers(batch.column("text"))
-            for a, b in K.slices(data, offsets):
+            # A window has a share of every language, so slices are shorter with many.
+            size = 4 * K.BLOCK * LANGUAGES // max(len(model.classes) if model else 1, LANGUAGES)
+            for a, b in K.slices(data, offsets, size):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 known = has_letter(part, at)
                 shares = np.zeros((b - a, len(model.classes) if model else 1))

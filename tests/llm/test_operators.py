@@ -220,6 +220,29 @@ def test_language_and_toxicity_on_awkward_rows(spark, docs, empty):
     assert toxicity.with_toxicity(empty, toxicity.trained(empty, labels)).count() == 0
 
 
+def test_language_learns_every_language(spark, monkeypatch):
+    """Six languages where samples are full for two; one has two texts, one has empty texts as well."""
+    reach_workers(spark)
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = [(i, f"{c * 9} {c} {c * 3}", c * 2) for i, c in enumerate("abcd" * 12)] + [(100 + i, "", "zz") for i in range(8)]
+    rows += [(200 + i, "zz z zzzz", "zz") for i in range(12)] + [(300 + i, "e eee ee", "ee") for i in range(4)]
+    found = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("length(text) = 0 or lang <> 'ee' or doc_id = 300 or doc_id = 301")
+    classes, windows, labels = language.training_windows(found)
+    assert classes == ["aa", "bb", "cc", "dd", "ee", "zz"] and set(labels.tolist()) == set(range(6)) and len(windows) == len(labels)
+    marked = language.with_language(found.where("length(text) > 0"), language.trained(found)).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in marked)
+
+
+def test_language_samples_stay_bounded(spark, monkeypatch):
+    reach_workers(spark)
+    monkeypatch.setattr(language, "PER_LANGUAGE", 30)
+    monkeypatch.setattr(language, "LEAST", 5)
+    many = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 100) AS lang")
+    classes, _, labels = language.training_windows(many)
+    each = np.bincount(labels)
+    assert len(classes) == 100 and each.min() > 0 and abs(len(labels) - 19 * 100) < 200
+
+
 def test_language_stage_keeps_texts_between_languages(spark):
     """Each text is there in four languages, so no language can have a clear share; only null, empty and letterless texts go."""
     texts = [f"casa {i} menu radio {i * i} hotel" for i in range(12)]
