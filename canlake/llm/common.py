@@ -42,6 +42,14 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return condition
 
 
+def free_name(taken: list[str], wished: str) -> str:
+    """``wished``, or with underscores before it until no column of ``taken`` has that name in any case."""
+    known = {name.lower() for name in taken}
+    while wished.lower() in known:
+        wished = f"_{wished}"
+    return wished
+
+
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, before: str, label: str) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over the earlier rows of the same group.
 

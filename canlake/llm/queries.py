@@ -8,6 +8,7 @@ from canlake.llm.language import op8_language
 from canlake.llm.mixing import op5_source_mixing
 from canlake.llm.near_duplicates import op2_ngram_join
 from canlake.llm.packing import op6_packing
+from canlake.llm.resampling import OP11_SQL, op11_importance_resampling
 from canlake.llm.sharding import op3_hilbert_shards
 from canlake.llm.token_files import op1_token_files
 from canlake.llm.toxicity import op9_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_near_vectors": op10_near_vectors,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
-TWINS = {"op7_url_filter": OP7_SQL}
+TWINS = {"op7_url_filter": OP7_SQL, "op11_importance_resampling": OP11_SQL}
