@@ -5,6 +5,7 @@ from __future__ import annotations
 from canlake.llm.embeddings import op10_near_vectors
 from canlake.llm.imatch import op4_imatch
 from canlake.llm.language import op8_language
+from canlake.llm.line_runs import OP12_SQL, op12_line_runs
 from canlake.llm.mixing import op5_source_mixing
 from canlake.llm.near_duplicates import op2_ngram_join
 from canlake.llm.packing import op6_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_near_vectors": op10_near_vectors,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_line_runs": op12_line_runs,
 }
 
-TWINS = {"op7_url_filter": OP7_SQL, "op11_importance_resampling": OP11_SQL}
+TWINS = {"op7_url_filter": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op12_line_runs": OP12_SQL}
