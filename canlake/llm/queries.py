@@ -9,6 +9,7 @@ from canlake.llm.line_runs import OP12_SQL, op12_line_runs
 from canlake.llm.mixing import op5_source_mixing
 from canlake.llm.near_duplicates import op2_ngram_join
 from canlake.llm.packing import op6_packing
+from canlake.llm.phrases import OP13_SQL, op13_phrase_tiles
 from canlake.llm.resampling import OP11_SQL, op11_importance_resampling
 from canlake.llm.sharding import op3_hilbert_shards
 from canlake.llm.token_files import op1_token_files
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_near_vectors": op10_near_vectors,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_line_runs": op12_line_runs,
+    "op13_phrase_tiles": op13_phrase_tiles,
 }
 
-TWINS = {"op7_url_filter": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op12_line_runs": OP12_SQL}
+TWINS = {"op7_url_filter": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op12_line_runs": OP12_SQL, "op13_phrase_tiles": OP13_SQL}
