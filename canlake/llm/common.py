@@ -58,28 +58,42 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     ``order`` must end in a unique column.  ``df`` is read twice (range bounds): settle
     it first when it is costly.
     """
+    run, row, total, offset, inside = (free_name(df.columns, name) for name in ("run", "row", "total", "offset", "inside"))
     laid = settle(
         df.repartitionByRange(partitions(df), *group, *order)
         .sortWithinPartitions(*group, *order)
-        .withColumn("_run", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id()),
+        .withColumn(run, F.spark_partition_id())
+        .withColumn(row, F.monotonically_increasing_id()),
         f"{label}-laid",
     )
-    totals = settle(laid.groupBy("_run", *group).agg(F.sum(value).alias("_total")), f"{label}-totals")
-    earlier = Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_run", *group, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_run", *group).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    inner = laid.withColumn("_inner", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    joined = inner.join(offsets, same(inner, offsets, ["_run", *group]), "left")
+    totals = settle(laid.groupBy(run, *group).agg(F.sum(value).alias(total)), f"{label}-totals")
+    earlier = Window.partitionBy(*group).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(run, *group, F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(offset))
+    within = Window.partitionBy(run, *group).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    inner = laid.withColumn(inside, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    joined = inner.join(offsets, same(inner, offsets, [run, *group]), "left")
     kept = [inner[c] for c in df.columns]
-    return joined.select(*kept, (inner["_inner"] + offsets["_offset"]).alias(before))
+    return joined.select(*kept, (inner[inside] + offsets[offset]).alias(before))
+
+
+def to_roots(move: DataFrame, label: str) -> DataFrame:
+    """Follows (node, to) to the roots, nodes that point to themselves, by doubling."""
+    while True:
+        after = move.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        doubled = move.join(after, "to").select("node", "to", "next")
+        if doubled.where("to <> next").isEmpty():
+            return move
+        move = settle(doubled.select("node", F.col("next").alias("to")), f"{label}-jumps")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
 
-    Every node moves to its smallest neighbour and the graph is contracted, until no edge
-    is left; the moves are then followed back.  Each round is written, so the lineage
+    Every node moves to its smallest neighbour; the moves make trees, and pointers are
+    doubled until each node points to its tree's root.  Then the graph is contracted to
+    the roots, until no edge is left, and the moves are followed back.  A contraction at least
+    halves the nodes and doubling takes the logarithm of a tree's depth, so a long chain
+    takes few rounds.  Each round is written, so the lineage
     stays short; a hub's edges meet only in joins, which adaptive execution splits, and
     in partial minima.
     """
@@ -91,6 +105,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to")),
             f"{label}-moves",
         )
+        move = to_roots(move, label)
         moves.append(move)
         one = current.join(move.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
         two = one.join(move.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").select("x", "y")

@@ -2,8 +2,10 @@
 
 A batch is the byte buffer of an Arrow string column and its row offsets.  Words are
 maximal runs of bytes outside ``\\x20 \\x09-\\x0D``; A-Z is lower-cased byte by byte, so
-other letters keep their bytes.  A word's 64-bit hash is a polynomial in a random value
-per byte, taken from prefix sums, so no Python code runs per word.
+other letters keep their bytes.  A word's 64-bit hash joins two polynomials in random values
+per byte, one modulo 2^64 and one modulo the prime 2^31 - 1, and the word's length; both come from prefix
+sums, so no Python code runs per word.  (Modulo 2^64 alone, long words of a regular build
+collide whatever the base.)
 
 Texts are worked on in blocks of about ``BLOCK`` bytes that end at white space, so the
 scratch memory does not grow with the length of a text (a single word longer than a
@@ -27,7 +29,13 @@ _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.u
 _LOWER_VALUE = _BYTE_VALUE[_LOWER]
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
+_PRIME = np.uint64(2**31 - 1)
+_PRIME_VALUE = np.random.default_rng(20250117).integers(1, 2**31 - 1, 256, dtype=np.uint64)
+_PRIME_LOWER_VALUE = _PRIME_VALUE[_LOWER]
+_PRIME_BASE = 1220703125
+_PRIME_INVERSE = pow(_PRIME_BASE, -1, 2**31 - 1)
 _powers: dict[int, np.ndarray] = {}
+_prime_powers: dict[int, np.ndarray] = {}
 
 
 def _powers_of(base: int, n: int) -> np.ndarray:
@@ -43,6 +51,22 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def _prime_powers_of(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^31 - 1, kept between calls."""
+    known = _prime_powers.get(base)
+    if known is None or len(known) < n:
+        size = max(n, BLOCK + 4096)
+        known = np.ones(size, dtype=np.uint64)
+        done = 1
+        while done < size:
+            step = min(done, size - done)
+            known[done : done + step] = known[:step] * np.uint64(pow(base, done, 2**31 - 1)) % _PRIME
+            done += step
+        if size <= 4 * BLOCK:
+            _prime_powers[base] = known
+    return known[:n]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))
@@ -57,7 +81,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     n = len(data)
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((_LOWER_VALUE if lower else _BYTE_VALUE)[data] * _powers_of(_BASE, n), out=prefix[1:])
-    return mixed((prefix[ends] - prefix[starts]) * _powers_of(_BASE_INVERSE, n + 1)[starts])
+    first = (prefix[ends] - prefix[starts]) * _powers_of(_BASE_INVERSE, n + 1)[starts]
+    terms = (_PRIME_LOWER_VALUE if lower else _PRIME_VALUE)[data] * _prime_powers_of(_PRIME_BASE, n)
+    # Terms below 2^32, so that 2^32 of them add up in 64 bits.
+    np.cumsum((terms & _PRIME) + (terms >> np.uint64(31)), out=prefix[1:])
+    second = (prefix[ends] - prefix[starts]) % _PRIME * _prime_powers_of(_PRIME_INVERSE, n + 1)[starts] % _PRIME
+    return mixed(first ^ mixed(second << np.uint64(32) | (ends - starts).astype(np.uint64)))
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canlake.llm.common import WORD, running_total, same, table
+from canlake.llm.common import WORD, free_name, running_total, same, table
 from canlake.storage import settle
 
 SHARE = 1.5
@@ -90,11 +90,12 @@ def mixed_rows(rows: DataFrame, share: float = SHARE, most: float = MOST, cycle:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
-    stored = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_key", F.monotonically_increasing_id())
+    size, key, copy = (free_name(docs.columns, name) for name in ("size", "row_key", "copy"))
+    stored = docs.withColumn(size, word_count(F.col("text"))).withColumn(key, F.monotonically_increasing_id())
     stored = settle(stored, "mix-documents")
-    rows = stored.select(F.col("_key").alias("row_key"), "doc_id", "source", F.col("_size").alias("size"))
-    chosen = mixed_rows(rows, **options).where("copies > 0").select(F.col("row_key").alias("_key"), F.expr("explode(sequence(1, cast(copies as int)))").alias("_copy"))
-    return stored.join(chosen, "_key").select(*docs.columns)
+    rows = stored.select(F.col(key).alias("row_key"), "doc_id", "source", F.col(size).alias("size"))
+    chosen = mixed_rows(rows, **options).where("copies > 0").select(F.col("row_key").alias(key), F.expr("explode(sequence(1, cast(copies as int)))").alias(copy))
+    return stored.join(chosen, key).select(*docs.columns)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

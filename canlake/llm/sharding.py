@@ -17,10 +17,10 @@ counts rows); an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canlake.llm.common import partitions, running_total, table
+from canlake.llm.common import free_name, partitions, running_total, table
 from canlake.storage import settle
 
 BITS = 8
@@ -73,49 +73,39 @@ def coarse_number(value: Column) -> Column:
     return F.coalesce(F.floor(F.log2(F.greatest(value, F.lit(0)) + F.lit(1.0)) * 32).cast("int"), F.lit(-1))
 
 
-def coarse_text(value: Column, shared: int) -> Column:
-    """An order-keeping class of a string: the two bytes after the ``shared`` first ones, null -1."""
-    two = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), shared + 1, 2)), 4, "0")
-    return F.coalesce(F.conv(two, 16, 10).cast("int"), F.lit(-1))
-
-
-def _shared_bytes(low: str | None, high: str | None) -> int:
-    a, b = (low or "").encode(), (high or "").encode()
-    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-
-
 def with_cells(rows: DataFrame, texts: list[str], numbers: list[str], bits: int = BITS) -> tuple[DataFrame, list[str]]:
     """Adds a cell column for each dimension; cells hold near-equal numbers of rows.
 
-    Classes are at most 65,537 for each dimension, so their counts are small whatever the
-    input and can be broadcast.
+    A cell follows from the number of rows with lesser values: whole strings, and classes
+    of numbers.  The distinct values are counted and summed up along a range partitioning,
+    whatever their number; an outlier takes its own rows' place and no more.
     """
-    ends = rows.agg(*[f(c).alias(f"{c}_{i}") for c in texts for i, f in enumerate((F.min, F.max))]).first() if texts else None
-    classes = {c: coarse_text(F.col(c), _shared_bytes(ends[f"{c}_0"], ends[f"{c}_1"])) for c in texts}
-    classes |= {c: coarse_number(F.col(c)) for c in numbers}
+    total = max(rows.count(), 1)
     out, cells = rows, []
-    for name, kind in classes.items():
+    for name in [*texts, *numbers]:
+        kind = F.col(name) if name in texts else coarse_number(F.col(name))
         counts = settle(rows.select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n")), "cells")
-        order = Window.orderBy("kind")
-        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        share = (before + F.col("n") / 2) / F.sum("n").over(Window.partitionBy())
-        mapping = counts.select(F.col("kind").alias(f"_{name}_kind"), F.floor(share * F.lit(1 << bits)).cast("int").alias(f"_{name}"))
-        out = out.withColumn(f"_{name}_kind", kind).join(F.broadcast(mapping), f"_{name}_kind").drop(f"_{name}_kind")
-        cells.append(f"_{name}")
+        summed = running_total(counts, [], ["kind"], "n", "before", "cells-order")
+        at, cell = free_name(out.columns, f"{name}_kind"), free_name(out.columns, f"{name}_cell")
+        share = (F.col("before") + F.col("n") / 2) / F.lit(total)
+        mapping = settle(summed.select(F.col("kind").alias(at), F.floor(share * F.lit(1 << bits)).cast("int").alias(cell)), "cell-map")
+        out = out.join(mapping, kind.eqNullSafe(mapping[at])).drop(at)
+        cells.append(cell)
     return out, cells
 
 
 def shard_rows(rows: DataFrame, texts: list[str], numbers: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """Adds ``shard`` and ``slot`` to ``rows``, which must hold doc_id, size and a unique row_key."""
     celled, cells = with_cells(rows, texts, numbers, bits)
-    indexed = celled.withColumn("_curve", hilbert_index([F.col(c) for c in cells], bits)).withColumn("_one", F.lit(1).cast("long"))
+    curve, one, rank = (free_name(celled.columns, name) for name in ("curve", "one", "rank"))
+    indexed = celled.withColumn(curve, hilbert_index([F.col(c) for c in cells], bits)).withColumn(one, F.lit(1).cast("long"))
     indexed = settle(indexed, "curve")
-    ranked = running_total(indexed, [], ["_curve", "size", "doc_id", "row_key"], "_one", "_rank", "curve-order")
+    ranked = running_total(indexed, [], [curve, "size", "doc_id", "row_key"], one, rank, "curve-order")
     n = rows.count()
     # Shard k holds the ranks from floor(k n / shards); whole-number arithmetic, so slots have no gap.
-    shard = F.expr(f"((_rank + 1) * {shards} - 1) div {max(n, 1)}")
+    shard = F.expr(f"(({rank} + 1) * {shards} - 1) div {max(n, 1)}")
     return ranked.withColumn("shard", shard.cast("int")).withColumn(
-        "slot", (F.col("_rank") - F.expr(f"(shard * {max(n, 1)}) div {shards}")).cast("long")
+        "slot", (F.col(rank) - F.expr(f"(shard * {max(n, 1)}) div {shards}")).cast("long")
     ).select(*rows.columns, "shard", "slot")
 
 
@@ -131,13 +121,14 @@ def described(docs: DataFrame) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """The documents as Parquet, one folder for each shard, in curve order within it."""
-    stored = settle(docs.withColumn("row_key", F.monotonically_increasing_id()), "shard-documents")
-    rows = stored.select("row_key", "doc_id", "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
-    placed = shard_rows(rows, ["lang", "source"], ["size"], shards).select("row_key", "shard", "slot")
+    key, shard, slot = (free_name(docs.columns, name) for name in ("row_key", "shard", "slot"))
+    stored = settle(docs.withColumn(key, F.monotonically_increasing_id()), "shard-documents")
+    rows = stored.select(F.col(key).alias("row_key"), "doc_id", "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    placed = shard_rows(rows, ["lang", "source"], ["size"], shards).select(F.col("row_key").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
     (
-        stored.join(placed, "row_key").drop("row_key")
-        .repartitionByRange(max(shards, partitions(docs)), "shard", "slot").sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard").parquet(path)
+        stored.join(placed, key).drop(key)
+        .repartitionByRange(max(shards, partitions(docs)), shard, slot).sortWithinPartitions(shard, slot)
+        .write.partitionBy(shard).parquet(path)
     )
 
 

@@ -25,7 +25,7 @@ from canlake.llm import kernels as K
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 TABLE_BITS = 21
 POOL = 1 << 24
-#: Ids of the public vocabularies fit into 16 bits; a larger vocabulary needs "<u4".
+#: Ids of the public vocabularies fit into 16 bits; a larger vocabulary is refused.
 ID_TYPE = "<u2"
 
 _ASCII_LETTER = np.zeros(256, dtype=bool)
@@ -193,10 +193,17 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
+def require_narrow(greatest: int) -> None:
+    if greatest > np.iinfo(ID_TYPE).max:
+        raise ValueError(f"ids up to {greatest} do not fit the stored type {ID_TYPE}")
+
+
 def encoder(vocabulary: str) -> PieceEncoder:
     """One encoder for each Python worker and vocabulary file."""
     if vocabulary not in _encoders:
-        _encoders[vocabulary] = PieceEncoder(vocabulary)
+        made = PieceEncoder(vocabulary)
+        require_narrow(made.tokenizer.get_vocab_size(with_added_tokens=True) - 1)
+        _encoders[vocabulary] = made
     return _encoders[vocabulary]
 
 
@@ -205,6 +212,7 @@ def tokenised(docs: DataFrame, keep: list[str], end_id: int, vocabulary: str = V
 
     Null texts count as empty.  ``end_id`` is appended to each document.
     """
+    require_narrow(end_id)
     taken = docs.select(*keep, F.col("text").alias("text"))
     schema = StructType([*docs.select(*keep).schema.fields, StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
 

@@ -50,7 +50,10 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-_UNDO = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+#: The letters that digits and marks stand for.
+_STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+_UNDONE = np.where(_LETTER, np.arange(256), 0).astype(np.uint8)
+_UNDONE[list(map(ord, _STANDS_FOR))] = list(map(ord, _STANDS_FOR.values()))
 
 
 def term_hashes(words: tuple[str, ...] | list[str]) -> np.ndarray:
@@ -175,20 +178,19 @@ class Lexicon:
             word = word[word >= 0]
             row = np.searchsorted(offsets, starts[word] + at, side="right") - 1
             odd += np.bincount(row, minlength=n)[:n]
-            short = ends[word] - starts[word] <= 40
-            plain = []
-            for a, b in zip(starts[word[short]].tolist(), ends[word[short]].tolist()):
-                text = data[at + a : at + b].tobytes().decode("utf-8", "replace").lower().translate(_UNDO)
-                plain.append("".join(c for c in text if c.isalpha()))
-            if plain:
-                raw = [p.encode() for p in plain]
-                cut = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-                joined = np.frombuffer(b"".join(raw), np.uint8)
-                found = K.span_hashes(joined, cut[:-1], cut[1:], lower=True)
-                hit = (self.fixed.weight_of(found) > 0) | (self.words.weight_of(found) > 0)
-                for length, terms in self.starts.items():
-                    hit |= terms.weight_of(beginnings(joined, cut[:-1], cut[1:], length)) > 0
-                undone += np.bincount(row[short], weights=hit.astype(float), minlength=n)[:n]
+            if not len(word):
+                continue
+            # Letters, digits and marks read as letters; the other marks go.
+            lengths = ends[word] - starts[word]
+            read = _UNDONE[data[K.ragged(starts[word] + at, lengths)]]
+            kept = np.concatenate([[0], np.cumsum(read > 0)])
+            cut = kept[np.concatenate([[0], np.cumsum(lengths)])]
+            read = read[read > 0]
+            found = K.span_hashes(read, cut[:-1], cut[1:], lower=True)
+            hit = (self.fixed.weight_of(found) > 0) | (self.words.weight_of(found) > 0)
+            for length, terms in self.starts.items():
+                hit |= terms.weight_of(beginnings(read, cut[:-1], cut[1:], length)) > 0
+            undone += np.bincount(row, weights=hit.astype(float), minlength=n)[:n]
         return undone, odd
 
 

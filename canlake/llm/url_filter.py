@@ -10,9 +10,11 @@ distinct candidate keys of the whole corpus: level 1 holds the listed keys, leve
 unlisted keys that pass level 1, level 3 the listed keys that pass level 2, and so on,
 until no key of the universe passes wrongly.  A key is looked up level by level until
 one misses; the parity of that level is the exact answer for every key of the universe,
-so neither building nor applying it joins on keys.  Filters take ``BITS_PER_KEY`` bits
-for each key they hold: level 1 is as large as the list of rules, which the caller holds
-in memory anyway, and later levels hold a small share of that or of the keys that pass.
+so no URL is joined with anything; only the distinct keys meet the table of rules once, when
+the cascade is built.  Level 1 takes a hash and 1.5 bits per rule for every doubling of the universe
+over the rules, so about as many other keys pass it as there are rules; later levels take
+``BITS_PER_KEY`` bits for each key they hold.  All levels together are a few times the list of rules, which the caller
+holds in memory anyway.
 
 Null URLs and URLs without ``://`` have an empty host and path, match nothing and get
 ``default``.  Equal rows are judged each for itself; an empty table gives no rows.
@@ -21,6 +23,7 @@ Null URLs and URLs without ``://`` have an empty host and path, match nothing an
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,18 +71,19 @@ def _bit(key: Column, level: int, i: int, bits: int) -> Column:
 class Level:
     """One Bloom filter, kept as an array of 64-bit words."""
 
-    def __init__(self, keys: DataFrame, n: int, level: int):
-        self.level, self.bits = level, 64 * max(1, -(-n * BITS_PER_KEY // 64))
-        places = keys.select(F.explode(F.array(*[_bit(F.col("key"), level, i, self.bits) for i in range(HASHES)])).alias("bit"))
+    def __init__(self, keys: DataFrame, n: int, level: int, hashes: int = HASHES):
+        self.level, self.hashes = level, hashes
+        self.bits = 64 * max(1, -(-n * max(BITS_PER_KEY, 3 * hashes // 2) // 64))
+        places = keys.select(F.explode(F.array(*[_bit(F.col("key"), level, i, self.bits) for i in range(hashes)])).alias("bit"))
         words = places.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("value"))
-        # As many words as the filter has at most: the size follows the key list, not the corpus.
+        # As many words as the filter has at most: a few times the number of listed keys.
         value = {r["word"]: r["value"] for r in words.collect()}
         self.words = [value.get(w, 0) for w in range(self.bits // 64)]
 
     def passes(self, key: Column) -> Column:
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
         tests = []
-        for i in range(HASHES):
+        for i in range(self.hashes):
             bit = _bit(key, self.level, i, self.bits)
             word = F.get(words, F.floor(bit / 64).cast("int"))
             tests.append(F.call_function("shiftright", word, (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
@@ -87,15 +91,22 @@ class Level:
 
 
 class Cascade:
-    """Exact membership of the keys of ``universe`` in ``listed``."""
+    """Exact membership of the keys of ``universe`` in ``listed``.
+
+    The first level has a hash for every doubling of the universe over the list, so about
+    as many unlisted keys pass it as keys are listed: no later level is larger than the list needs, whatever the universe.
+    """
 
     def __init__(self, universe: DataFrame, listed: list[str]):
-        marked = settle(universe.select("key", F.col("key").isin(listed).alias("is_listed")), "cascade-universe")
+        rules = universe.sparkSession.createDataFrame([(key, True) for key in sorted(set(listed))], "key string, listed boolean")
+        marked = universe.join(rules, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("is_listed"))
+        marked = settle(marked, "cascade-universe")
         self.levels: list[Level] = []
         holds, other = marked.where("is_listed"), marked.where("not is_listed")
         n = holds.count()
+        hashes = max(HASHES, ceil(log2(marked.count() / n))) if n else HASHES
         while n:
-            level = Level(holds, n, len(self.levels) + 1)
+            level = Level(holds, n, len(self.levels) + 1, HASHES if self.levels else hashes)
             self.levels.append(level)
             wrong = settle(other.where(level.passes(F.col("key"))), "cascade-wrong")
             holds, other, n = wrong, holds, wrong.count()
