@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canlake.llm import language, toxicity
-from canlake.llm.common import reach_workers, table
+from canlake.llm.common import free_name, reach_workers, table
 from canlake.llm.mixing import mixed_documents
 from canlake.llm.near_duplicates import near_duplicate_groups
 from canlake.llm.packing import pack
@@ -24,24 +24,28 @@ SIMILAR_PERCENT = 80
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a language, however close the next one comes; only ``und`` goes."""
     reach_workers(spark)
-    marked = language.with_language(docs, language.trained(docs), ("_language", "_share"))
-    return marked.where(F.col("_language") != "und").select(*docs.columns)
+    found, share = (free_name(docs.columns, name) for name in ("language", "share"))
+    marked = language.with_language(docs, language.trained(docs), (found, share))
+    return marked.where(F.col(found) != "und").select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are not predicted toxic."""
     reach_workers(spark)
-    marked = toxicity.with_toxicity(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")), "_toxicity")
-    return marked.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    score = free_name(docs.columns, "toxicity")
+    marked = toxicity.with_toxicity(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")), score)
+    return marked.where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the first by doc_id."""
     reach_workers(spark)
-    stored = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-documents")
-    groups = near_duplicate_groups(stored.select("_row", "text"), "_row", SHINGLE_WORDS, SIMILAR_PERCENT).select("_row", F.col("component_id").alias("_group"))
-    first = stored.select("_row", "doc_id").join(groups, "_row").groupBy("_group").agg(F.min(F.struct(F.col("doc_id"), F.col("_row"))).alias("_first"))
-    return stored.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    key = free_name(docs.columns, "row_key")
+    stored = settle(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-documents")
+    rows = stored.select(F.col(key).alias("row_key"), "doc_id", "text")
+    groups = near_duplicate_groups(rows.select("row_key", "text"), "row_key", SHINGLE_WORDS, SIMILAR_PERCENT).select("row_key", "component_id")
+    first = rows.select("row_key", "doc_id").join(groups, "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    return stored.join(first.select(F.col("first.row_key").alias(key)), key, "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
