@@ -11,7 +11,7 @@ from canlake.plans.catalog.sources import capture_of, text_captures
 from canlake.plans.catalog.twins import FRAMES, PREPARED
 from canlake.storage import scratch_path, settle
 from canlake.streaming.ingest import ingest_new_captures
-from canlake.streaming.interarrival import OUTPUT, live_delta_id
+from canlake.streaming.interarrival import OUTPUT, live_delta_id, rocksdb_state
 
 ROUNDS = (15,)
 
@@ -70,15 +70,16 @@ def live_deltas(spark, sf_dir):
     frames = st.frames(spark, sf_dir).select("session_id", "Arbitration_ID", "row_id", "Timestamp")
     frames.write.parquet(source)
     stream = spark.readStream.schema(frames.schema).parquet(source)
-    (
-        live_delta_id(stream)
-        .writeStream.format("parquet")
-        .option("path", output)
-        .option("checkpointLocation", scratch_path(spark, "live-checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    with rocksdb_state(spark):
+        (
+            live_delta_id(stream)
+            .writeStream.format("parquet")
+            .option("path", output)
+            .option("checkpointLocation", scratch_path(spark, "live-checkpoint"))
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
     return spark.read.schema(OUTPUT).parquet(output).select(
         "row_id", "session_id", F.round("Delta_Id", 6).alias("Delta_Id"), "late"
     )

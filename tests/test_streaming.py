@@ -6,7 +6,7 @@ from canlake.operators.deltas import with_delta_id
 from canlake.operators.ordering import lay_out
 from canlake.streaming.busload import tumbling_load
 from canlake.streaming.ingest import ingest_new_captures
-from canlake.streaming.interarrival import OUTPUT, late_counts, live_delta_id
+from canlake.streaming.interarrival import OUTPUT, InterArrival, late_counts, live_delta_id, rocksdb_state
 
 
 def text(path, start, count):
@@ -46,6 +46,46 @@ def test_streams_with_own_checkpoints_share_an_output(spark, tmp_path):
     assert table.select("stream").distinct().count() == 2
 
 
+def run_deltas(spark, deltas, out, checkpoint):
+    with rocksdb_state(spark):
+        (
+            deltas.writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
+        )
+
+
+def test_a_hot_key_is_merged_chunk_by_chunk(spark, make_frames, tmp_path):
+    """One identifier with fifty chunks in a batch: same deltas, no row lost, nothing left set aside."""
+    columns = ["session_id", "Arbitration_ID", "row_id", "Timestamp"]
+    schema = "session_id string, Arbitration_ID string, row_id long, Timestamp double"
+    rows = [(i, "s", 100 + (i * 7919 % 3000) * 0.25, "100" if i % 10 else "200", 0) for i in range(3000)]
+    more = [(i, "s", 900 + i * 0.5, "100", 0) for i in range(3000, 3100)] + [(4000, "s", 100.5, "100", 0), (4001, "s", None, "100", 0)]
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    before = {key: spark.conf.get(key) for key in ("spark.sql.execution.arrow.maxRecordsPerBatch",)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for batch in (rows, more):
+            frames = make_frames([r for r in batch if r[2] is not None]).select(*columns)
+            if len(batch) < 200:
+                frames = frames.union(spark.createDataFrame([("s", "100", 4001, None)], schema))
+            frames.write.mode("append").parquet(str(source))
+            stream = spark.readStream.schema(schema).parquet(str(source)).where("row_id >= 0")
+            deltas = stream.groupBy("session_id", "Arbitration_ID").transformWithStateInPandas(InterArrival(block_rows=20), OUTPUT, "append", "none") if len(batch) > 200 else live_delta_id(stream)
+            run_deltas(spark, deltas, out, tmp_path / "checkpoint")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    got = spark.read.schema(OUTPUT).parquet(out)
+    good = [r for r in rows + more if r[2] is not None and r[0] != 4000]
+    want = {r["row_id"]: r["Delta_Id"] for r in with_delta_id(lay_out(make_frames(good)).frames).collect()}
+    assert {r["row_id"]: r["Delta_Id"] for r in got.where("NOT late").collect()} == want
+    assert [r["row_id"] for r in got.where("late AND Delta_Id IS NULL").collect()] == [4000]
+    assert got.count() == len(rows) + len(more) - 1
+    with rocksdb_state(spark):
+        state = spark.read.format("statestore").option("stateVarName", "aside").load(str(tmp_path / "checkpoint"))
+        assert state.count() == 0
+
+
 def test_live_deltas_over_batches(spark, make_frames, tmp_path):
     rows = [(i, "s", 100 + i * 0.25, ["100", "200", "300"][i % 3], 0) for i in range(60)]
     rows.append((60, "s", 1100.0, "100", 0))  # silent for a quarter of an hour
@@ -55,10 +95,7 @@ def test_live_deltas_over_batches(spark, make_frames, tmp_path):
     for batch in (rows[:20], rows[20:45], rows[45:] + late):
         make_frames(batch).select(*columns).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("session_id string, Arbitration_ID string, row_id long, Timestamp double").parquet(str(source))
-        (
-            live_delta_id(stream).writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-        )
+        run_deltas(spark, live_delta_id(stream), out, tmp_path / "checkpoint")
     got = spark.read.schema(OUTPUT).parquet(out)
     want = {r["row_id"]: r["Delta_Id"] for r in with_delta_id(lay_out(make_frames(rows)).frames).collect()}
     assert {r["row_id"]: r["Delta_Id"] for r in got.where("NOT late").collect()} == want
