@@ -11,7 +11,9 @@ from canlake.plans.catalog.sources import capture_of, text_captures
 from canlake.plans.catalog.twins import FRAMES, PREPARED
 from canlake.storage import scratch_path, settle
 from canlake.streaming.ingest import ingest_new_captures
+from canlake.streaming.busload import tumbling_load
 from canlake.streaming.interarrival import OUTPUT, live_delta_id, rocksdb_state
+from canlake.streaming.lateness import late_frames, on_time_stream, split_late
 
 ROUNDS = (15,)
 
@@ -83,3 +85,48 @@ def live_deltas(spark, sf_dir):
     return spark.read.schema(OUTPUT).parquet(output).select(
         "row_id", "session_id", F.round("Delta_Id", 6).alias("Delta_Id"), "late"
     )
+
+
+LATENESS, LOAD_WINDOW = "6 hours", "1 hour"
+
+
+def delivery(row, rows):
+    """Which of three deliveries brings a frame: thirds of the log, but every 97th frame of the first comes with the last."""
+    third = F.least(F.floor(row * 3 / rows), F.lit(2))
+    return F.when((third == 0) & (row % 97 == 5), 2).otherwise(third)
+
+
+@query(
+    "r03_streamed_load",
+    f"""WITH {FRAMES}, sized AS (SELECT count(*) AS n FROM frames),
+        sent AS (SELECT session_id, Arbitration_ID, CAST(round("Timestamp" * 1e6::DOUBLE) AS BIGINT) AS us, least(row_id * 3 // n, 2) AS third, row_id FROM frames, sized),
+        delivered AS (SELECT *, CASE WHEN third = 0 AND row_id % 97 = 5 THEN 2 ELSE third END AS delivery FROM sent),
+        reached AS (SELECT delivery, max(us) AS newest FROM delivered GROUP BY delivery),
+        judged AS (SELECT d.*, coalesce(us < (SELECT max(newest) FROM reached r WHERE r.delivery < d.delivery) - 21600000000, false) AS late FROM delivered d),
+        closed AS (SELECT max(us) // 1000 * 1000 - 21600000000 AS mark FROM judged WHERE NOT late)
+        SELECT session_id, us // 3600000000 * 3600000000 AS start_us, count(*) AS frames, CAST(count(DISTINCT Arbitration_ID) AS INTEGER) AS ids
+        FROM judged, closed WHERE NOT late AND us // 3600000000 * 3600000000 + 3600000000 <= mark GROUP BY 1, 2
+        UNION ALL SELECT session_id, NULL, count(*), NULL FROM judged WHERE late GROUP BY 1""",
+)
+def streamed_load(spark, sf_dir):
+    """Load windows of a stream in append mode, and its late frames (rows without a window)."""
+    source, output, loads = (scratch_path(spark, f"load-{name}") for name in ("source", "split", "windows"))
+    frames = st.frames(spark, sf_dir).select("session_id", "Arbitration_ID", "row_id", "Timestamp")
+    rows = frames.count()
+    schema, checkpoints = frames.schema, [scratch_path(spark, "load-checkpoint") for _ in range(2)]
+    stored = on_time = None
+    for number in range(3):
+        frames.where(delivery(F.col("row_id"), F.lit(rows)) == number).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(schema).parquet(source)
+        split_late(arriving, output, checkpoints[0], LATENESS).awaitTermination()
+        stored = frames.withColumn("event_time", F.lit(None).cast("timestamp"))
+        on_time = on_time_stream(spark, output, stored)
+        with rocksdb_state(spark):
+            (
+                tumbling_load(on_time, LOAD_WINDOW, LATENESS)
+                .writeStream.outputMode("append").format("parquet").option("path", loads)
+                .option("checkpointLocation", checkpoints[1]).trigger(availableNow=True).start().awaitTermination()
+            )
+    late = late_frames(spark, output, stored).groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"))
+    windows = spark.read.schema("session_id string, start_us long, frames long, ids int").parquet(loads)
+    return windows.unionByName(late, allowMissingColumns=True)

@@ -10,9 +10,11 @@ from canlake.streaming.interarrival import event_time
 def tumbling_load(frames: DataFrame, width: str = "20 milliseconds", lateness: str = "1 second") -> DataFrame:
     """Frames and distinct identifiers per session and window.
 
-    The identifier set of one window is bounded by what a bus can carry in that time.
+    The identifier set of one window is bounded by what a bus can carry in that time.  A stream
+    in append mode gives a window once it is ``lateness`` old and drops frames that come
+    later still: split those off first (``lateness.split_late``).
     """
-    timed = frames.withColumn("event_time", event_time())
+    timed = frames if "event_time" in frames.columns else frames.withColumn("event_time", event_time())
     if frames.isStreaming:
         timed = timed.withWatermark("event_time", lateness)
     return (

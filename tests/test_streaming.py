@@ -6,6 +6,7 @@ from canlake.operators.deltas import with_delta_id
 from canlake.operators.ordering import lay_out
 from canlake.streaming.busload import tumbling_load
 from canlake.streaming.ingest import ingest_new_captures
+from canlake.streaming.lateness import late_frames, on_time, on_time_stream, split_late
 from canlake.streaming.interarrival import OUTPUT, InterArrival, late_counts, live_delta_id, rocksdb_state
 
 
@@ -113,3 +114,45 @@ def test_tumbling_load_stream_equals_batch(spark, make_frames, tmp_path):
     want = {tuple(r) for r in tumbling_load(frames).collect()}
     assert {tuple(r) for r in spark.table("live_load").collect()} == want
     assert sum(r[2] for r in want) == 40
+
+
+COLUMNS = ["session_id", "Arbitration_ID", "row_id", "Timestamp"]
+SCHEMA = "session_id string, Arbitration_ID string, row_id long, Timestamp double"
+
+
+def test_frames_and_late_frames_are_the_input(spark, make_frames, tmp_path):
+    """Append mode over three batches and a last one that closes all windows; three frames come too late, one has no time."""
+    batches = [
+        [(i, "s", 10 + i * 0.1, f"{i % 3:03X}", 0) for i in range(40)],
+        [(i, "t", 15 + (i - 40) * 0.1, f"{i % 3:03X}", 0) for i in range(40, 80)] + [(80, "s", 13.5, "001", 0)],  # 0.4 s old: in time
+        [(i, "s", 20 + (i - 81) * 0.1, "001", 0) for i in range(81, 100)] + [(100, "s", 10.05, "000", 0), (101, "t", 15.0, "000", 0), (102, "u", 17.8, "000", 0)],
+        [(103, "end", 100.0, "000", 0)],
+    ]
+    source, out, loads = str(tmp_path / "in"), str(tmp_path / "split"), str(tmp_path / "loads")
+    for batch in batches:
+        frames = make_frames(batch).select(*COLUMNS)
+        if batch[0][0] == 40:
+            frames = frames.union(spark.createDataFrame([("t", "100", 200, None)], SCHEMA))
+        frames.write.mode("append").parquet(source)
+        split_late(spark.readStream.schema(SCHEMA).parquet(source), out, str(tmp_path / "c1")).awaitTermination()
+        like = frames.withColumn("event_time", F.lit(None).cast("timestamp"))
+        stream = tumbling_load(on_time_stream(spark, out, like), "1 second", "1 second").writeStream.outputMode("append").format("parquet")
+        stream.option("path", loads).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    late = sorted(r["row_id"] for r in late_frames(spark, out, like).collect())
+    assert late == [100, 101, 102, 200]
+    good = on_time(spark, f"{out}/frames", like)
+    assert good.count() + len(late) == sum(map(len, batches)) + 1
+    windows = spark.read.parquet(loads)
+    want = {tuple(r) for r in tumbling_load(good.where("session_id <> 'end'"), "1 second").collect()}
+    assert {tuple(r) for r in windows.collect()} == want  # none was dropped behind the watermark
+    assert sum(r[2] for r in want) + len(late) + 1 == sum(map(len, batches)) + 1
+
+
+def test_a_repeated_batch_adds_nothing(spark, make_frames, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "split")
+    make_frames([(i, "s", i * 1.0, "000", 0) for i in range(9)]).select(*COLUMNS).write.parquet(source)
+    stream = lambda: spark.readStream.schema(SCHEMA).parquet(source)
+    split_late(stream(), out, str(tmp_path / "c1")).awaitTermination()
+    split_late(stream(), out, str(tmp_path / "c2")).awaitTermination()  # a lost checkpoint: batch 0 again
+    like = spark.createDataFrame([], SCHEMA + ", event_time timestamp")
+    assert on_time(spark, f"{out}/frames", like).count() == 9
