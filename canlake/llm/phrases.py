@@ -31,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import count as numbers
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +54,13 @@ FILTER_BITS = 24
 SIDE_BITS = 9
 #: A tile gets an array once a batch has so many occurrences for it.
 DENSE = 1 << 12
-MOST_TILES = 96
-#: Different words a task holds; list entries it holds; ids in a row of runs.
-HELD_WORDS = 1 << 19
-HELD_PAIRS = 1 << 21
+MOST_TILES = 48
+#: Different words a task holds; list entries it holds; ids in a row of runs; ids worked on at once; rows it gives at once.
+HELD_WORDS = 1 << 18
+HELD_PAIRS = 1 << 19
 ROW_IDS = 1 << 17
+SLICE_IDS = 1 << 19
+GIVEN = 1 << 16
 
 BREAK, SKIP = 0, np.iinfo(np.int64).min
 _IDS = [f"w{i}" for i in range(1, LONGEST + 1)]
@@ -87,8 +90,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for lang, counter in held.items():
             for no_word in (b"", b"\n"):
                 counter.pop(no_word, None)
-            words = pa.array(list(counter), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter), pa.string()), words, pa.array(list(counter.values()), pa.int64())], names=["lang", "word", "n"])
+            entries = iter(counter.items())
+            while part := list(islice(entries, GIVEN)):
+                words = pa.array([word for word, _ in part], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), words, pa.array([n for _, n in part], pa.int64())], names=["lang", "word", "n"])
         held.clear()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +202,7 @@ class _Ids(dict):
 
 
 def id_runs(docs: DataFrame, words: Words) -> DataFrame:
-    """(ids binary, old int): ids of every text in order, at most about ``ROW_IDS`` in a row.
+    """(ids binary, old int): ids of every text in order, at most about ``ROW_IDS`` in a row, and a break after them.
 
     A text that takes several rows repeats the last ``old`` ids of a row in the next.
     """
@@ -210,7 +215,7 @@ def id_runs(docs: DataFrame, words: Words) -> DataFrame:
 
             def row(ids: np.ndarray, old: int) -> None:
                 if len(ids) > max(old, 1):
-                    blobs.append(ids.tobytes())
+                    blobs.append(ids.tobytes() + b"\0" * 8)
                     olds.append(old)
 
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -355,14 +360,15 @@ class PairTiles:
             yield (name >> 32 << SIDE_BITS) + (cells >> SIDE_BITS), ((name & 0xFFFFFFFF) << SIDE_BITS) + (cells & side), counters[cells]
 
 
-def _joined_rows(blobs: list[bytes], olds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of several rows with breaks between them, and whether a phrase that ends there is to be counted."""
-    lengths = np.array([len(b) // 8 + 1 for b in blobs], np.int64)
-    ids = np.frombuffer(b"".join(part for b in blobs for part in (b, b"\0" * 8)), np.int64)
-    begins = np.cumsum(lengths) - lengths
-    counted = np.ones(len(ids), dtype=bool)
-    counted[K.ragged(begins, np.array(olds, np.int64))] = False
-    return ids, counted
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of some rows of runs, and whether a phrase that ends there is to be counted."""
+    data, offsets = K.text_buffers(batch.column("ids"))
+    olds = batch.column("old").to_numpy().astype(np.int64)
+    for a, b in K.slices(data, offsets, 8 * SLICE_IDS):
+        ids = np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), np.int64)
+        counted = np.ones(len(ids), dtype=bool)
+        counted[K.ragged((offsets[a:b] - offsets[a]) // 8, olds[a:b])] = False
+        yield ids, counted
 
 
 def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None) -> DataFrame:
@@ -370,8 +376,9 @@ def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None) -> DataFrame
     shared = runs.sparkSession.sparkContext.broadcast(shorter)
     names = [*_IDS[:k], "n"]
 
-    def out(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(n)], names=names)
+    def out(columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(n), GIVEN):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + GIVEN]) for c in (*columns, n)], names=names)
 
     def ids_of(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         before = [left + 1] if k == 2 else [column[left] for column in shared.value.columns]
@@ -380,9 +387,7 @@ def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None) -> DataFrame
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles, tuples = PairTiles(), SortedCounts(k)
         for batch in batches:
-            blobs, olds = batch.column("ids").to_pylist(), batch.column("old").to_pylist()
-            for a in range(0, len(blobs), 256):
-                ids, counted = _joined_rows(blobs[a : a + 256], olds[a : a + 256])
+            for ids, counted in _slices(batch):
                 units, n = ids, len(ids) - k + 1
                 if k > 2:
                     alive = ids != BREAK
@@ -395,13 +400,13 @@ def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None) -> DataFrame
                 tiles.add(units[at[ranked]] - 1, ids[at[ranked] + k - 1] - 1)
                 tuples.add([ids[at[~ranked] + j] for j in range(k)])
                 if (found := tiles.sparse.taken(HELD_PAIRS)) is not None:
-                    yield out(*ids_of(*tiles.pairs(found)))
+                    yield from out(*ids_of(*tiles.pairs(found)))
                 if (found := tuples.taken(HELD_PAIRS)) is not None:
-                    yield out(*found)
+                    yield from out(*found)
         for found in tiles.dense_pairs():
-            yield out(*ids_of(*found))
-        yield out(*ids_of(*tiles.pairs(tiles.sparse.merged())))
-        yield out(*tuples.merged())
+            yield from out(*ids_of(*found))
+        yield from out(*ids_of(*tiles.pairs(tiles.sparse.merged())))
+        yield from out(*tuples.merged())
 
     counted = runs.mapInArrow(add, ", ".join(f"{name} long" for name in names))
     return counted.groupBy(*_IDS[:k]).agg(F.sum("n").alias("n"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canlake.operators import mlp, scoring, splits
-from canlake.plans import standin as st
+from canlake.plans import stages, standin as st
 from canlake.plans.catalog.registry import query
-from canlake.plans.catalog.sources import capture_of, text_captures
+from canlake.plans.catalog.sources import ROAD, SURVIVAL_LABEL, capture_of, survival_stem, road_stem, text_captures
 from canlake.plans.catalog.twins import FRAMES, PREPARED
+from canlake.sources.candump import write_injections
 from canlake.storage import scratch_path, settle
 from canlake.streaming.ingest import ingest_new_captures
 from canlake.streaming.busload import tumbling_load
@@ -130,3 +131,48 @@ def streamed_load(spark, sf_dir):
     late = late_frames(spark, output, stored).groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"))
     windows = spark.read.schema("session_id string, start_us long, frames long, ids int").parquet(loads)
     return windows.unionByName(late, allowMissingColumns=True)
+
+
+#: Dialect, label schema, variant of the captures that go from files to split tables.
+CORPORA = (
+    ("car_hacking_attack_defense", "binary", None),
+    ("road_raw", "road", "fabrication"),
+    ("survival_analysis", "SurvivalAnalysis", None),
+)
+
+
+@query(
+    "stages_files_to_splits",
+    f"""WITH {ROAD},
+        labelled AS (
+          SELECT 'car_hacking_attack_defense' AS corpus, session_id AS stem, row_id AS line, CASE WHEN attack_type = 'Normal' THEN 0 ELSE 1 END AS "Class" FROM frames
+          UNION ALL SELECT 'road_raw', stem, row_id, CASE WHEN hit THEN CAST(list_position(['MEC','Fuzzing','MS','RLOn','RLOff','CS'], family) AS INTEGER) ELSE 0 END
+            FROM road_rule WHERE id_number <= 1792 AND raw <> '' AND cap_no % 2 = 0 AND cap_no <> 14 AND cap_no % 7 <> 6
+          UNION ALL SELECT 'survival_analysis', {survival_stem()}, row_id, CASE {SURVIVAL_LABEL} WHEN 'Flooding' THEN 1 WHEN 'Fuzzing' THEN 2 WHEN 'Malfunction' THEN 3 ELSE 0 END FROM frames),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY stem, line) - 1 AS id, dense_rank() OVER (PARTITION BY corpus ORDER BY stem) AS place FROM labelled)
+        SELECT corpus, CASE place WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'train' END AS outcome, CAST("Class" AS INTEGER) AS "Class", count(*) AS rows, CAST(sum(id) AS BIGINT) AS row_ids
+        FROM numbered GROUP BY ALL
+        UNION ALL SELECT 'road_raw', CASE WHEN id_number > 1792 THEN 'out_of_scope' ELSE 'bad_payload' END, NULL, count(*), NULL FROM road
+        WHERE (id_number > 1792 OR raw = '') AND cap_no % 2 = 0 AND cap_no <> 14 AND cap_no % 7 <> 6 GROUP BY 2""",
+)
+def files_to_splits(spark, sf_dir):
+    """Capture files of three corpora through ingest, prepare and split; rows per split and class, and rejects.
+
+    The first two captures of a corpus by name are its validation and test sessions.
+    """
+    found = None
+    for corpus, schema, variant in CORPORA:
+        folder, canonical, output, sidecar = st.write_captures(spark, sf_dir, corpus), *(scratch_path(spark, n) for n in ("canonical", "splits", "sidecar"))
+        if corpus == "road_raw":
+            write_injections(st.injections(spark, sf_dir), sidecar)
+        rejects = stages.ingest(spark, folder, corpus, canonical, variant, metadata=sidecar if corpus == "road_raw" else None)
+        frames, layout = stages.prepare(spark.read.parquet(canonical), schema, variant, ["deltatime"])
+        held = [r[0] for r in layout.sessions.select("session_id").orderBy("session_id").limit(2).collect()]
+        stages.split(frames, output, schema, variant, val_sessions=held[:1], test_sessions=held[1:])
+        rows = spark.read.parquet(output).groupBy(F.col("split").alias("outcome"), "Class").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("row_ids")
+        )
+        lost = rejects.groupBy(F.col("reject_reason").alias("outcome")).agg(F.sum("lines").alias("rows"))
+        one = rows.unionByName(lost, allowMissingColumns=True).select(F.lit(corpus).alias("corpus"), "outcome", "Class", "rows", "row_ids")
+        found = one if found is None else found.unionByName(one)
+    return found

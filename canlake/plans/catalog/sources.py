@@ -13,7 +13,7 @@ from canlake.plans.catalog.twins import BYTES, FRAMES, LABELLED
 from canlake.plans.catalog.windows import holdout
 from canlake.schemas import BYTE_COLUMNS
 from canlake.sources import candump, captures, delimited, discovery, tables
-from canlake.sources.parsing import accepted, captures_without_frames, reject_counts
+from canlake.sources.parsing import accepted, captures_without_frames, reject_counts, staged
 from canlake.storage import scratch_path
 
 
@@ -30,6 +30,13 @@ def mirgu_stem(session="session_id", number="cap_no") -> str:
     return f"{sql_names(last, number)} || '_' || {session}"
 
 
+def survival_stem(session="session_id", number="cap_no") -> str:
+    """Capture names of the survival corpus."""
+    return f"{sql_names(st.SURVIVAL_NAMES, number)} || '_' || {session}"
+
+
+#: Label of a survival frame: only the flagged form of the line carries it.
+SURVIVAL_LABEL = """CASE WHEN attack_type <> 'Normal' AND NOT (row_id % 2 = 0 AND DLC > 1) THEN ['Normal','Flooding','Fuzzing','Malfunction'][cap_no % 4 + 1] ELSE 'Normal' END"""
 PAYLOAD = "||".join(f"CASE WHEN {b} = 'PAD' THEN '' ELSE {b} END" for b in BYTES)
 SLICED = ", ".join(f"substr(p, {2 * i + 1}, 2) AS Data_{i}" for i in range(8))
 OUT = ["row_id", "session_id", "Timestamp", "Arbitration_ID", "DLC", *BYTE_COLUMNS, "attack_type"]
@@ -145,7 +152,7 @@ def hcrl_labelled_text(spark, sf_dir):
 @query(
     "s10_survival_text",
     f"""WITH {FRAMES} SELECT row_id, {sql_names(st.SURVIVAL_NAMES)} || '_' || session_id AS session_id, round("Timestamp", 6) AS "Timestamp", Arbitration_ID, DLC, {', '.join(BYTES)},
-        CASE WHEN attack_type <> 'Normal' AND NOT (row_id % 2 = 0 AND DLC > 1) THEN ['Normal','Flooding','Fuzzing','Malfunction'][cap_no % 4 + 1] ELSE 'Normal' END AS attack_type FROM frames""",
+        {SURVIVAL_LABEL} AS attack_type FROM frames""",
 )
 def survival_text(spark, sf_dir):
     return shown(delimited.parse_survival(st.log_lines(spark, sf_dir, "survival_analysis")))
@@ -278,18 +285,9 @@ def frames_per_dialect(spark, sf_dir):
 )
 def injection_metadata(spark, sf_dir):
     """The sidecar file, one JSON object with an entry per capture, written and read back."""
-    entry = F.struct(
-        "session_id",
-        F.struct(
-            F.array("t_lo", "t_hi").alias("injection_interval"),
-            F.col("pattern").alias("injection_data_str"),
-            F.col("target").alias("injection_id"),
-        ),
-    )
     path = scratch_path(spark, "metadata")
-    table = st.injections(spark, sf_dir).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    table.select(F.to_json("m").alias("value")).write.text(path)
-    return candump.read_injections(spark, path)
+    candump.write_injections(st.injections(spark, sf_dir), path)
+    return candump.read_injections(spark, path, by_line=True)
 
 
 def text_captures(spark, sf_dir):
@@ -322,7 +320,7 @@ def capture_files(spark, sf_dir):
 )
 def row_ids_over_files(spark, sf_dir):
     lines = discovery.read_lines(spark, text_captures(spark, sf_dir), "hcrl_carhacking")
-    parsed = accepted(delimited.parse_hcrl(lines)).withColumn("session_id", capture_of(F.col("path")))
+    parsed = accepted(staged(delimited.parse_hcrl(lines))).withColumn("session_id", capture_of(F.col("path")))
     return captures.with_row_ids(parsed).select(
         "row_id", F.col("session_id").alias("capture"), F.round("Timestamp", 6).alias("Timestamp"), "Arbitration_ID"
     )
@@ -342,6 +340,47 @@ def rejected_lines(spark, sf_dir):
     return reject_counts(candump.parse_road(lines, st.injections(spark, sf_dir)))
 
 
+LONG = "row_id % 50 = 7"
+
+
+def lengthened(lines, more):
+    """Every fiftieth line of a capture with a ninth byte or a thirteenth cell."""
+    return lines.withColumn("value", F.when(F.expr(LONG.replace("row_id", "line_key")), F.concat("value", more)).otherwise(F.col("value")))
+
+
+@query(
+    "s15_overlong_lines",
+    f"""WITH {FRAMES} SELECT dialect, CASE WHEN dialect = 'hcrl_csv' THEN 'too_many_cells' ELSE 'too_many_bytes' END AS reject_reason,
+        count(*) FILTER ({LONG}) AS lines, count(*) FILTER (NOT {LONG}) AS frames
+        FROM frames, (VALUES ('hcrl_csv'), ('hcrl_text'), ('survival_analysis'), ('car_hacking_attack_defense')) AS d(dialect) GROUP BY 1, 2""",
+)
+def overlong_lines(spark, sf_dir):
+    """Lines with more bytes or cells than a frame has are rejected and counted, not cut."""
+    nine = F.lit(" ".join(["AA"] * 9))
+    texts = {
+        "hcrl_csv": (delimited.parse_hcrl, "hcrl_carhacking", F.lit("," * 12 + "R")),
+        "hcrl_text": (delimited.parse_hcrl_text, "hcrl_text", F.concat(F.lit(" "), nine)),
+        "survival_analysis": (delimited.parse_survival, "survival_analysis", F.lit("," * 9 + "AA,R")),
+        "car_hacking_attack_defense": (delimited.parse_attack_defense, "car_hacking_attack_defense", None),
+    }
+    counts = None
+    for name, (parse, dialect, more) in texts.items():
+        lines = st.log_lines(spark, sf_dir, dialect)
+        if more is None:  # the payload is the fourth cell
+            cells = F.split("value", ",")
+            payload = F.concat_ws(",", F.slice(cells, 1, 3), nine, F.slice(cells, 5, F.size(cells)))
+            lines = lines.withColumn("value", F.when(F.col("line_key") % 50 == 7, payload).otherwise(F.col("value")))
+        else:
+            lines = lengthened(lines, more)
+        parsed = parse(lines).agg(
+            F.max("reject_reason").alias("reject_reason"), F.count("reject_reason").alias("lines"),
+            F.count_if(F.col("reject_reason").isNull()).alias("frames"),
+        )
+        one = parsed.select(F.lit(name).alias("dialect"), "reject_reason", "lines", "frames")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
 @query(
     "s15_captures_without_frames",
     f"""WITH {STRAYS} SELECT DISTINCT {mirgu_stem('capture', 'n')} AS session_id FROM strays""",

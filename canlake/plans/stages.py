@@ -11,7 +11,7 @@ from canlake.operators.ordering import Layout, lay_out
 from canlake.schemas import label_schema, require_columns
 from canlake.sources.captures import canonical_order, parser_for, selected_lines, with_row_ids
 from canlake.sources.candump import read_injections
-from canlake.sources.parsing import accepted, reject_counts
+from canlake.sources.parsing import accepted, reject_counts, staged
 from canlake.sources.tables import write_frames, write_splits
 
 FEATURES = {"deltatime": "Deltatime", "delta_id": "Delta_Id"}
@@ -29,7 +29,7 @@ def ingest(
     """Canonical frames of all selected captures; returns the reject counts."""
     injections = read_injections(spark, metadata) if metadata else None
     parse = parser_for(dialect, injections)
-    parsed = parse(selected_lines(spark, folder, dialect, variant, exclude))
+    parsed = staged(parse(selected_lines(spark, folder, dialect, variant, exclude)))
     frames = canonical_order(with_row_ids(accepted(parsed)))
     write_frames(frames, output)
     if spark.read.parquet(output).isEmpty():

@@ -12,6 +12,7 @@ from canlake.functions.labels import class_id
 from canlake.operators.deltas import with_delta_id, with_deltatime
 from canlake.operators.ordering import Layout, lay_out
 from canlake.schemas import BYTE_COLUMNS, label_schema
+from canlake.storage import scratch_path
 
 WINDOW, STRIDE = 16, 8
 FIVE = label_schema("five_class")
@@ -228,6 +229,27 @@ def log_lines(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
     return lines.withColumn("session_id", stem)
 
 
+def write_captures(spark: SparkSession, sf_dir: str, dialect: str) -> str:
+    """The frames as capture files of a dialect, named as its corpus names them; gives the folder.
+
+    A capture is one file, so one task writes it; the files, one for each session, then
+    get their names.
+    """
+    raw, folder = scratch_path(spark, "raw-lines"), scratch_path(spark, "raw")
+    lines = log_lines(spark, sf_dir, dialect)
+    lines.repartition("capture").sortWithinPartitions("capture", "line_key").select("capture", "value").write.partitionBy("capture").text(raw)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(raw).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lines.select("capture", "path").distinct().collect()  # one row for each session
+    for row in names:
+        target = path(folder + row["path"])
+        fs.mkdirs(target.getParent())
+        part = next(s.getPath() for s in fs.listStatus(path(f"{raw}/capture={row['capture']}")) if s.getLen())
+        if not fs.rename(part, target):
+            raise OSError(f"cannot name {target}")
+    return folder
+
+
 def has_subclass(session: Column) -> Column:
     """Some captures of the header CSV come without the sub-label column."""
     return session_number(session) % 3 != 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from canlake.functions import labels
 from canlake.functions.hexfields import bytes_of_payload
-from canlake.sources.parsing import canonical, group, matched, reasons, with_capture_facts
+from canlake.sources.parsing import LINE_COLUMNS, canonical, group, matched, reasons, staged, with_capture_facts
 
 # Line formats and identifier limits.
 ROAD_LINE = r"(?s)^\(([^)]+)\)\s+\S+\s+([0-9A-Fa-f]+)#([0-9A-Fa-f]*).*$"
@@ -17,18 +17,25 @@ MIRGU_LIMIT = 0x7FF
 ANY_ID = "XXX"
 
 
+def line_fields(lines: DataFrame, pattern: str, groups: int) -> DataFrame:
+    """The pattern's groups of every line, staged: the only pass over the text."""
+    return staged(
+        matched(lines, pattern, groups).select(
+            *LINE_COLUMNS, "session_id", "well_formed", group(1).try_cast("double").alias("raw_time"),
+            F.ltrim(F.upper(group(2)), F.lit("0")).alias("raw_id"), F.upper(group(3)).alias("raw_payload"),
+            group(4).alias("flag"),
+        )
+    )
+
+
 def with_fields(lines: DataFrame) -> DataFrame:
     """Relative time, identifier, raw and left-padded payload, DLC.
 
     ``id_number`` is -1 for an identifier of more than three significant digits.
     """
-    raw_id = F.ltrim(F.upper(group(2)), F.lit("0"))
     short = F.length("raw_id") <= 3
     return (
         lines.withColumns(
-            {"raw_time": group(1).try_cast("double"), "raw_id": raw_id, "raw_payload": F.upper(group(3))}
-        )
-        .withColumns(
             {
                 "id_number": F.when(short, F.conv(F.lpad("raw_id", 3, "0"), 16, 10).cast("int")).otherwise(-1),
                 "Arbitration_ID": F.lpad("raw_id", 3, "0"),
@@ -41,12 +48,40 @@ def with_fields(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_injections(spark: SparkSession, path: str) -> DataFrame:
-    """Injection metadata: one row per capture out of a JSON object keyed by capture."""
+def write_injections(injections: DataFrame, path: str) -> None:
+    """The sidecar: one JSON object keyed by capture, an entry on each line.
+
+    The lines are ordered by a shuffle and go through one writer as a stream; nothing
+    holds all captures together.
+    """
+    entry = F.struct(
+        F.array("t_lo", "t_hi").alias("injection_interval"),
+        F.col("pattern").alias("injection_data_str"),
+        F.col("target").alias("injection_id"),
+    )
+    one = F.to_json(F.create_map(F.col("session_id"), entry))
+    keyed = injections.select(F.lit(1).alias("part"), "session_id", F.substr(one, F.lit(2), F.length(one) - 2).alias("value"))
+    first = injections.agg(F.min("session_id").alias("first"))
+    marked = keyed.join(first.select(F.col("first").alias("session_id"), F.lit(True).alias("leads")), "session_id", "left")
+    entries = marked.select("part", "session_id", F.concat(F.when(F.col("leads"), "").otherwise(","), "value").alias("value"))
+    ends = injections.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], entries.schema)
+    entries.union(ends).orderBy("part", "session_id").select("value").coalesce(1).write.text(path)
+
+
+def read_injections(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """Injection metadata: one row per capture out of a JSON object keyed by capture.
+
+    With ``by_line`` every entry has a line of its own (``write_injections``) and a file of any
+    length is read in splits; otherwise the object may be laid out in any way.
+    """
     entry = "map<string,struct<injection_interval:array<double>,injection_data_str:string,injection_id:string>>"
+    if by_line:
+        lines = spark.read.text(path).where(~F.trim("value").isin("{", "}"))
+        text = lines.select(F.concat(F.lit("{"), F.ltrim(F.trim("value"), F.lit(",")), F.lit("}")).alias("value"))
+    else:
+        text = spark.read.text(path, wholetext=True)
     return (
-        spark.read.text(path, wholetext=True)
-        .select(F.explode(F.from_json("value", entry)).alias("session_id", "m"))
+        text.select(F.explode(F.from_json("value", entry)).alias("session_id", "m"))
         .select(
             "session_id",
             F.get("m.injection_interval", F.lit(0)).alias("t_lo"),
@@ -78,7 +113,7 @@ def injected() -> Column:
 def parse_road(lines: DataFrame, injections: DataFrame) -> DataFrame:
     """ROAD frames; the injection table has one row per capture and joins on it."""
     family = labels.road_family(F.col("session_id"))
-    fields = with_fields(with_capture_facts(matched(lines, ROAD_LINE, 3), family))
+    fields = with_fields(with_capture_facts(line_fields(lines, ROAD_LINE, 3), family))
     digits = F.col("digits")
     reason = reasons(
         ("malformed", ~F.col("well_formed")),
@@ -99,7 +134,7 @@ def parse_mirgu(lines: DataFrame) -> DataFrame:
     """CAN-MIRGU frames; an empty payload is all zeros, labels come from the line flag."""
     stem = F.col("session_id")
     by_name = labels.mirgu_family(F.col("path"), stem)
-    fields = with_fields(with_capture_facts(matched(lines, MIRGU_LINE, 4), by_name))
+    fields = with_fields(with_capture_facts(line_fields(lines, MIRGU_LINE, 4), by_name))
     digits, family = F.col("digits"), F.col("family")
     exact = labels.compound_family(stem, family, F.col("Arbitration_ID"), F.col("Timestamp"))
     reason = reasons(
@@ -109,7 +144,7 @@ def parse_mirgu(lines: DataFrame) -> DataFrame:
         ("bad_payload", (digits % 2 == 1) | (digits > 16)),
         ("unknown_family", family.isNull()),
     )
-    attack = F.when((family == "Normal") | (group(4) == "0"), "Normal").otherwise(exact)
+    attack = F.when((family == "Normal") | (F.col("flag") == "0"), "Normal").otherwise(exact)
     return canonical(
         fields.withColumns({"attack_type": attack, "reject_reason": reason}).select(
             "*", *bytes_of_payload("payload")

@@ -12,7 +12,7 @@ from canlake.functions import labels
 from canlake.functions.hexfields import PAD, canonical_id, pad_left
 from canlake.schemas import BYTE_COLUMNS
 from canlake.sources.parsing import (
-    canonical, cell, filled, group, has_column, matched, once, place, reasons, with_header,
+    beyond, canonical, cell, filled, group, has_column, matched, once, place, reasons, with_header,
 )
 
 # Line format of the labelled text, columns of the headed CSVs.
@@ -28,7 +28,7 @@ DECIMALS = r"\.[0-9]+(?=\s*(,|$))"
 def parse_attack_defense(lines: DataFrame) -> DataFrame:
     """Header CSV; sub-label if the file has one, else label, else ``Normal``.
 
-    Bytes stay as written; extra bytes are ignored.
+    Bytes stay as written; a line with more than eight is rejected.
     """
     rows = with_header(lines, ["Timestamp", "Arbitration_ID", "DLC", "Data", "SubClass", "Class"], "Arbitration_ID")
     label = F.when(has_column("SubClass"), cell("SubClass")).when(has_column("Class"), cell("Class"))
@@ -45,6 +45,7 @@ def parse_attack_defense(lines: DataFrame) -> DataFrame:
         ("bad_time", F.col("Timestamp").isNull()),
         ("bad_id", F.col("Arbitration_ID").isNull()),
         ("bad_dlc", F.col("DLC").isNull()),
+        ("too_many_bytes", beyond(F.col("bytes"), len(BYTE_COLUMNS))),
     )
     data = [F.coalesce(F.get("bytes", F.lit(i)), F.lit(PAD)).alias(n) for i, n in enumerate(BYTE_COLUMNS)]
     return canonical(rows.withColumn("reject_reason", reason).select("*", *data))
@@ -84,9 +85,12 @@ def parse_ciciov(lines: DataFrame) -> DataFrame:
 
 
 def parse_hcrl_csv(lines: DataFrame) -> DataFrame:
-    """Ragged CSV without header; the last filled cell is the T/R flag."""
+    """Ragged CSV without header; the last filled cell is the T/R flag.
+
+    Time, identifier, DLC, at most eight bytes and the flag: a line with more cells is rejected.
+    """
     plain = F.regexp_replace(F.upper("value"), HEX_PREFIX, "$1")
-    rows = once(filled(lines), "cells", F.slice(F.split(plain, ",", -1), 1, RAGGED_WIDTH))
+    rows = once(filled(lines), "cells", F.split(plain, ",", -1))
     item = lambda i: F.nullif(F.get("cells", F.lit(i)), F.lit(""))
     flag = F.coalesce(*[item(i) for i in range(RAGGED_WIDTH - 1, 2, -1)])
     rows = rows.withColumns(
@@ -106,6 +110,7 @@ def parse_hcrl_csv(lines: DataFrame) -> DataFrame:
         ("bad_time", F.col("Timestamp").isNull()),
         ("bad_id", F.col("Arbitration_ID").isNull()),
         ("bad_dlc", F.col("DLC").isNull()),
+        ("too_many_cells", beyond(F.col("cells"), RAGGED_WIDTH)),
     )
     return canonical(
         rows.withColumns(
@@ -136,6 +141,7 @@ def parse_hcrl_text(lines: DataFrame) -> DataFrame:
         ("malformed", ~F.col("well_formed")),
         ("bad_time", F.col("Timestamp").isNull()),
         ("bad_id", ~group(2).rlike(HEX_TEXT)),
+        ("too_many_bytes", beyond(F.col("bytes"), len(BYTE_COLUMNS))),
         ("bad_byte", ~F.concat(*BYTE_COLUMNS).rlike("^([0-9A-F]{2}|PAD){8}$")),
     )
     return canonical(rows.withColumn("reject_reason", reason))
@@ -188,6 +194,7 @@ def parse_survival(lines: DataFrame) -> DataFrame:
         ("bad_time", F.col("Timestamp").isNull()),
         ("bad_id", ~raw_id.rlike(HEX_TEXT)),
         ("bad_dlc", F.col("DLC").isNull()),
+        ("too_many_bytes", beyond(F.col("bytes"), len(BYTE_COLUMNS))),
         ("unknown_family", family.isNull()),
     )
     return canonical(rows.withColumn("reject_reason", reason))

@@ -117,12 +117,27 @@ def cell(name: str, cells: str = "cells") -> Column:
     return F.nullif(F.get(F.col(cells), F.col(place(name))), F.lit(""))
 
 
-def with_capture_facts(lines: DataFrame, family: Column) -> DataFrame:
+def staged(parsed: DataFrame) -> DataFrame:
+    """Parsed lines on disk, keyed by (path, file_block, line_key).
+
+    File facts, row ids, frames and rejects all derive from this table, so the raw text
+    is read and matched once, and a line keeps its key whatever happens to an executor.
+    """
+    return settle(parsed, "parsed-lines")
+
+
+def with_capture_facts(fields: DataFrame, family: Column) -> DataFrame:
     """Adds ``t_first``, the time of the file's first good line, and its ``family``.
 
-    Both belong to the file, so they are worked out on one row per file.
+    Both belong to the file, so they are worked out on one row per file.  ``fields`` has
+    ``well_formed`` and ``raw_time`` and is read twice: stage it first.
     """
-    timed = lines.where("well_formed").withColumn("time", group(1).try_cast("double")).where("time IS NOT NULL")
-    firsts = timed.groupBy("path", "session_id").agg(F.min_by("time", F.struct("file_block", "line_key")).alias("t_first"))
+    timed = fields.where("well_formed AND raw_time IS NOT NULL")
+    firsts = timed.groupBy("path", "session_id").agg(F.min_by("raw_time", F.struct("file_block", "line_key")).alias("t_first"))
     facts = settle(firsts.select("path", "t_first", family.alias("family")), "capture-facts")
-    return lines.join(facts, "path", "left")
+    return fields.join(facts, "path", "left")
+
+
+def beyond(cells: Column, width: int) -> Column:
+    """Whether there is a filled cell after the first ``width``."""
+    return F.exists(F.slice(cells, width + 1, F.greatest(F.size(cells) - width, F.lit(0))), lambda x: F.trim(x) != "")
