@@ -54,12 +54,12 @@ FILTER_BITS = 24
 SIDE_BITS = 9
 #: A tile gets an array once a batch has so many occurrences for it.
 DENSE = 1 << 12
-MOST_TILES = 48
+MOST_TILES = 24
 #: Different words a task holds; list entries it holds; ids in a row of runs; ids worked on at once; rows it gives at once.
 HELD_WORDS = 1 << 18
 HELD_PAIRS = 1 << 19
 ROW_IDS = 1 << 17
-SLICE_IDS = 1 << 19
+SLICE_IDS = 1 << 18
 GIVEN = 1 << 16
 
 BREAK, SKIP = 0, np.iinfo(np.int64).min
@@ -178,6 +178,7 @@ class Words:
         self.ranks: dict[str, dict[bytes, int]] = {}
         for rank, row in enumerate(ordered):
             self.ranks.setdefault(row["lang"], {})[row["word"].encode()] = rank + 1
+        self.id_type = np.dtype("<i4") if self.bits is None else np.dtype("<i8")
 
     @staticmethod
     def hashes(ids: list[int]) -> np.ndarray:
@@ -204,8 +205,10 @@ class _Ids(dict):
 def id_runs(docs: DataFrame, words: Words) -> DataFrame:
     """(ids binary, old int): ids of every text in order, at most about ``ROW_IDS`` in a row, and a break after them.
 
-    A text that takes several rows repeats the last ``old`` ids of a row in the next.
+    A text that takes several rows repeats the last ``old`` ids of a row in the next.  Ids
+    are 32 bits wide if all frequent words are in the head, else 64.
     """
+    kind = words.id_type
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +218,7 @@ def id_runs(docs: DataFrame, words: Words) -> DataFrame:
 
             def row(ids: np.ndarray, old: int) -> None:
                 if len(ids) > max(old, 1):
-                    blobs.append(ids.tobytes() + b"\0" * 8)
+                    blobs.append(np.append(ids, BREAK).astype(kind).tobytes())
                     olds.append(old)
 
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -237,7 +240,7 @@ def id_runs(docs: DataFrame, words: Words) -> DataFrame:
                         old = LONGEST - 1
                         held = held[ROW_IDS - old :]
                 row(held, old)
-                if sum(map(len, blobs)) > 16 * K.BLOCK:
+                if sum(map(len, blobs)) > 8 * K.BLOCK:
                     yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(olds, pa.int32())], names=["ids", "old"])
                     blobs, olds = [], []
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(olds, pa.int32())], names=["ids", "old"])
@@ -360,19 +363,19 @@ class PairTiles:
             yield (name >> 32 << SIDE_BITS) + (cells >> SIDE_BITS), ((name & 0xFFFFFFFF) << SIDE_BITS) + (cells & side), counters[cells]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _slices(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The ids of some rows of runs, and whether a phrase that ends there is to be counted."""
     data, offsets = K.text_buffers(batch.column("ids"))
     olds = batch.column("old").to_numpy().astype(np.int64)
-    for a, b in K.slices(data, offsets, 8 * SLICE_IDS):
-        ids = np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), np.int64)
+    for a, b in K.slices(data, offsets, kind.itemsize * SLICE_IDS):
+        ids = np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), kind).astype(np.int64)
         counted = np.ones(len(ids), dtype=bool)
-        counted[K.ragged((offsets[a:b] - offsets[a]) // 8, olds[a:b])] = False
+        counted[K.ragged((offsets[a:b] - offsets[a]) // kind.itemsize, olds[a:b])] = False
         yield ids, counted
 
 
-def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None) -> DataFrame:
-    """(w1, .., wk, n) of all phrases of k words whose phrases of k-1 words may be frequent."""
+def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None, kind: np.dtype) -> DataFrame:
+    """(w1, .., wk, n) of all phrases of k words whose phrases of k-1 words may be frequent; ``kind`` is the type of ids in ``runs``."""
     shared = runs.sparkSession.sparkContext.broadcast(shorter)
     names = [*_IDS[:k], "n"]
 
@@ -387,7 +390,7 @@ def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None) -> DataFrame
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles, tuples = PairTiles(), SortedCounts(k)
         for batch in batches:
-            for ids, counted in _slices(batch):
+            for ids, counted in _slices(batch, kind):
                 units, n = ids, len(ids) - k + 1
                 if k > 2:
                     alive = ids != BREAK
@@ -407,6 +410,8 @@ def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None) -> DataFrame
             yield from out(*ids_of(*found))
         yield from out(*ids_of(*tiles.pairs(tiles.sparse.merged())))
         yield from out(*tuples.merged())
+        del tiles, tuples
+        pa.default_memory_pool().release_unused()  # this worker goes on to other tasks
 
     counted = runs.mapInArrow(add, ", ".join(f"{name} long" for name in names))
     return counted.groupBy(*_IDS[:k]).agg(F.sum("n").alias("n"))
@@ -493,7 +498,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, contained_
     by_length: dict[int, DataFrame] = {}
     shorter = None
     for k in range(2, LONGEST + 1):
-        by_length[k] = settle(phrase_counts(runs, k, shorter).where(F.col("n") >= least), f"phrases-{k}")
+        by_length[k] = settle(phrase_counts(runs, k, shorter, words.id_type).where(F.col("n") >= least), f"phrases-{k}")
         if k < LONGEST:
             shorter = Phrases(by_length[k], k, head)
     found = settle(scored(named, by_length, contained_percent), "phrases-scored")

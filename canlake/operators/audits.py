@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from canlake.functions.labels import is_benign
 from canlake.operators.splits import SPLITS
-from canlake.operators.windows import covering_windows, with_start
+from canlake.operators.windows import counts_beside, with_start
 from canlake.schemas import LabelSchema
 
 
@@ -71,23 +72,28 @@ def mixed_windows(expanded: DataFrame, schema: LabelSchema) -> DataFrame:
     )
 
 
-def heterogeneous_windows(frames: DataFrame, index: DataFrame, schema: LabelSchema) -> DataFrame:
+def heterogeneous_windows(frames: DataFrame, index: DataFrame, schema: LabelSchema, size: int | None = None) -> DataFrame:
     """Windows of an index holding more than one attack label, with those labels.
 
-    Only attack frames are copied to the windows that cover them; a window keeps a
-    set of at most the schema's class count.
+    Attack frames and windows move once, by block of positions; a window finds the frames
+    of each class in its range from running counts.  ``size`` is the index's window size,
+    looked up when not given.
     """
-    slots = with_start(index, frames).select(
-        "window_id", "session_id", "start_row_id", "label",
-        F.explode(F.sequence(F.col("start_pos"), F.col("start_pos") + F.col("window_size") - 1)).alias("pos"),
-    )
-    attacks = frames.where(~is_benign("Class", schema)).select("session_id", "pos", "Class")
-    return (
-        slots.join(attacks, ["session_id", "pos"])
-        .groupBy("window_id", "session_id", "start_row_id", "label")
-        .agg(F.array_sort(F.collect_set("Class")).alias("attack_labels"))
-        .where(F.size("attack_labels") > 1)
-    )
+    if size is None:
+        sizes = [r[0] for r in index.select("window_size").distinct().collect()]  # an index has one size
+        if len(sizes) != 1:
+            parts = [heterogeneous_windows(frames, index.where(F.col("window_size") == n), schema, n) for n in sizes or [1]]
+            return reduce(DataFrame.unionByName, parts)
+        size = sizes[0]
+    classes = [c for c in range(schema.num_classes) if c not in schema.benign]
+    names = [f"class_{c}" for c in classes]
+    attacks = frames.where(~is_benign("Class", schema)).select(
+        "session_id", "pos", *[(F.col("Class") == c).cast("int").alias(n) for c, n in zip(classes, names)]
+    )
+    starts = with_start(index, frames).select("window_id", "session_id", "start_row_id", "label", F.col("start_pos").alias("pos"))
+    seen = counts_beside(attacks, starts, names, (0, size - 1))
+    labels = F.array_compact(F.array(*[F.when(F.col(n) > 0, F.lit(c)) for c, n in zip(classes, names)]))
+    return seen.select("window_id", "session_id", "start_row_id", "label", labels.alias("attack_labels")).where(F.size("attack_labels") > 1)
 
 
 def require_homogeneous(frames: DataFrame, index: DataFrame, schema: LabelSchema) -> None:
@@ -183,20 +189,16 @@ def split_report(split_table: DataFrame, label: str, identifier: str) -> DataFra
 
 
 def leaked_frames(frames: DataFrame, split_windows: DataFrame, stride: int, size: int) -> DataFrame:
-    """Frames lying in windows of two or more splits (stride below window size)."""
-    assigned = with_start(split_windows, frames).select(
-        "session_id", F.floor(F.col("start_pos") / stride).alias("window"), "split"
-    )
-    covered = frames.select(
-        "session_id", "row_id", F.explode(covering_windows(F.col("pos"), size, stride)).alias("window")
+    """Frames lying in windows of two or more splits (stride below window size).
+
+    Frames and windows move once, by block of positions; a frame counts the windows of
+    each split that begin up to ``size`` - 1 frames before it.
+    """
+    begins = with_start(split_windows, frames).select(
+        "session_id", F.col("start_pos").alias("pos"), *[(F.col("split") == name).cast("int").alias(name) for name in SPLITS]
     )
-    return (
-        covered.join(assigned, ["session_id", "window"])
-        .groupBy("session_id", "row_id")
-        .agg(*[F.max((F.col("split") == name).cast("int")).alias(name) for name in SPLITS])
-        .where(sum(F.col(name) for name in SPLITS) > 1)
-        .select(
-            "session_id", "row_id",
-            F.array_sort(F.array_compact(F.array(*[F.when(F.col(n) == 1, n) for n in SPLITS]))).alias("splits"),
-        )
+    seen = counts_beside(begins, frames.select("session_id", "row_id", "pos"), list(SPLITS), (1 - size, 0))
+    return seen.where(sum((F.col(name) > 0).cast("int") for name in SPLITS) > 1).select(
+        "session_id", "row_id",
+        F.array_sort(F.array_compact(F.array(*[F.when(F.col(n) > 0, n) for n in SPLITS]))).alias("splits"),
     )

@@ -18,16 +18,10 @@ def with_deltatime(frames: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
     )
 
 
-def with_delta_id(frames: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``Delta_Id``: seconds since the previous frame with the same identifier, else 0.
-
-    Works block by block.  The last frame an identifier sent before a block is
-    added to that block as a carry row; carries come from a per-block maximum, so
-    one busy identifier never collects in one task.
-    """
-    blocked = frames.withColumn("block", block_of("pos", block_rows)).withColumn("core", F.lit(True))
+def last_frames_before(frames: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """For each identifier and block it sends in, its last frame before the block (``core`` is false)."""
     along = W.partitionBy("session_id", "Arbitration_ID").orderBy("block")
-    carries = (
+    return (
         frames.groupBy("session_id", "Arbitration_ID", block_of("pos", block_rows).alias("block"))
         .agg(F.max_by("Timestamp", "pos").alias("last_time"), F.max("pos").alias("last_pos"))
         .select(
@@ -38,6 +32,17 @@ def with_delta_id(frames: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         )
         .where("pos IS NOT NULL")
     )
+
+
+def with_delta_id(frames: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``Delta_Id``: seconds since the previous frame with the same identifier, else 0.
+
+    Works block by block.  The last frame an identifier sent before a block is
+    added to that block as a carry row; carries come from a per-block maximum, so
+    one busy identifier never collects in one task.
+    """
+    blocked = frames.withColumn("block", block_of("pos", block_rows)).withColumn("core", F.lit(True))
+    carries = last_frames_before(frames, block_rows)
     inside = W.partitionBy("session_id", "block", "Arbitration_ID").orderBy("pos")
     return (
         blocked.unionByName(carries, allowMissingColumns=True)

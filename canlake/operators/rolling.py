@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from canlake.functions.encodings import id_value
-from canlake.operators.deltas import with_delta_id
+from canlake.operators.deltas import last_frames_before
 from canlake.operators.ordering import BLOCK_ROWS, Layout, with_halo
 from canlake.storage import settle
 
@@ -34,6 +34,37 @@ def with_rolling(frames: DataFrame, width: int, block_rows: int = BLOCK_ROWS) ->
     )
 
 
+def with_temporal(frames: DataFrame, width: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``Delta_Id``, ``freq_id`` and ``t_back`` from one exchange of frames.
+
+    A block gets the ``width`` frames before it, and for every identifier the last frame
+    before it (a carry: it serves the delta and is never counted).  Windows by (session, block) and by
+    (session, block, identifier) then share the partitioning by (session, block).
+    """
+    last = settle(last_frames_before(frames, block_rows), "carries")
+    blocked = with_halo(frames, before=width, block_rows=block_rows).withColumn("carry", F.lit(False))
+    rows = blocked.unionByName(last.withColumn("carry", F.lit(True)), allowMissingColumns=True).repartition("session_id", "block")
+    bus = W.partitionBy("session_id", "block").orderBy("pos")
+    same_id = W.partitionBy("session_id", "block", "Arbitration_ID").orderBy("pos")
+    real = ~F.col("carry")
+    return (
+        rows.withColumn("Delta_Id", F.coalesce(F.col("Timestamp") - F.lag("Timestamp").over(same_id), F.lit(0.0)))
+        .withColumn("freq_id", F.count(F.when(real, 1)).over(same_id.rangeBetween(-(width - 1), 0)) / F.lit(float(width)))
+        .withColumn("t_back", F.max(F.when(real, F.col("Timestamp"))).over(bus.rangeBetween(-width, -width)))
+        .where("core")
+        .drop("block", "core", "carry")
+    )
+
+
+def session_peaks(frames: DataFrame, layout: Layout, width: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The greatest window rate of each session, from times and positions alone."""
+    bus = W.partitionBy("session_id", "block").orderBy("pos")
+    times = with_halo(frames.select("session_id", "pos", "Timestamp"), before=width, block_rows=block_rows)
+    times = times.withColumn("t_back", F.lag("Timestamp", width).over(bus)).where("core")
+    rates = with_session_bounds(times, layout).withColumn("rate", window_rate(width))
+    return settle(rates.groupBy("session_id").agg(F.max("rate").alias("peak")), "peak-rates")
+
+
 def span_since(width_back: str = "t_back"):
     """Time covered by the rolling window; early frames reach back to the session start."""
     return F.col("Timestamp") - F.coalesce(F.col(width_back), F.col("t_first"))
@@ -62,17 +93,17 @@ def with_session_bounds(frames: DataFrame, layout: Layout) -> DataFrame:
     return frames.join(layout.sessions.select("session_id", "t_first", "t_last"), "session_id")
 
 
-def with_fixed_load(layout: Layout, width: int, frames: DataFrame | None = None) -> DataFrame:
-    base = with_rolling(layout.frames if frames is None else frames, width)
+def with_fixed_load(layout: Layout, width: int, rolled: DataFrame | None = None) -> DataFrame:
+    """Load against a full bus; ``rolled`` are frames that have ``t_back`` already."""
+    base = with_rolling(layout.frames, width) if rolled is None else rolled
     return with_session_bounds(base, layout).withColumn("bus_load", fixed_scale_load(width))
 
 
-def with_session_max_load(layout: Layout, width: int, frames: DataFrame | None = None) -> DataFrame:
+def with_session_max_load(layout: Layout, width: int, rolled: DataFrame | None = None) -> DataFrame:
     """Load relative to the busiest window of the session (1 if there is none)."""
-    rates = with_session_bounds(
-        with_rolling(layout.frames if frames is None else frames, width), layout
-    ).withColumn("rate", window_rate(width))
-    peaks = settle(rates.groupBy("session_id").agg(F.max("rate").alias("peak")), "peak-rates")
+    base = with_rolling(layout.frames, width) if rolled is None else rolled
+    rates = with_session_bounds(base, layout).withColumn("rate", window_rate(width))
+    peaks = session_peaks(layout.frames, layout, width)
     return (
         rates.join(peaks, "session_id")
         .withColumn("bus_load", F.col("rate") / F.when(F.col("peak") > 0, F.col("peak")).otherwise(1.0))
@@ -82,8 +113,7 @@ def with_session_max_load(layout: Layout, width: int, frames: DataFrame | None =
 
 def with_five_features(layout: Layout, width: int, session_max: bool = False) -> DataFrame:
     """``features``: identifier share, same-id gap, identifier frequency, bus load, progress."""
-    frames = with_delta_id(layout.frames)
-    loaded = (with_session_max_load if session_max else with_fixed_load)(layout, width, frames)
+    loaded = (with_session_max_load if session_max else with_fixed_load)(layout, width, with_temporal(layout.frames, width))
     return loaded.withColumn(
         "features",
         F.array(

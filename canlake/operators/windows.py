@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from canlake.functions import encodings as enc
 from canlake.functions.hexfields import decoded
 from canlake.functions.labels import is_benign
 from canlake.operators.normalise import NormStats, scaled_frame_vector
-from canlake.operators.ordering import BLOCK_ROWS, with_halo
+from canlake.operators.ordering import BLOCK_ROWS, block_of, with_halo
 from canlake.schemas import LabelSchema
 
 CLASS_SPAN = 256  # class ids fit one byte
@@ -147,16 +147,50 @@ def expand_references(index: DataFrame, frames: DataFrame, columns: list[str]) -
     )
 
 
+def materialise(index: DataFrame, frames: DataFrame, size: int, stride: int, arrays: dict[str, Column]) -> DataFrame:
+    """The index with the contents of its full windows as arrays in frame order.
+
+    Frames move once, by block (``gather_windows``); then windows meet the index on their
+    first frame, one row for each window on either side.
+    """
+    gathered = gather_windows(frames, size, stride, arrays, {"start_row_id": (0, F.col("row_id"))})
+    return index.join(gathered.drop("window"), ["session_id", "start_row_id"])
+
+
 def incomplete_windows(index: DataFrame, frames: DataFrame) -> DataFrame:
-    """Windows whose first row is absent or whose session ends too early."""
-    found = expand_references(index, frames, ["row_id"])
+    """Windows whose first row is absent or whose session ends too early.
+
+    Positions have no gap, so the frames of a window follow from the session's last one.
+    """
+    lengths = frames.groupBy("session_id").agg((F.max("pos") + 1).alias("frames"))
+    inside = F.greatest(F.least(F.col("frames") - F.col("start_pos"), F.col("window_size")), F.lit(0))
     return (
-        found.groupBy("window_id")
-        .agg(F.count("row_id").alias("found"), F.first("window_size").alias("window_size"))
+        with_start(index, frames)
+        .join(lengths, "session_id", "left")
+        .select("window_id", F.coalesce(F.when(F.col("start_pos").isNotNull(), inside), F.lit(0)).cast("long").alias("found"), "window_size")
         .where("found < window_size")
     )
 
 
+def counts_beside(marks: DataFrame, askers: DataFrame, names: list[str], reach: tuple[int, int], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds to each row of ``askers`` how many marks lie from ``pos + reach[0]`` to ``pos + reach[1]``, by name.
+
+    Both have session_id and pos; ``marks`` has a flag column for each name.  Marks and askers
+    move once, together, by block of positions (marks near an edge to two blocks); a count
+    is the difference of two running counts along the block, so a wide reach costs no more than a narrow one.
+    """
+    low, high = reach
+    placed = with_halo(marks.select("session_id", "pos", *names), before=max(-low, 0), after=max(high, 0), block_rows=block_rows).drop("core")
+    asking = askers.withColumn("block", block_of("pos", block_rows)).withColumn("asks", F.lit(True))
+    rows = asking.unionByName(placed, allowMissingColumns=True).repartition("session_id", "block")
+    along = W.partitionBy("session_id", "block").orderBy("pos")
+    upto, before = along.rangeBetween(W.unboundedPreceding, high), along.rangeBetween(W.unboundedPreceding, low - 1)
+    counted = rows.withColumns(
+        {n: F.coalesce(F.sum(n).over(upto), F.lit(0)) - F.coalesce(F.sum(n).over(before), F.lit(0)) for n in names}
+    )
+    return counted.where("asks").drop("asks", "block")
+
+
 def gather_windows(
     frames: DataFrame,
     size: int,

@@ -71,11 +71,9 @@ def window_references(spark, sf_dir):
 )
 def materialised_windows(spark, sf_dir):
     frames = st.positioned(spark, sf_dir)
-    index = win.window_references(candidates(spark, sf_dir), SIZE, positions=True)
-    expanded = win.expand_references(index, frames, ["row_id", "Class", "Arbitration_ID"])
-    gathered = win.collect_windows(
-        expanded, ["window_id"], SIZE,
-        {"rows": F.col("row_id"), "classes": F.col("Class"), "ids": F.col("Arbitration_ID")},
+    index = win.window_references(candidates(spark, sf_dir), SIZE)
+    gathered = win.materialise(
+        index, frames, SIZE, STRIDE, {"rows": F.col("row_id"), "classes": F.col("Class"), "ids": F.col("Arbitration_ID")}
     )
     return gathered.select("window_id", shown("rows").alias("rows"), shown("classes").alias("classes"), shown("ids").alias("ids"))
 
@@ -344,7 +342,7 @@ def mixed_label_windows(spark, sf_dir):
 )
 def heterogeneous_windows(spark, sf_dir):
     index = win.window_references(candidates(spark, sf_dir), SIZE, positions=True)
-    found = audits.heterogeneous_windows(st.positioned(spark, sf_dir), index, st.FIVE)
+    found = audits.heterogeneous_windows(st.positioned(spark, sf_dir), index, st.FIVE, SIZE)
     return found.select("window_id", "label", shown("attack_labels").alias("attack_labels"))
 
 

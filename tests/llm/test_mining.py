@@ -238,19 +238,17 @@ def test_long_texts_take_several_rows(spark, monkeypatch):
     counted = phrases.word_counts(docs)
     ids = phrases.distinct_ids(counted, counted, 1 << 18)
     monkeypatch.setattr(phrases, "ROW_IDS", 100)
-    monkeypatch.setattr(phrases.K, "BLOCK", 1 << 20)
     runs = phrases.id_runs(docs, ids)
     if runs.count() == 1:  # the workers do not see the patched size
-        runs = spark.createDataFrame([(b"".join(x), old) for x, old in _cut(runs.first()["ids"], 100)], "ids binary, old int")
-    found = Counter({(r["w1"], r["w2"]): r["n"] for r in phrases.phrase_counts(runs, 2, None).collect()})
+        runs = spark.createDataFrame(list(_cut(np.frombuffer(runs.first()["ids"], ids.id_type)[:-1], 100)), "ids binary, old int")
+    found = Counter({(r["w1"], r["w2"]): r["n"] for r in phrases.phrase_counts(runs, 2, None, ids.id_type).collect()})
     assert sum(found.values()) == 4999 and len(found) == 7
 
 
-def _cut(raw, size):
-    ids = np.frombuffer(raw, np.int64)
+def _cut(ids, size):
     at, old = 0, 0
     while at < len(ids):
-        yield [ids[at - old : at - old + size].tobytes()], old
+        yield np.append(ids[at - old : at - old + size], 0).astype(ids.dtype).tobytes(), old
         at += size - old
         old = 3
 

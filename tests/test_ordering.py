@@ -137,3 +137,15 @@ def test_large_bookkeeping_is_joined_not_broadcast(spark, layout):
         assert as_dict(large.frames, "row_id", "pos") == as_dict(layout.frames, "row_id", "pos")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("block_rows", [4, 7, 64])
+def test_temporal_features_from_one_exchange(make_frames, block_rows):
+    """Carries serve deltas and are counted nowhere, also where one lies within the halo."""
+    rows = [(i, "s" if i % 4 else "t", 10 + i * 0.5 + (i % 3) * 0.01, ["100", "200", "300", "400"][i * i % 4], 0) for i in range(60)]
+    laid = ordering.lay_out(make_frames(rows)).frames
+    width = 4
+    got = {r["row_id"]: (r["Delta_Id"], r["freq_id"], r["t_back"]) for r in rolling.with_temporal(laid, width, block_rows).collect()}
+    gaps = {r["row_id"]: r["Delta_Id"] for r in deltas.with_delta_id(laid, block_rows).collect()}
+    rolled = {r["row_id"]: (r["freq_id"], r["t_back"]) for r in rolling.with_rolling(laid, width, block_rows).collect()}
+    assert got == {i: (gaps[i], *rolled[i]) for i in range(60)}

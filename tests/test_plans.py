@@ -50,3 +50,42 @@ def test_one_exchange_of_frames(spark, sf_dir, name):
 
 def test_label_windows_aggregate_by_hash(spark, sf_dir):
     assert "SortAggregate" not in plan_of(QUERIES["w08_first_attack_windows"](spark, sf_dir))
+
+
+@pytest.mark.parametrize("name", ["f15_five_features_fixed", "f15_five_features_session_max", "w06_bus_load_session_max",
+                                  "d11_heterogeneous_windows", "d14_frames_shared_by_splits", "j02_materialised_windows"])
+def test_frames_move_once_by_block(spark, sf_dir, name):
+    """One exchange by (session, block); no frame is copied to the windows that hold it before it."""
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    assert len(re.findall(r"Exchange hashpartitioning\(session_id#\d+, block#\d+L?, ", plan)) == 1
+    assert not re.search(r"Exchange hashpartitioning\(session_id#\d+, (pos|row_id)#", plan)
+
+
+def test_exchanged_rows_stay_below_frames_and_windows(spark, sf_dir):
+    """Rows written to shuffles by the audits of overlapping windows, counted by Spark."""
+    frames = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    windows = QUERIES["w08_first_attack_windows"](spark, sf_dir).count()
+    for name in ("j02_materialised_windows", "d11_heterogeneous_windows", "d14_frames_shared_by_splits"):
+        df = QUERIES[name](spark, sf_dir)
+        df.collect()
+        written = exchanged(df._jdf.queryExecution().executedPlan())
+        assert written and max(written) <= frames + windows, (name, written)
+
+
+def exchanged(plan):
+    """Rows written by each exchange of an executed plan."""
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            metric = node.metrics().get("shuffleRecordsWritten")
+            if metric.isDefined():
+                found.append(metric.get().value())
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "TableCacheQueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found

@@ -154,3 +154,31 @@ def test_window_contents_need_one_shuffle(sessions):
     gathered = win.gather_windows(layout.frames, 16, 8, {"rows": F.col("row_id")})
     plan = gathered._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("reach", [(0, 4), (-4, 0), (-2, 3), (1, 2), (-3, -1), (0, 0)])
+def test_counts_beside_equal_plain_counts(spark, reach):
+    rng = random.Random(6)
+    marks = [(s, p, int(rng.random() < 0.5), int(rng.random() < 0.2)) for s in ("a", "b") for p in range(90) if rng.random() < 0.4]
+    asks = [(s, p, i) for i, (s, p) in enumerate((rng.choice("abc"), rng.randrange(95)) for _ in range(200))]
+    got = win.counts_beside(
+        spark.createDataFrame(marks, "session_id string, pos long, x int, y int"), spark.createDataFrame(asks, "session_id string, pos long, n long"), ["x", "y"], reach, block_rows=7
+    )
+    want = {n: tuple(sum(m[k] for m in marks if m[0] == s and p + reach[0] <= m[1] <= p + reach[1]) for k in (2, 3)) for s, p, n in asks}
+    assert {r["n"]: (r["x"], r["y"]) for r in got.collect()} == want
+
+
+def test_windows_of_several_sizes_are_audited_each(spark, make_frames):
+    laid = lay_out(make_frames([(i, "s", i, "100", [0, 1, 0, 2, 0, 0, 3, 0][i]) for i in range(8)])).frames
+    index = spark.createDataFrame([("s:0", "s", 0, 4, 1), ("s:1", "s", 1, 2, 1), ("s:3", "s", 3, 4, 2), ("s:9", "s", 9, 2, 0)], "window_id string, session_id string, start_row_id long, window_size long, label long")
+    found = audits.heterogeneous_windows(laid, index, label_schema("five_class")).collect()
+    assert {r["window_id"]: r["attack_labels"] for r in found} == {"s:0": [1, 2], "s:3": [2, 3]}
+    short = {r["window_id"]: r["found"] for r in win.incomplete_windows(index, laid).collect()}
+    assert short == {"s:9": 0}
+
+
+def test_materialised_windows_hold_their_frames(make_frames):
+    laid = lay_out(make_frames([(i, "s", i, f"{i:03X}", 0) for i in range(20)] + [(100 + i, "t", i, "001", 0) for i in range(3)])).frames
+    index = win.window_references(win.candidate_windows(laid, 6, 2, label_schema("five_class")), 6).where("start_row_id <> 4")
+    rows = {r["start_row_id"]: r["rows"] for r in win.materialise(index, laid, 6, 2, {"rows": F.col("row_id")}).collect()}
+    assert rows == {i: list(range(i, i + 6)) for i in range(0, 15, 2) if i != 4}
