@@ -12,8 +12,8 @@ Phrases.  A phrase of k words is its first k-1 words, ranked again by frequency,
 last word: a pair of ranks.  The matrix of pairs is cut into tiles of ``SIDE`` by ``SIDE``
 cells.  A tile with many occurrences at hand is counted by ``numpy.bincount`` in a dense array
 addressed directly; the others are kept as sorted (pair, count) lists, and so are pairs whose
-parts are not in the head, as tuples of word ids.  Tasks emit word ids with counts, which
-one shuffle adds up.  A phrase is only counted if both its phrases of k-1 words are frequent.
+parts are not in the head, as tuples of word ids.  Tasks send word ids with counts in compressed blocks by
+a hash of the ids, and the blocks of a bucket are merged after one shuffle.  A phrase is only counted if both its phrases of k-1 words are frequent.
 So a phrase is always known by its word ids, never by a hash of it; hashes of words are checked
 to be distinct, and salted anew if two are not.
 
@@ -35,11 +35,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canlake.llm import kernels as K
-from canlake.llm.common import running_total, table
+from canlake.llm.common import partitions, running_total, table
 from canlake.storage import settle
 
 LEAST = 30
@@ -60,6 +61,8 @@ HELD_WORDS = 1 << 18
 HELD_PAIRS = 1 << 19
 ROW_IDS = 1 << 17
 SLICE_IDS = 1 << 18
+#: Buckets of phrases for each partition of the shuffle; one is merged at a time.
+BUCKETS_PER_PARTITION = 4
 GIVEN = 1 << 16
 
 BREAK, SKIP = 0, np.iinfo(np.int64).min
@@ -297,18 +300,23 @@ class SortedCounts:
     """Rows of integers with counts, sorted and added up from time to time."""
 
     def __init__(self, width: int):
-        self.width, self.parts, self.held = width, [], 0
+        self.width, self.parts, self.held, self.distinct = width, [], 0, 0
 
-    def add(self, columns: list[np.ndarray]) -> None:
+    def add(self, columns: list[np.ndarray], counts: np.ndarray | None = None) -> None:
         if len(columns[0]):
-            self.parts.append(_added_up(columns, np.ones(len(columns[0]), np.int64)))
-            self.held += len(self.parts[-1][1])
+            self.parts.append(_added_up(columns, np.ones(len(columns[0]), np.int64)) if counts is None else (columns, counts))
+            self.held += len(columns[0])
+
+    def compact(self, limit: int) -> None:
+        """Adds up what is held once it has doubled, from ``limit`` rows on."""
+        if self.held > max(limit, 2 * self.distinct):
+            self.distinct = len(self.merged()[1])
 
     def merged(self) -> tuple[list[np.ndarray], np.ndarray]:
         if not self.parts:
             return [np.zeros(0, np.int64)] * self.width, np.zeros(0, np.int64)
         columns = [np.concatenate([part[i] for part, _ in self.parts]) for i in range(self.width)]
-        found = _added_up(columns, np.concatenate([n for _, n in self.parts])) if len(self.parts) > 1 else self.parts[0]
+        found = _added_up(columns, np.concatenate([n for _, n in self.parts]))
         self.parts, self.held = [found], len(found[1])
         return found
 
@@ -356,11 +364,16 @@ class PairTiles:
     def pairs(self, found: tuple[list[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return found[0][0] >> 32, found[0][0] & 0xFFFFFFFF, found[1]
 
-    def dense_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        side = (1 << SIDE_BITS) - 1
-        for name, counters in self.dense.items():
+    def dense_pairs(self, many: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The filled cells, about ``many`` at once; the arrays go as they are read."""
+        side, parts = (1 << SIDE_BITS) - 1, []
+        while self.dense:
+            name, counters = self.dense.popitem()
             cells = np.flatnonzero(counters)
-            yield (name >> 32 << SIDE_BITS) + (cells >> SIDE_BITS), ((name & 0xFFFFFFFF) << SIDE_BITS) + (cells & side), counters[cells]
+            parts.append(((name >> 32 << SIDE_BITS) + (cells >> SIDE_BITS), ((name & 0xFFFFFFFF) << SIDE_BITS) + (cells & side), counters[cells]))
+            if sum(len(n) for *_, n in parts) > many or not self.dense:
+                yield tuple(np.concatenate(column) for column in zip(*parts))
+                parts = []
 
 
 def _slices(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -374,14 +387,26 @@ def _slices(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[np.ndarray,
         yield ids, counted
 
 
-def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None, kind: np.dtype) -> DataFrame:
-    """(w1, .., wk, n) of all phrases of k words whose phrases of k-1 words may be frequent; ``kind`` is the type of ids in ``runs``."""
-    shared = runs.sparkSession.sparkContext.broadcast(shorter)
-    names = [*_IDS[:k], "n"]
+def blocks_of(columns: list[np.ndarray], n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of ids with their counts as one compressed block for each bucket of phrases."""
+    bucket = (_mixed_ids(columns, 3) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    table, bucket = np.stack([*columns, n])[:, order], bucket[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    packer = zstandard.ZstdCompressor(level=1)
+    blocks = [packer.compress(table[:, a:b].tobytes()) for a, b in zip(first, np.append(first[1:], len(bucket)))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
-    def out(columns: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(n), GIVEN):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + GIVEN]) for c in (*columns, n)], names=names)
+
+def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None, kind: np.dtype, least: int = 1) -> DataFrame:
+    """(w1, .., wk, n) of the phrases of k words that occur ``least`` times.
+
+    Only phrases whose phrases of k-1 words may be frequent are counted; ``kind`` is the type of ids in ``runs``.
+    Tasks send their counts as sorted blocks, a few for each partition of the shuffle, and
+    the blocks of a bucket are merged one bucket at a time.
+    """
+    shared = runs.sparkSession.sparkContext.broadcast(shorter)
+    buckets = BUCKETS_PER_PARTITION * partitions(runs)
 
     def ids_of(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         before = [left + 1] if k == 2 else [column[left] for column in shared.value.columns]
@@ -403,18 +428,36 @@ def phrase_counts(runs: DataFrame, k: int, shorter: Phrases | None, kind: np.dty
                 tiles.add(units[at[ranked]] - 1, ids[at[ranked] + k - 1] - 1)
                 tuples.add([ids[at[~ranked] + j] for j in range(k)])
                 if (found := tiles.sparse.taken(HELD_PAIRS)) is not None:
-                    yield from out(*ids_of(*tiles.pairs(found)))
+                    yield blocks_of(*ids_of(*tiles.pairs(found)), buckets)
                 if (found := tuples.taken(HELD_PAIRS)) is not None:
-                    yield from out(*found)
-        for found in tiles.dense_pairs():
-            yield from out(*ids_of(*found))
-        yield from out(*ids_of(*tiles.pairs(tiles.sparse.merged())))
-        yield from out(*tuples.merged())
+                    yield blocks_of(*found, buckets)
+        yield blocks_of(*ids_of(*tiles.pairs(tiles.sparse.merged())), buckets)
+        yield blocks_of(*tuples.merged(), buckets)
+        for found in tiles.dense_pairs(HELD_PAIRS):
+            yield blocks_of(*ids_of(*found), buckets)
         del tiles, tuples
         pa.default_memory_pool().release_unused()  # this worker goes on to other tasks
 
-    counted = runs.mapInArrow(add, ", ".join(f"{name} long" for name in names))
-    return counted.groupBy(*_IDS[:k]).agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker, current, held = zstandard.ZstdDecompressor(), None, SortedCounts(k)
+
+        def frequent() -> Iterator[pa.RecordBatch]:
+            columns, n = held.merged()
+            rows = np.flatnonzero(n >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(c[rows]) for c in (*columns, n)], names=[*_IDS[:k], "n"])
+
+        for batch in batches:
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
+                if bucket != current:
+                    yield from frequent()
+                    current, held = bucket, SortedCounts(k)
+                table = np.frombuffer(unpacker.decompress(block.as_py()), np.int64).reshape(k + 1, -1)
+                held.add(list(table[:k]), table[k])
+                held.compact(HELD_PAIRS)
+        yield from frequent()
+
+    sent = runs.mapInArrow(add, "bucket long, block binary").repartition(partitions(runs), "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(merge, ", ".join(f"{name} long" for name in [*_IDS[:k], "n"]))
 
 
 def with_ids(words: DataFrame, table_of_ids: Words) -> DataFrame:
@@ -498,7 +541,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, contained_
     by_length: dict[int, DataFrame] = {}
     shorter = None
     for k in range(2, LONGEST + 1):
-        by_length[k] = settle(phrase_counts(runs, k, shorter, words.id_type).where(F.col("n") >= least), f"phrases-{k}")
+        by_length[k] = settle(phrase_counts(runs, k, shorter, words.id_type, least), f"phrases-{k}")
         if k < LONGEST:
             shorter = Phrases(by_length[k], k, head)
     found = settle(scored(named, by_length, contained_percent), "phrases-scored")
