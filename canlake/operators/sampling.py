@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import floor, gcd
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -12,30 +13,85 @@ from canlake.storage import settle
 STREAM_DOWNSAMPLE, STREAM_WINDOWS, STREAM_FRAMES = 0, 1, 2
 
 
-def permutation_of(size: int, seed: int, label: int, stream: int) -> tuple[int, int]:
-    """Multiplier and shift of the permutation ``(ordinal * multiplier + shift) mod size``.
+ROUNDS = 3
+#: A Lehmer generator; it draws the permutation's numbers on the driver.
+MODULUS, FACTOR = 2**31 - 1, 48_271
 
-    The multiplier is the first number from the golden section of ``size`` on without a common
-    divisor, so neighbouring ordinals land far apart at any size and no split holds
-    more than a few neighbours in a row.  Seed, label and stream set the shift.
+
+@dataclass(frozen=True)
+class Round:
+    """``x -> (x * multiplier + shift) mod size``, then the numbers below ``fold`` once more with ``odd`` and ``turn``."""
+
+    multiplier: int
+    shift: int
+    fold: int
+    odd: int
+    turn: int
+
+
+def draw(number: int, seed: int, label: int, stream: int) -> int:
+    """The ``number``-th draw for a seed, label and stream, from 1 to ``MODULUS`` - 1."""
+    start = (seed * 7_919 + label * 104_729 + stream * 1_299_709) % (MODULUS - 1) + 1
+    return start * pow(FACTOR, number + 8, MODULUS) % MODULUS
+
+
+def permutation_of(size: int, seed: int, label: int, stream: int) -> list[Round]:
+    """Rounds of a permutation of ``range(size)``; all their numbers depend on seed, label and stream.
+
+    A round is two bijections: an affine map modulo the size, whose multiplier is the first
+    without a common divisor from a drawn place on, and an affine map of the numbers below the
+    greatest power of two, which breaks the regular steps of the first.
     """
     if size < 2:
-        return 1, 0
-    multiplier = size * 618_034 // 1_000_000
-    while gcd(multiplier, size) != 1:
-        multiplier += 1
-    return multiplier, (seed * 7_919 + label * 104_729 + stream * 1_299_709 + 1) % size
+        return []
+    fold = 1 << (size.bit_length() - 1)
+    rounds = []
+    for i in range(ROUNDS):
+        m, s, o, t = (draw(4 * i + j, seed, label, stream) for j in range(4))
+        multiplier = size * (200_000 + m % 600_000) // 1_000_000
+        while gcd(multiplier, size) != 1:
+            multiplier += 1
+        rounds.append(Round(multiplier, s * size // MODULUS, fold, 2 * (o * fold // MODULUS // 2) + 1, t * fold // MODULUS))
+    return rounds
+
+
+def permuted_number(x: int, size: int, rounds: list[Round]) -> int:
+    """Where a permutation takes ``x``."""
+    for r in rounds:
+        x = (x * r.multiplier + r.shift) % size
+        if x < r.fold:
+            x = (x * r.odd + r.turn) % r.fold
+    return x
+
+
+def with_permuted(df: DataFrame, name: str, ordinal: str, label: str, sizes: dict[int, int], seed: int, stream: int) -> DataFrame:
+    """Adds ``name``, the permuted rank of ``ordinal`` in its label; exact at any size.
+
+    The rounds of each label are literals, and a fold over them binds every intermediate
+    number once, so a filter on the rank stays small when it is pushed down.  Products stay in
+    64 bits below 2^31 rows for each label and are decimals beyond.
+    """
+    whole = "bigint" if max(sizes.values(), default=0) < MODULUS else "decimal(19,0)"
+    number = lambda n: F.lit(n).cast(whole)
+    entries = []
+    for value, size in sorted(sizes.items()):
+        rounds = [
+            F.struct(*(number(n).alias(key) for key, n in (("size", size), *vars(r).items())))
+            for r in permutation_of(size, seed, value, stream)
+        ]
+        if rounds:
+            entries += [F.lit(value).cast(df.schema[label].dataType), F.array(*rounds)]
+    if not entries:
+        return df.withColumn(name, F.col(ordinal).cast("bigint"))
 
+    def step(x: Column, r: Column) -> Column:
+        first = ((x * r["multiplier"] + r["shift"]) % r["size"]).cast(whole)
+        turned = F.transform(F.array(first), lambda y: F.when(y < r["fold"], ((y * r["odd"] + r["turn"]) % r["fold"]).cast(whole)).otherwise(y))
+        return F.get(turned, F.lit(0))
 
-def permuted(ordinal: Column, label: str, sizes: dict[int, int], seed: int, stream: int) -> Column:
-    """Permuted rank of an ordinal in its label, one literal pair per label; exact at any size."""
-    rank = None
-    wide = ordinal.cast("decimal(19,0)")
-    for value, size in sorted(sizes.items()):
-        multiplier, shift = (F.lit(x).cast("decimal(18,0)") for x in permutation_of(size, seed, value, stream))
-        here = (wide * multiplier + shift) % F.lit(max(size, 1)).cast("decimal(18,0)")
-        rank = F.when(F.col(label) == value, here) if rank is None else rank.when(F.col(label) == value, here)
-    return rank.cast("long")
+    rounds = F.try_element_at(F.create_map(*entries), F.col(label))
+    start = F.col(ordinal).cast(whole)
+    return df.withColumn(name, F.when(rounds.isNull(), start).otherwise(F.aggregate(rounds, start, step)).cast("bigint"))
 
 
 def class_sizes(before: DataFrame, label: str) -> dict[int, int]:
@@ -66,7 +122,7 @@ def downsample_balanced(
     ordered, sizes = with_class_ordinal(df, label, order)
     target = balanced_target(sizes, requested)
     return (
-        ordered.withColumn("rank", permuted(F.col("ordinal"), label, sizes, seed, STREAM_DOWNSAMPLE))
+        with_permuted(ordered, "rank", "ordinal", label, sizes, seed, STREAM_DOWNSAMPLE)
         .where(F.col("rank") < target)
         .drop("ordinal", "ordinal_total")
     )
@@ -92,7 +148,7 @@ def stratified_sample(df: DataFrame, label: str, order: str, wanted: int | None,
     quota = apportion(sizes, wanted)
     limits = F.create_map(*[F.lit(x) for pair in sorted(quota.items()) for x in pair])
     return (
-        ordered.withColumn("rank", permuted(F.col("ordinal"), label, sizes, seed, STREAM_DOWNSAMPLE))
+        with_permuted(ordered, "rank", "ordinal", label, sizes, seed, STREAM_DOWNSAMPLE)
         .where(F.col("rank") < F.element_at(limits, F.col(label)))
         .drop("ordinal", "ordinal_total")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from canlake.operators import sampling as smp
 from canlake.operators.windows import candidate_windows, last_frame_windows, window_references
 from canlake.schemas import LabelSchema, check_split_ratios
+from canlake.storage import settle
 
 SPLITS = ("train", "val", "test")
 
@@ -36,7 +37,7 @@ def stratified_frames(
     """Per class, a permuted share of the frames to each split; adds ``split``."""
     check_split_ratios(val_ratio, test_ratio)
     ordered, sizes = smp.with_class_ordinal(frames, "Class", "row_id")
-    ranked = ordered.withColumn("rank", smp.permuted(F.col("ordinal"), "Class", sizes, seed, smp.STREAM_FRAMES))
+    ranked = smp.with_permuted(ordered, "rank", "ordinal", "Class", sizes, seed, smp.STREAM_FRAMES)
     return ranked.withColumn("split", split_of_rank("rank", "Class", sizes, val_ratio, test_ratio)).drop(
         "ordinal", "ordinal_total", "rank"
     )
@@ -90,18 +91,17 @@ def stratified_windows(
 ) -> DataFrame:
     """Window references with first-attack labels, split per class; adds ``split``."""
     check_split_ratios(val_ratio, test_ratio)
-    index = window_references(candidate_windows(frames, size, stride, schema), size, positions)
+    # The index is counted and then numbered: written once, worked out once.
+    index = settle(window_references(candidate_windows(frames, size, stride, schema), size, positions), "window-index")
     ordered, sizes = smp.with_class_ordinal(index, "label", "start_row_id")
     if not sizes:
         raise ValueError("no session is long enough for a window")
-    place = F.col("ordinal")
     if downsample or downsample_size is not None:
         target = smp.balanced_target(sizes, downsample_size)
-        ordered = ordered.withColumn(
-            "ordinal", smp.permuted(F.col("ordinal"), "label", sizes, seed, smp.STREAM_DOWNSAMPLE)
-        ).where(F.col("ordinal") < target)
+        drawn = smp.with_permuted(ordered, "drawn", "ordinal", "label", sizes, seed, smp.STREAM_DOWNSAMPLE)
+        ordered = drawn.where(F.col("drawn") < target).drop("ordinal").withColumnRenamed("drawn", "ordinal")
         sizes = {label: target for label in sizes}
-    ranked = ordered.withColumn("rank", smp.permuted(place, "label", sizes, seed, smp.STREAM_WINDOWS))
+    ranked = smp.with_permuted(ordered, "rank", "ordinal", "label", sizes, seed, smp.STREAM_WINDOWS)
     return ranked.withColumn("split", split_of_rank("rank", "label", sizes, val_ratio, test_ratio)).drop(
         "ordinal", "ordinal_total", "rank"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from canlake.operators.sampling import FACTOR, MODULUS, ROUNDS
+
 BYTES = [f"Data_{i}" for i in range(8)]
 
 
@@ -77,15 +79,28 @@ members AS (
 
 
 def permutation(source: str, label: str, stream: int, name: str, size_of: str = "count(*)", seed: int = 42) -> str:
-    """CTE ``name``: size, multiplier and offset of the permutation per label of ``source``."""
+    """CTE ``name``: the size of each label of ``source`` and the numbers of its permutation, as lists by round."""
+    draws = lambda j: "[" + ", ".join(f"(start * {pow(FACTOR, 4 * i + j + 8, MODULUS)} % {MODULUS})" for i in range(ROUNDS)) + "]"
     return f"""
-{name}_n AS (SELECT {label} AS lab, CAST({size_of} AS BIGINT) AS size FROM {source} GROUP BY {label}),
-{name} AS (
-  SELECT lab, size, CASE WHEN size < 2 THEN 1 ELSE min(m) END AS mult,
-         any_value(({seed} * 7919 + lab * 104729 + {stream} * 1299709 + 1) % size) AS offs
-  FROM (SELECT lab, size, size * 618034 // 1000000 + i AS m FROM {name}_n, unnest(range(0, 500)) AS t(i))
-  WHERE gcd(m, size) = 1 OR size < 2 GROUP BY lab, size
-)"""
+{name}_n AS (SELECT {label} AS lab, CAST({size_of} AS BIGINT) AS size,
+             CAST(({seed * 7919 + stream * 1299709} + {label} * 104729) % {MODULUS - 1} + 1 AS BIGINT) AS start FROM {source} GROUP BY {label}),
+{name}_d AS (SELECT lab, size, CASE WHEN size < 2 THEN 0 ELSE CAST(1 AS BIGINT) << CAST(floor(log2(size)) AS INTEGER) END AS fold,
+             unnest([1, 2, 3]) AS round, unnest({draws(0)}) AS dm, unnest({draws(1)}) AS ds, unnest({draws(2)}) AS dodd, unnest({draws(3)}) AS dt FROM {name}_n),
+{name}_m AS (SELECT lab, size, fold, round, min(m) AS m, any_value(ds * size // {MODULUS}) AS s, any_value(2 * (dodd * fold // {MODULUS} // 2) + 1) AS o,
+             any_value(dt * fold // {MODULUS}) AS t
+             FROM (SELECT *, size * (200000 + dm % 600000) // 1000000 + i AS m FROM {name}_d, unnest(range(0, 500)) AS r(i))
+             WHERE gcd(m, size) = 1 OR size < 2 GROUP BY ALL),
+{name} AS (SELECT lab, size, any_value(fold) AS fold, list(m ORDER BY round) AS ms, list(s ORDER BY round) AS ss, list(o ORDER BY round) AS os, list(t ORDER BY round) AS ts
+           FROM {name}_m GROUP BY lab, size)"""
+
+
+def permuted(ordinal: str, of: str = "") -> str:
+    """Rank of an ordinal by the lists of a ``permutation`` (qualified by ``of``, with its dot)."""
+    first = f"((x * {of}ms[i] + {of}ss[i]) % {of}size)"
+    return (
+        f"CASE WHEN {of}size < 2 THEN CAST({ordinal} AS BIGINT) ELSE list_reduce([CAST(1 AS BIGINT), 2, 3], lambda x, i: CASE WHEN {first} < {of}fold "
+        f"THEN ({first} * {of}os[i] + {of}ts[i]) % {of}fold ELSE {first} END, CAST({ordinal} AS BIGINT)) END"
+    )
 
 
 def split_case(rank: str, size: str, val: float = 0.2, test: float = 0.2) -> str:

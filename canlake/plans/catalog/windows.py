@@ -9,9 +9,10 @@ from canlake.plans import standin as st
 from canlake.plans.catalog.encodings import shown
 from canlake.plans.catalog.registry import query
 from canlake.plans.catalog.twins import (
-    BYTES, FRAMES, LABELLED, PREPARED, members, permutation, split_case, windows, zero,
+    BYTES, FRAMES, LABELLED, PREPARED, members, permutation, permuted, split_case, windows, zero,
 )
 from canlake.schemas import label_schema
+from canlake.storage import settle
 
 SIZE, STRIDE = st.WINDOW, st.STRIDE
 
@@ -137,20 +138,19 @@ PERMUTED = LABELLED + ', ordered AS (SELECT *, row_number() OVER (PARTITION BY "
 
 @query(
     "t10_permuted_ranks",
-    f'WITH {PERMUTED} SELECT row_id, "Class", (mult * ordinal + offs) % size AS rank FROM ordered JOIN perm ON lab = "Class"',
+    f'WITH {PERMUTED} SELECT row_id, "Class", {permuted("ordinal")} AS rank FROM ordered JOIN perm ON lab = "Class"',
 )
 def permuted_ranks(spark, sf_dir):
     base = st.labelled(spark, sf_dir).select("row_id", "Class")
     ordered, sizes = sampling.with_class_ordinal(base, "Class", "row_id")
-    return ordered.select(
-        "row_id", "Class", sampling.permuted(F.col("ordinal"), "Class", sizes, 42, sampling.STREAM_FRAMES).alias("rank")
-    )
+    ranked = sampling.with_permuted(ordered, "rank", "ordinal", "Class", sizes, 42, sampling.STREAM_FRAMES)
+    return ranked.select("row_id", "Class", "rank")
 
 
 @query(
     "d03_stratified_frame_split",
-    f"""WITH {PERMUTED} SELECT row_id, "Class", {split_case("((mult * ordinal + offs) % size)", "size")} AS split
-        FROM ordered JOIN perm ON lab = "Class" """,
+    f"""WITH {PERMUTED} SELECT row_id, "Class", {split_case("rank", "size")} AS split
+        FROM (SELECT *, {permuted("ordinal")} AS rank FROM ordered JOIN perm ON lab = "Class")""",
 )
 def stratified_frame_split(spark, sf_dir):
     return splits.stratified_frames(st.labelled(spark, sf_dir)).select("row_id", "Class", "split")
@@ -180,8 +180,8 @@ WINDOW_ORDER = windows() + ", ordered AS (SELECT *, row_number() OVER (PARTITION
 WINDOW_SPLIT = WINDOW_ORDER + permutation("candidates", "label", 1, "perm") + f""",
 split_windows AS (
   SELECT session_id || ':' || start_row_id AS window_id, session_id, start_row_id, start_pos, label,
-         {split_case("((mult * ordinal + offs) % size)", "size")} AS split
-  FROM ordered JOIN perm ON lab = label
+         {split_case("rank", "size")} AS split
+  FROM (SELECT *, {permuted("ordinal")} AS rank FROM ordered JOIN perm ON lab = label)
 )"""
 
 
@@ -198,7 +198,7 @@ BALANCED = (
     WINDOW_ORDER
     + permutation("candidates", "label", 0, "down")
     + """, target AS (SELECT min(size) AS t FROM down),
-picked AS (SELECT c.*, (d.mult * c.ordinal + d.offs) % d.size AS rank FROM ordered c JOIN down d ON d.lab = c.label),
+picked AS (SELECT c.*, """ + permuted("c.ordinal", "d.") + """ AS rank FROM ordered c JOIN down d ON d.lab = c.label),
 kept AS (SELECT picked.*, t FROM picked, target WHERE rank < t)"""
 )
 
@@ -208,7 +208,8 @@ kept AS (SELECT picked.*, t FROM picked, target WHERE rank < t)"""
     f"WITH {BALANCED} SELECT session_id, start_row_id, label, rank FROM kept",
 )
 def balanced_windows(spark, sf_dir):
-    return sampling.downsample_balanced(candidates(spark, sf_dir), "label", "start_row_id").select(
+    index = settle(candidates(spark, sf_dir), "window-index")
+    return sampling.downsample_balanced(index, "label", "start_row_id").select(
         "session_id", "start_row_id", "label", "rank"
     )
 
@@ -216,8 +217,8 @@ def balanced_windows(spark, sf_dir):
 @query(
     "d04_downsampled_window_split",
     f"""WITH {BALANCED},{permutation("kept", "label", 1, "perm")}
-        SELECT session_id || ':' || start_row_id AS window_id, label, {split_case("((mult * rank + offs) % size)", "size")} AS split
-        FROM kept JOIN perm ON lab = label""",
+        SELECT session_id || ':' || start_row_id AS window_id, label, {split_case("place", "size")} AS split
+        FROM (SELECT kept.*, size, {permuted("rank")} AS place FROM kept JOIN perm ON lab = label)""",
 )
 def downsampled_window_split(spark, sf_dir):
     found = splits.stratified_windows(st.positioned(spark, sf_dir), SIZE, STRIDE, st.FIVE, downsample=True)
@@ -255,10 +256,10 @@ WANTED = 1000
     LABELLED.join(["WITH ", ""])
     + ', ordered AS (SELECT *, row_number() OVER (PARTITION BY "Class" ORDER BY row_id) - 1 AS ordinal FROM labelled),'
     + permutation("labelled", '"Class"', 0, "perm")
-    + f""", shares AS (SELECT lab, size, mult, offs, size * {WANTED} / sum(size) OVER ()::DOUBLE AS share, sum(size) OVER () AS total FROM perm),
+    + f""", shares AS (SELECT perm.*, size * {WANTED} / sum(size) OVER ()::DOUBLE AS share, sum(size) OVER () AS total FROM perm),
     quotas AS (SELECT *, CASE WHEN total <= {WANTED} THEN size ELSE floor(share) + CASE WHEN row_number() OVER (ORDER BY floor(share) - share, lab)
                <= {WANTED} - sum(floor(share)) OVER () THEN 1 ELSE 0 END END AS quota FROM shares)
-    SELECT row_id, "Class" FROM ordered JOIN quotas ON lab = "Class" WHERE (mult * ordinal + offs) % size < quota""",
+    SELECT row_id, "Class" FROM ordered JOIN quotas ON lab = "Class" WHERE {permuted("ordinal")} < quota""",
 )
 def stratified_sample(spark, sf_dir):
     base = st.labelled(spark, sf_dir).select("row_id", "Class")

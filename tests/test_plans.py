@@ -77,14 +77,12 @@ def exchanged(plan):
     found, todo = [], [plan]
     while todo:
         node = todo.pop()
-        if node.nodeName() == "Exchange":
-            metric = node.metrics().get("shuffleRecordsWritten")
-            if metric.isDefined():
-                found.append(metric.get().value())
         kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
         if kind == "AdaptiveSparkPlanExec":
             todo.append(node.executedPlan())
-        elif kind in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "TableCacheQueryStageExec"):
+        elif kind.endswith("QueryStageExec"):
             todo.append(node.plan())
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]

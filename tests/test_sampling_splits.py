@@ -12,36 +12,42 @@ from canlake.operators.ordering import lay_out
 from canlake.schemas import label_schema
 
 
-@pytest.mark.parametrize("size", [0, 1, 2, 3, 10, 97, 1000, 1_000_003, 97_003 * 2])
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 10, 97, 1000, 1024, 1_000_003, 97_003 * 2])
 @pytest.mark.parametrize("label,stream", [(0, 0), (4, 1), (9, 2)])
 def test_permutation_is_a_bijection(size, label, stream):
-    m, o = smp.permutation_of(size, 42, label, stream)
-    if size < 2:
-        assert (m, o) == (1, 0)
-        return
-    assert math.gcd(m, size) == 1 and 0 < m <= size and 0 <= o < size
+    rounds = smp.permutation_of(size, 42, label, stream)
+    assert len(rounds) == (0 if size < 2 else smp.ROUNDS)
+    for r in rounds:
+        assert math.gcd(r.multiplier, size) == 1 and 0 <= r.shift < size and r.odd % 2 == 1 and 0 <= r.turn < r.fold <= size < 2 * r.fold
     if size < 2000:
-        assert sorted((m * i + o) % size for i in range(size)) == list(range(size))
+        assert sorted(smp.permuted_number(i, size, rounds) for i in range(size)) == list(range(size))
 
 
-def test_permutation_takes_the_next_coprime_multiplier():
-    assert smp.permutation_of(10, 42, 0, 0) == (7, (42 * 7919 + 1) % 10)  # golden section 6 is even
-    assert smp.permutation_of(4, 42, 0, 0)[0] == 3
-    assert smp.permutation_of(1, 42, 0, 0) == (1, 0)
-
-
-@pytest.mark.parametrize("size", [10**10, 10**13])
+@pytest.mark.parametrize("size", [2000, 10**10, 10**13, 10**18])
 def test_permutation_is_exact_and_spread_at_scale(spark, size):
     seed = 2**31
-    m, o = smp.permutation_of(size, seed, 9, 1)
+    rounds = smp.permutation_of(size, seed, 9, 1)
     rows = spark.range(size - 200, size).selectExpr("id", "9 AS label")
-    ranks = [r[0] for r in rows.select(smp.permuted(F.col("id"), "label", {9: size}, seed, 1)).collect()]
-    assert ranks == [(i * m + o) % size for i in range(size - 200, size)]
+    ranks = [r["rank"] for r in smp.with_permuted(rows, "rank", "id", "label", {9: size}, seed, 1).orderBy("id").collect()]
+    assert ranks == [smp.permuted_number(i, size, rounds) for i in range(size - 200, size)]
     in_train, longest = 0, 0
     for r in ranks:
         in_train = in_train + 1 if r < size * 0.6 else 0
         longest = max(longest, in_train)
-    assert longest <= 4
+    assert longest <= 25 and 80 <= sum(r < size * 0.6 for r in ranks) <= 160
+
+
+@pytest.mark.parametrize("size", [5000, 65_536, 99_991])
+def test_seeds_streams_and_labels_draw_unrelated_test_sets(size):
+    """Two test sets of a fifth share about a fifth of their rows, not all or none as rotations may."""
+    tests = []
+    for seed, label, stream in ((1, 0, 2), (2, 0, 2), (3, 0, 2), (42, 0, 2), (42, 1, 2), (42, 0, 1), (43, 0, 2)):
+        rounds = smp.permutation_of(size, seed, label, stream)
+        tests.append({i for i in range(size) if smp.permuted_number(i, size, rounds) >= size * 0.8})
+    for i, a in enumerate(tests):
+        assert abs(len(a) - size * 0.2) < 2
+        for b in tests[:i]:
+            assert 0.15 < len(a & b) / len(a) < 0.25
 
 
 @pytest.mark.parametrize(
