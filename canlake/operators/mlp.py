@@ -9,12 +9,13 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from canlake.functions.hexfields import decoded
 from canlake.operators import normalise
 from canlake.operators.scoring import macro_metrics
 from canlake.operators.windows import flattened_vectors
+from canlake.storage import settle
 
 # Hidden layers of the frame detector; the window detector takes its own.
 FRAME_HIDDEN = (16, 8, 8)
@@ -27,7 +28,21 @@ class Detector:
 
     model: MultilayerPerceptronClassificationModel
     stats: normalise.NormStats
-    rounds: int
+    val_f1: list[float]
+
+    def save(self, path: str) -> None:
+        """The network and its statistics in one folder."""
+        self.model.write().overwrite().save(f"{path}/network")
+        facts = self.model.uid, [float(x) for x in self.stats.mean], [float(x) for x in self.stats.std], self.val_f1
+        session = SparkSession.active()
+        session.createDataFrame([facts], "uid string, mean array<double>, std array<double>, val_f1 array<double>").coalesce(1).write.mode("overwrite").json(f"{path}/facts")
+
+    @classmethod
+    def load(cls, path: str) -> Detector:
+        schema = "uid string, mean array<double>, std array<double>, val_f1 array<double>"
+        facts = SparkSession.active().read.schema(schema).json(f"{path}/facts").first()
+        stats = normalise.NormStats(tuple(normalise.NUMERIC_COLUMNS), tuple(facts["mean"]), tuple(facts["std"]))
+        return cls(MultilayerPerceptronClassificationModel.load(f"{path}/network"), stats, list(facts["val_f1"]))
 
 
 def frame_inputs(frames: DataFrame, stats: normalise.NormStats) -> DataFrame:
@@ -41,24 +56,30 @@ def window_inputs(frames: DataFrame, size: int, stride: int, stats: normalise.No
     return vectors.withColumn("features", array_to_vector("vector")).withColumn("label", F.col("label").cast("double"))
 
 
-def train(inputs: DataFrame, layers: list[int], rounds: int, seed: int = 42) -> MultilayerPerceptronClassificationModel:
+def train(inputs: DataFrame, layers: list[int], rounds: int, seed: int = 42, weights=None) -> MultilayerPerceptronClassificationModel:
+    """A network after ``rounds`` more rounds, from the given weights or from random ones."""
     learner = MultilayerPerceptronClassifier(
         featuresCol="features", labelCol="label", layers=layers, maxIter=rounds, seed=seed, blockSize=256
     )
+    if weights is not None:
+        learner.setInitialWeights(weights)
     return learner.fit(inputs.select("features", "label"))
 
 
 def train_best(
     train_inputs: DataFrame, val_inputs: DataFrame, layers: list[int], rounds: tuple[int, ...]
-) -> tuple[MultilayerPerceptronClassificationModel, int]:
-    """Train for each number of rounds and keep the best macro F1 on validation data."""
-    best = None
+) -> tuple[MultilayerPerceptronClassificationModel, list[float]]:
+    """Train stage by stage, each from the weights of the one before, and keep the stage that is best on validation.
+
+    Returns the model and the validation macro F1 after every stage.
+    """
+    best, model, scores = None, None, []
     for count in rounds:
-        model = train(train_inputs, layers, count)
-        score = macro_metrics(predictions(model, val_inputs)).first()["f1_macro"] or 0.0
-        if best is None or score > best[0]:
-            best = (score, model, count)
-    return best[1], best[2]
+        model = train(train_inputs, layers, count, weights=None if model is None else model.weights)
+        scores.append(macro_metrics(predictions(model, val_inputs)).first()["f1_macro"] or 0.0)
+        if best is None or scores[-1] > best[0]:
+            best = (scores[-1], model)
+    return best[1], scores
 
 
 def predictions(model: MultilayerPerceptronClassificationModel, inputs: DataFrame) -> DataFrame:
@@ -70,15 +91,14 @@ def predictions(model: MultilayerPerceptronClassificationModel, inputs: DataFram
     )
 
 
-def train_frame_detector(split_frames: DataFrame, num_classes: int, rounds: tuple[int, ...] = (30,)) -> Detector:
+def train_frame_detector(split_frames: DataFrame, num_classes: int, rounds: tuple[int, ...] = (20, 20, 20)) -> Detector:
     """Frame network on ``split_frames`` (with ``split``); statistics come from train only."""
     training = split_frames.where("split = 'train'")
     stats = normalise.fit(normalise.frame_stats(training))
     layers = [11 + len(normalise.NUMERIC_COLUMNS), *FRAME_HIDDEN, num_classes]
-    model, used = train_best(
-        frame_inputs(training, stats), frame_inputs(split_frames.where("split = 'val'"), stats), layers, rounds
-    )
-    return Detector(model, stats, used)
+    inputs = settle(frame_inputs(split_frames, stats).select("split", "features", "label"), "frame-inputs")
+    model, scores = train_best(inputs.where("split = 'train'"), inputs.where("split = 'val'"), layers, rounds)
+    return Detector(model, stats, scores)
 
 
 def train_window_detector(
@@ -88,7 +108,7 @@ def train_window_detector(
     size: int,
     stride: int,
     num_classes: int,
-    rounds: tuple[int, ...] = (30,),
+    rounds: tuple[int, ...] = (20, 20, 20),
 ) -> tuple[Detector, DataFrame]:
     """Window network over an index with ``split``; also returns the labelled inputs."""
     stats = normalise.fit(normalise.window_stats(frames, sessions, size, stride))
@@ -99,6 +119,7 @@ def train_window_detector(
         .withColumn("label", F.col("label").cast("double"))
         .drop("vector")
     )
+    inputs = settle(inputs, "window-inputs")
     layers = [size * (11 + len(normalise.NUMERIC_COLUMNS)), *WINDOW_HIDDEN, num_classes]
-    model, used = train_best(inputs.where("split = 'train'"), inputs.where("split = 'val'"), layers, rounds)
-    return Detector(model, stats, used), inputs
+    model, scores = train_best(inputs.where("split = 'train'"), inputs.where("split = 'val'"), layers, rounds)
+    return Detector(model, stats, scores), inputs

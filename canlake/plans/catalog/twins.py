@@ -23,7 +23,7 @@ frames AS (
          epoch_us(ts) / 1000000.0 AS "Timestamp",
          printf('%03X', (k * 37) % 2048) AS Arbitration_ID,
          dlc AS DLC,
-         {_byte(0, '5')}, {_byte(1, 'e16 % 256')}, {_byte(2, 'user_id % 4')},
+         {_byte(0, '5')}, {_byte(1, 'e16 % 256')}, {_byte(2, 'user_id % 4 + CASE WHEN day(ts) % 15 IN (3, 6, 9, 12) THEN day(ts) % 15 // 3 ELSE 0 END * 40')},
          {', '.join(_byte(i, f'(event_id * {2 * i + 1} + k * 17) % 256') for i in range(3, 8))},
          CASE day(ts) % 15 WHEN 3 THEN 'Flooding' WHEN 6 THEN 'Fuzzing' WHEN 9 THEN 'Spoofing'
               WHEN 12 THEN 'Replay' ELSE 'Normal' END AS attack_type,

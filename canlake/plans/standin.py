@@ -34,13 +34,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     event, user = F.col("event_id"), F.col("user_id")
     k, dlc = F.col("k"), F.col("dlc")
+    day = F.dayofmonth("ts") % 15
+    attack_number = F.when(day.isin(3, 6, 9, 12), day / 3).otherwise(0).cast("long")
     values = [
         F.lit(5).cast("long"),
         F.floor(event / 16) % 256,
-        user % 4,
+        user % 4 + attack_number * 40,  # an attack leaves its mark on the third byte
         *[(event * (2 * i + 1) + k * 17) % 256 for i in range(3, 8)],
     ]
-    day = F.dayofmonth("ts") % 15
     attack = (
         F.when(day == 3, "Flooding").when(day == 6, "Fuzzing").when(day == 9, "Spoofing").when(day == 12, "Replay")
     )
