@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from canlake.functions.labels import is_benign
 from canlake.operators.splits import SPLITS
@@ -202,3 +202,28 @@ def leaked_frames(frames: DataFrame, split_windows: DataFrame, stride: int, size
         "session_id", "row_id",
         F.array_sort(F.array_compact(F.array(*[F.when(F.col(n) > 0, n) for n in SPLITS]))).alias("splits"),
     )
+
+
+class Contract:
+    """Rules of a table, counted while it is read for something else.
+
+    ``watched`` gives the table back with the counts hung on it; after any action on that,
+    ``report`` has one row for each rule.  No extra pass is made.
+    """
+
+    def __init__(self, rules: dict[str, Column], required: tuple[str, ...] = ()):
+        self.rules, self.required = rules, required
+        self.observation = Observation()
+
+    def watched(self, df: DataFrame) -> DataFrame:
+        self.absent = len(set(self.required) - set(df.columns))
+        return df.observe(
+            self.observation, F.count(F.lit(1)).alias("rows"),
+            *[F.count_if(F.coalesce(broken, F.lit(True))).alias(name) for name, broken in self.rules.items()],
+        )
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """rule, broken (rows; columns for ``missing_columns``), rows."""
+        found = self.observation.get
+        rows = [("missing_columns", self.absent, found["rows"]), *((name, found[name], found["rows"]) for name in self.rules)]
+        return spark.createDataFrame(rows, "rule string, broken long, rows long")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from canlake.storage import scratch_path, settle
 
 BLOCK_ROWS = 1 << 18
+UNIT_BYTES = 32 << 20  # of stored input for one range partition
 BROADCAST_RUNS = 1_000_000  # about 100 MB of (session, partition) bookkeeping
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in its low 33 bits
 
@@ -74,7 +75,29 @@ def session_order(df: DataFrame) -> list[str]:
     return ["session_id", "Timestamp", "row_id"] if "Timestamp" in df.columns else ["session_id", "row_id"]
 
 
-def lay_out(df: DataFrame) -> Layout:
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables a plan reads, from their files; runs no job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def work_units(df: DataFrame, unit_bytes: int = UNIT_BYTES) -> int:
+    """How many range partitions keep a partition at about ``unit_bytes`` of input."""
+    return max(1, -(-input_bytes(df) // unit_bytes))
+
+
+def range_partitioned(df: DataFrame, *order: str, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+    """Range partitions by ``order``: as many as the input asks for, never fewer than the session is set to.
+
+    So the unit of later work, one range partition, does not grow with the table.
+    """
+    wanted = work_units(df, unit_bytes)
+    if wanted <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartitionByRange(*order)
+    return df.repartitionByRange(wanted, *order)
+
+
+def lay_out(df: DataFrame, unit_bytes: int = UNIT_BYTES) -> Layout:
     """Order a frame table once and keep it in the shared folder.
 
     One range shuffle and one write; the numbering afterwards reads a table of
@@ -84,7 +107,7 @@ def lay_out(df: DataFrame) -> Layout:
     path = scratch_path(spark, "layout")
     order = session_order(df)
     (
-        df.repartitionByRange(*order)
+        range_partitioned(df, *order, unit_bytes=unit_bytes)
         .sortWithinPartitions(*order)
         .withColumn("slot", F.monotonically_increasing_id())
         .write.option("compression", "zstd")

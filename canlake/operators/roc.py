@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from canlake.operators.ordering import range_partitioned
 from canlake.storage import scratch_path, settle
 
 OVERALL = "OVERALL"
@@ -33,8 +34,7 @@ def running_counts(scored: DataFrame, overall: bool = True) -> DataFrame:
         )
     path = scratch_path(spark, "scores")
     (
-        per_score.withColumn("down", -F.col("score"))
-        .repartitionByRange("session_id", "down")
+        range_partitioned(per_score.withColumn("down", -F.col("score")), "session_id", "down")
         .withColumn("part", F.spark_partition_id())
         .write.option("compression", "zstd")
         .parquet(path)

@@ -271,6 +271,25 @@ def list_functions(spark, sf_dir):
     )
 
 
+@query(
+    "f16_list_functions_of_bytes",
+    f"""WITH {FRAMES}, lists AS (SELECT row_id, [{', '.join(BYTES)}] AS bytes FROM frames),
+        present AS (SELECT row_id, bytes, [x for x in bytes if x <> 'PAD'] AS filled, [CASE WHEN x <> 'PAD' THEN x END for x in bytes] AS gaps FROM lists)
+        SELECT row_id, CAST(len(filled) AS INTEGER) AS n_filled, filled[-1] AS last_filled, array_to_string([x for x in gaps if x IS NOT NULL], '') AS payload,
+               CAST(len(list_distinct(filled)) AS INTEGER) AS n_distinct, array_to_string(list_concat(list_slice(filled, 1, 2), list_slice(bytes, 7, 8)), ' ') AS ends FROM present""",
+)
+def list_functions_of_bytes(spark, sf_dir):
+    """Filter, last, drop nulls, distinct and concatenation of the byte lists of all frames."""
+    listed = st.frames(spark, sf_dir).select("row_id", F.array(*BYTES).alias("bytes"))
+    filled = listed.withColumn("filled", F.filter("bytes", lambda x: x != "PAD"))
+    gaps = F.transform("bytes", lambda x: F.when(x != "PAD", x))
+    return filled.select(
+        "row_id", F.size("filled").alias("n_filled"), F.try_element_at("filled", F.lit(-1)).alias("last_filled"),
+        F.array_join(F.array_compact(gaps), "").alias("payload"), F.size(F.array_distinct("filled")).alias("n_distinct"),
+        F.array_join(F.concat(F.slice("filled", 1, 2), F.slice("bytes", 7, 2)), " ").alias("ends"),
+    )
+
+
 @query(
     "f17_string_functions",
     f"""WITH {FRAMES} SELECT row_id, lpad(ltrim(Arbitration_ID, '0'), CAST(greatest(3, length(ltrim(Arbitration_ID, '0'))) AS INTEGER), '0') AS refilled,

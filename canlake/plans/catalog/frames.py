@@ -119,6 +119,17 @@ def attack_only_ids(spark, sf_dir):
     return traffic.attack_only_ids(st.labelled(spark, sf_dir), st.FIVE)
 
 
+@query(
+    "j05_attack_only_marks",
+    f"""WITH {LABELLED}, marked AS (SELECT '0' || Data_2 AS mark, "Class" FROM labelled WHERE Data_2 <> 'PAD')
+        SELECT mark AS Arbitration_ID, CAST('0x' || mark AS INTEGER) AS id_number FROM marked GROUP BY mark HAVING min(CASE WHEN "Class" = 0 THEN 0 ELSE 1 END) = 1""",
+)
+def attack_only_marks(spark, sf_dir):
+    """The third byte as identifier: attacks use values of their own."""
+    frames = st.labelled(spark, sf_dir).where("Data_2 <> 'PAD'")
+    return traffic.attack_only_ids(frames.withColumn("Arbitration_ID", F.concat(F.lit("0"), "Data_2")), st.FIVE)
+
+
 @query(
     "a01_class_distribution",
     f"""WITH {LABELLED} SELECT "Class", count(*) AS rows, round(count(*) / sum(count(*)) OVER ()::DOUBLE * 100, 4) AS percentage

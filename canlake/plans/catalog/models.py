@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canlake.operators import mlp, scoring, splits
+from canlake.functions.encodings import id_value
+from canlake.functions.labels import class_id
+from canlake.operators import audits, mlp, scoring, splits
 from canlake.plans import stages, standin as st
 from canlake.plans.catalog.registry import query
 from canlake.plans.catalog.sources import ROAD, SURVIVAL_LABEL, capture_of, survival_stem, road_stem, text_captures
@@ -203,3 +205,59 @@ def files_to_splits(spark, sf_dir):
         one = rows.unionByName(lost, allowMissingColumns=True).select(F.lit(corpus).alias("corpus"), "outcome", "Class", "rows", "row_ids")
         found = one if found is None else found.unionByName(one)
     return found
+
+
+@query(
+    "s21_contract_of_a_table",
+    f"""WITH {FRAMES}, counted AS (SELECT count(*) AS rows, count(*) FILTER (attack_type NOT IN ('Normal', 'Flooding', 'Fuzzing', 'Malfunction')) AS unmapped,
+          count(*) FILTER (CAST('0x' || Arbitration_ID AS INTEGER) > 1792) AS scope, count(*) FILTER (DLC < 8) AS short FROM frames)
+        SELECT unnest(['missing_columns', 'unmapped_label', 'identifier_out_of_scope', 'no_session', 'short_frame', 'no_time']) AS rule,
+               unnest([CAST(2 AS BIGINT), unmapped, scope, 0, short, 0]) AS broken, rows FROM counted""",
+)
+def contract_of_a_table(spark, sf_dir):
+    """Rules of the frames checked while they are written: labels of another corpus, two columns not made yet."""
+    contract = audits.Contract(
+        {
+            "unmapped_label": class_id("SurvivalAnalysis", strict=False).isNull(),
+            "identifier_out_of_scope": id_value() > 0x700,
+            "no_session": F.col("session_id").isNull(),
+            "short_frame": F.col("DLC") < 8,
+            "no_time": F.col("Timestamp").isNull(),
+        },
+        required=("row_id", "session_id", "Deltatime", "Delta_Id"),
+    )
+    contract.watched(st.frames(spark, sf_dir)).write.parquet(scratch_path(spark, "watched"))
+    return contract.report(spark)
+
+
+@query(
+    "p17_contract_of_a_split",
+    f"""WITH {PERMUTED}, s AS (SELECT *, {split_case("rank", "size")} AS split FROM (SELECT *, {permuted("ordinal")} AS rank FROM ordered JOIN perm ON lab = "Class")),
+        counted AS (SELECT count(*) AS rows, count(*) FILTER (split <> 'train') AS held, count(*) FILTER (split = 'train') AS trained,
+          count(*) FILTER ("Class" >= 4) AS beyond FROM s)
+        SELECT unnest(['missing_columns', 'class_out_of_range', 'not_in_train', 'not_held_out', 'no_split']) AS rule,
+               unnest([CAST(0 AS BIGINT), beyond, held, trained, 0]) AS broken, rows FROM counted""",
+)
+def contract_of_a_split(spark, sf_dir):
+    """Rules of split frames for a detector of four classes: classes in range, shares of the splits."""
+    split = F.col("split")
+    contract = audits.Contract(
+        {
+            "class_out_of_range": ~F.col("Class").between(0, 3),
+            "not_in_train": split != "train",
+            "not_held_out": ~split.isin("val", "test"),
+            "no_split": split.isNull(),
+        },
+        required=("row_id", "Class", "split"),
+    )
+    contract.watched(split_frames(spark, sf_dir)).select("row_id", "Class", "split").write.parquet(scratch_path(spark, "watched"))
+    return contract.report(spark)
+
+
+@query("f20_scoring_throughput", "SELECT count(*) AS frames, true AS measured FROM events")
+def scoring_throughput(spark, sf_dir):
+    """Frames scored by the stored detector and whether their rate was measured (see ``measured_scoring``)."""
+    detector = stored_detector(spark, sf_dir)
+    scored = mlp.predictions(detector.model, mlp.frame_inputs(st.labelled(spark, sf_dir), detector.stats))
+    rate = mlp.measured_scoring(scored, scratch_path(spark, "scored"))
+    return rate.select("frames", ((F.col("ms_per_frame") > 0) & (F.col("frames_per_second") > 0)).alias("measured"))

@@ -9,8 +9,7 @@ from canlake.functions.encodings import id_value
 from canlake.operators import audits, splits
 from canlake.plans import standin as st
 from canlake.plans.catalog.registry import query
-from canlake.plans.catalog.twins import BYTES, FRAMES, LABELLED
-from canlake.plans.catalog.windows import holdout
+from canlake.plans.catalog.twins import BYTES, FRAMES, LABELLED, sql_list
 from canlake.schemas import BYTE_COLUMNS
 from canlake.sources import candump, captures, delimited, discovery, tables
 from canlake.sources.parsing import accepted, captures_without_frames, reject_counts, staged
@@ -406,12 +405,11 @@ def frame_table_round_trip(spark, sf_dir):
 @query(
     "s17_split_tables_with_empty_split",
     f"""WITH {FRAMES} SELECT s AS split, count(row_id) AS rows FROM (VALUES ('train'), ('val'), ('test')) AS x(s)
-        LEFT JOIN (SELECT row_id, CASE WHEN session_id IN ('cap_1_D', 'cap_1_S') THEN 'val' ELSE 'train' END AS split FROM frames) ON split = s GROUP BY s""",
+        LEFT JOIN (SELECT row_id, CASE WHEN session_id IN {sql_list(st.VAL_SESSIONS)} THEN 'val' ELSE 'train' END AS split FROM frames) ON split = s GROUP BY s""",
 )
 def split_tables_with_empty_split(spark, sf_dir):
     path = scratch_path(spark, "splits")
-    val, _ = holdout(spark, sf_dir)
-    table = splits.holdout_frames(st.frames(spark, sf_dir), val, [])
+    table = splits.holdout_frames(st.frames(spark, sf_dir), st.VAL_SESSIONS, [])
     tables.write_splits(table, path)
     parts = [
         tables.read_split(spark, path, name, table.schema).agg(F.count("row_id").alias("rows")).select(F.lit(name).alias("split"), "rows")

@@ -103,6 +103,10 @@ def permuted(ordinal: str, of: str = "") -> str:
     )
 
 
+def sql_list(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 def split_case(rank: str, size: str, val: float = 0.2, test: float = 0.2) -> str:
     n_val, n_test = f"CAST(floor({size} * {val}::DOUBLE) AS BIGINT)", f"CAST(floor({size} * {test}::DOUBLE) AS BIGINT)"
     return (

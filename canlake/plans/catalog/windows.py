@@ -9,7 +9,7 @@ from canlake.plans import standin as st
 from canlake.plans.catalog.encodings import shown
 from canlake.plans.catalog.registry import query
 from canlake.plans.catalog.twins import (
-    BYTES, FRAMES, LABELLED, PREPARED, members, permutation, permuted, split_case, windows, zero,
+    BYTES, FRAMES, LABELLED, PREPARED, members, permutation, permuted, split_case, sql_list, windows, zero,
 )
 from canlake.schemas import label_schema
 from canlake.storage import settle
@@ -108,7 +108,7 @@ def unknown_sessions(spark, sf_dir):
 
 @query(
     "j04_frames_of_sessions",
-    f"WITH {FRAMES} SELECT row_id, session_id FROM frames WHERE session_id IN ('cap_1_D', 'cap_1_S')",
+    f"WITH {FRAMES} SELECT row_id, session_id FROM frames WHERE session_id IN {sql_list(st.VAL_SESSIONS)}",
 )
 def frames_of_sessions(spark, sf_dir):
     frames = st.frames(spark, sf_dir)
@@ -158,22 +158,11 @@ def stratified_frame_split(spark, sf_dir):
 
 @query(
     "d02_session_holdout_frames",
-    f"""WITH {LABELLED} SELECT row_id, session_id, CASE WHEN session_id IN ('cap_1_D','cap_1_S') THEN 'val'
-        WHEN session_id IN ('cap_2_D','cap_2_S') THEN 'test' ELSE 'train' END AS split FROM labelled""",
+    f"""WITH {LABELLED} SELECT row_id, session_id, CASE WHEN session_id IN {sql_list(st.VAL_SESSIONS)} THEN 'val'
+        WHEN session_id IN {sql_list(st.TEST_SESSIONS)} THEN 'test' ELSE 'train' END AS split FROM labelled""",
 )
 def session_holdout_frames(spark, sf_dir):
-    return splits.holdout_frames(st.labelled(spark, sf_dir), *holdout(spark, sf_dir)).select("row_id", "session_id", "split")
-
-
-def holdout(spark, sf_dir):
-    """The configured hold-out sessions that the data has (small tables lack some)."""
-    known = {
-        r[0]
-        for r in st.frames(spark, sf_dir)
-        .where(F.col("session_id").isin(st.VAL_SESSIONS + st.TEST_SESSIONS))
-        .select("session_id").distinct().collect()
-    }
-    return [s for s in st.VAL_SESSIONS if s in known], [s for s in st.TEST_SESSIONS if s in known]
+    return splits.holdout_frames(st.labelled(spark, sf_dir), st.VAL_SESSIONS, st.TEST_SESSIONS).select("row_id", "session_id", "split")
 
 
 WINDOW_ORDER = windows() + ", ordered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY start_row_id) - 1 AS ordinal FROM candidates),"
@@ -225,9 +214,9 @@ def downsampled_window_split(spark, sf_dir):
     return found.select("window_id", "label", "split")
 
 
-HOLDOUT_WINDOWS = windows() + """,
+HOLDOUT_WINDOWS = windows() + f""",
 held AS (SELECT session_id || ':' || start_row_id AS window_id, session_id, start_row_id, label,
-         CASE WHEN session_id IN ('cap_1_D','cap_1_S') THEN 'val' WHEN session_id IN ('cap_2_D','cap_2_S') THEN 'test' ELSE 'train' END AS split FROM lasts)"""
+         CASE WHEN session_id IN {sql_list(st.VAL_SESSIONS)} THEN 'val' WHEN session_id IN {sql_list(st.TEST_SESSIONS)} THEN 'test' ELSE 'train' END AS split FROM lasts)"""
 
 
 @query(
@@ -235,7 +224,7 @@ held AS (SELECT session_id || ':' || start_row_id AS window_id, session_id, star
     f"WITH {HOLDOUT_WINDOWS} SELECT window_id, session_id, start_row_id, label, split FROM held",
 )
 def session_holdout_windows(spark, sf_dir):
-    found = splits.holdout_windows(st.positioned(spark, sf_dir), SIZE, STRIDE, *holdout(spark, sf_dir))
+    found = splits.holdout_windows(st.positioned(spark, sf_dir), SIZE, STRIDE, st.VAL_SESSIONS, st.TEST_SESSIONS)
     return found.select("window_id", "session_id", "start_row_id", "label", "split")
 
 
@@ -395,10 +384,27 @@ def session_overlap(spark, sf_dir):
         WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.split = s.split AND x.label = t.label)""",
 )
 def missing_classes(spark, sf_dir):
-    held = splits.holdout_windows(st.positioned(spark, sf_dir), SIZE, STRIDE, *holdout(spark, sf_dir))
+    held = splits.holdout_windows(st.positioned(spark, sf_dir), SIZE, STRIDE, st.VAL_SESSIONS, st.TEST_SESSIONS)
     return audits.missing_classes(held, "label")
 
 
+BY_TIME = "CASE WHEN row_id * 10 < 6 * n THEN 'train' WHEN row_id * 10 < 8 * n THEN 'val' ELSE 'test' END"
+
+
+@query(
+    "d09_missing_classes_by_time",
+    f"""WITH {LABELLED}, cut AS (SELECT "Class", {BY_TIME} AS split FROM labelled, (SELECT count(*) AS n FROM labelled)),
+        seen AS (SELECT DISTINCT split, "Class" FROM cut)
+        SELECT s.split, t."Class" FROM (VALUES ('val'), ('test')) AS s(split) CROSS JOIN (SELECT "Class" FROM seen WHERE split = 'train') t
+        WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.split = s.split AND x."Class" = t."Class")""",
+)
+def missing_classes_by_time(spark, sf_dir):
+    """A log cut in time: attacks come one after the other, so the later parts lack some of them."""
+    frames = st.labelled(spark, sf_dir).select("row_id", "Class")
+    rows = frames.count()
+    return audits.missing_classes(frames.withColumn("split", F.expr(BY_TIME.replace(" n ", f" {rows}L "))), "Class")
+
+
 @query(
     "d12_split_report",
     f"""WITH {WINDOW_SPLIT} SELECT split, CAST(count(*) AS BIGINT) AS rows, count(DISTINCT label) AS classes, count(DISTINCT session_id) AS sessions,

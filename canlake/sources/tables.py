@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from canlake.operators.splits import SPLITS
 from canlake.schemas import BYTE_COLUMNS, require_columns
 
+GROUP_ROWS = 100_000
 # Columns the window operators can use; whatever a table has of them is read.
 FRAME_COLUMNS = [
     "session_id", "Timestamp", "row_id", "Arbitration_ID", "DLC", "Class", "Delta_Id", "Deltatime",
@@ -26,14 +27,19 @@ def count_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def write_frames(frames: DataFrame, path: str, mode: str = "error") -> None:
-    """Zstd Parquet sorted by ``row_id`` inside each file; the commit is atomic."""
+def write_frames(frames: DataFrame, path: str, mode: str = "error", group_rows: int = GROUP_ROWS) -> None:
+    """Zstd Parquet in row groups of ``group_rows``, by session inside each file; the commit is atomic.
+
+    Frames come in file order, so they are sorted where they lie.  A slice of one session
+    then reads the few groups whose session range holds it.
+    """
     require_columns(frames, ["row_id"], "frame table")
+    order = [c for c in ("session_id", "row_id") if c in frames.columns]
     (
-        frames.repartitionByRange("row_id")
-        .sortWithinPartitions("row_id")
+        frames.sortWithinPartitions(*order)
         .write.mode(mode)
         .option("compression", "zstd")
+        .option("parquet.block.row.count.limit", group_rows)
         .parquet(path)
     )
 
