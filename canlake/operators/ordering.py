@@ -75,10 +75,14 @@ def session_order(df: DataFrame) -> list[str]:
     return ["session_id", "Timestamp", "row_id"] if "Timestamp" in df.columns else ["session_id", "row_id"]
 
 
+UNKNOWN_BYTES = 1 << 60  # Spark's estimate where it knows nothing is larger
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Size of the tables a plan reads, from their files; runs no job."""
+    """Size of the tables a plan reads, from their files; runs no job.  Sources of unknown size count as nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < UNKNOWN_BYTES)
 
 
 def work_units(df: DataFrame, unit_bytes: int = UNIT_BYTES) -> int:
