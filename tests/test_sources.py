@@ -38,7 +38,7 @@ def rejects(parsed):
 def test_attack_defense_with_and_without_sub_label(spark, tmp_path):
     write(tmp_path, "a_S.csv", [
         "Timestamp,Arbitration_ID,DLC,Data,Class,SubClass",
-        "1.5, 0x0a3 ,8,01 02 03 04 05 06 07 08 09,Attack, Flooding ",
+        "1.5, 0x0a3 ,8,01 02 03 04 05 06 07 08,Attack, Flooding ",
         "1.6,1ABCD,2,0a ff,Attack,",
         "bad,100,2,00 00,Normal,Normal",
     ])
