@@ -189,11 +189,11 @@ def files_to_splits(spark, sf_dir):
 
     The first two captures of a corpus by name are its validation and test sessions.
     """
-    found = None
+    found, base = None, st.rendered(spark, sf_dir)
     for corpus, schema, variant in CORPORA:
-        folder, canonical, output, sidecar = st.write_captures(spark, sf_dir, corpus), *(scratch_path(spark, n) for n in ("canonical", "splits", "sidecar"))
+        folder, canonical, output, sidecar = st.write_captures(spark, sf_dir, corpus, base), *(scratch_path(spark, n) for n in ("canonical", "splits", "sidecar"))
         if corpus == "road_raw":
-            write_injections(st.injections(spark, sf_dir), sidecar)
+            write_injections(st.injections(spark, sf_dir, base), sidecar)
         rejects = stages.ingest(spark, folder, corpus, canonical, variant, metadata=sidecar if corpus == "road_raw" else None)
         frames, layout = stages.prepare(spark.read.parquet(canonical), schema, variant, ["deltatime"])
         held = [r[0] for r in layout.sessions.select("session_id").orderBy("session_id").limit(2).collect()]

@@ -269,10 +269,10 @@ def compound_relabel(spark, sf_dir):
         FROM (VALUES ('car_hacking_attack_defense'), ('hcrl_carhacking'), ('road_raw'), ('can_mirgu'), ('ciciov2024'), ('survival_analysis')) AS d(dialect)""",
 )
 def frames_per_dialect(spark, sf_dir):
-    counts = None
+    counts, base = None, st.rendered(spark, sf_dir)
     for dialect in discovery.DIALECT_GLOBS:
-        parse = captures.parser_for(dialect, st.injections(spark, sf_dir) if dialect == "road_raw" else None)
-        one = accepted(parse(st.log_lines(spark, sf_dir, dialect))).agg(F.count(F.lit(1)).alias("frames"))
+        parse = captures.parser_for(dialect, st.injections(spark, sf_dir, base) if dialect == "road_raw" else None)
+        one = accepted(parse(st.log_lines(spark, sf_dir, dialect, base))).agg(F.count(F.lit(1)).alias("frames"))
         one = one.select(F.lit(dialect).alias("dialect"), "frames")
         counts = one if counts is None else counts.unionByName(one)
     return counts
