@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from canlake.functions.encodings import id_value
 from canlake.functions.labels import class_id
@@ -20,7 +20,7 @@ from canlake.streaming.interarrival import OUTPUT, live_delta_id, rocksdb_state
 from canlake.streaming.lateness import late_frames, on_time_stream, split_late
 
 ROUNDS = (25, 25, 25, 25)
-_stored: dict[tuple[str, str, int], str] = {}
+_stored: dict[tuple[str, str, int], tuple[str, DataFrame]] = {}
 
 
 def scored_splits(predictions):
@@ -32,20 +32,25 @@ def split_frames(spark, sf_dir):
     return splits.stratified_frames(st.labelled(spark, sf_dir))
 
 
-def stored_detector(spark, sf_dir):
-    """The frame detector of these tables: trained and stored once in an application, loaded by every query."""
+def stored(spark, sf_dir):
+    """Folder of the frame detector and the split frames, made once in an application."""
     key = (spark.sparkContext.applicationId, sf_dir, st.table(spark, sf_dir, "events").count())
     if key not in _stored:
         frames = settle(split_frames(spark, sf_dir), "split-frames")
         path = scratch_path(spark, "frame-detector")
         mlp.train_frame_detector(frames, st.FIVE.num_classes, ROUNDS).save(path)
-        _stored[key] = path
-    return mlp.Detector.load(_stored[key])
+        _stored[key] = path, frames
+    return _stored[key]
+
+
+def stored_detector(spark, sf_dir):
+    """The frame detector of these tables: trained and stored once in an application, loaded by every query."""
+    return mlp.Detector.load(stored(spark, sf_dir)[0])
 
 
 def frame_predictions(spark, sf_dir):
-    detector = stored_detector(spark, sf_dir)
-    return mlp.predictions(detector.model, mlp.frame_inputs(split_frames(spark, sf_dir), detector.stats))
+    detector, frames = stored_detector(spark, sf_dir), stored(spark, sf_dir)[1]
+    return mlp.predictions(detector.model, mlp.frame_inputs(frames, detector.stats))
 
 
 @query("m01_frame_detector")
