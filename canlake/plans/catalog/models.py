@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from canlake.functions.encodings import id_value
@@ -194,22 +198,26 @@ def files_to_splits(spark, sf_dir):
 
     The first two captures of a corpus by name are its validation and test sessions.
     """
-    found, base = None, st.rendered(spark, sf_dir)
-    for corpus, schema, variant in CORPORA:
-        folder, canonical, output, sidecar = st.write_captures(spark, sf_dir, corpus, base), *(scratch_path(spark, n) for n in ("canonical", "splits", "sidecar"))
-        if corpus == "road_raw":
-            write_injections(st.injections(spark, sf_dir, base), sidecar)
-        rejects = stages.ingest(spark, folder, corpus, canonical, variant, metadata=sidecar if corpus == "road_raw" else None)
-        frames, layout = stages.prepare(spark.read.parquet(canonical), schema, variant, ["deltatime"])
-        held = [r[0] for r in layout.sessions.select("session_id").orderBy("session_id").limit(2).collect()]
-        stages.split(frames, output, schema, variant, val_sessions=held[:1], test_sessions=held[1:])
-        rows = spark.read.parquet(output).groupBy(F.col("split").alias("outcome"), "Class").agg(
-            F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("row_ids")
-        )
-        lost = rejects.groupBy(F.col("reject_reason").alias("outcome")).agg(F.sum("lines").alias("rows"))
-        one = rows.unionByName(lost, allowMissingColumns=True).select(F.lit(corpus).alias("corpus"), "outcome", "Class", "rows", "row_ids")
-        found = one if found is None else found.unionByName(one)
-    return found
+    base = st.rendered(spark, sf_dir)
+    with ThreadPoolExecutor(len(CORPORA)) as pool:
+        begun = [pool.submit(inheritable_thread_target(spark)(corpus_to_splits), spark, sf_dir, base, *corpus) for corpus in CORPORA]
+    return reduce(DataFrame.unionByName, [one.result() for one in begun])
+
+
+def corpus_to_splits(spark, sf_dir, base, corpus, schema, variant):
+    """One corpus from its files to its splits; corpora share nothing but the frames they are rendered from."""
+    folder, canonical, output, sidecar = st.write_captures(spark, sf_dir, corpus, base), *(scratch_path(spark, n) for n in ("canonical", "splits", "sidecar"))
+    if corpus == "road_raw":
+        write_injections(st.injections(spark, sf_dir, base), sidecar)
+    rejects = stages.ingest(spark, folder, corpus, canonical, variant, metadata=sidecar if corpus == "road_raw" else None)
+    frames, layout = stages.prepare(spark.read.parquet(canonical), schema, variant, ["deltatime"])
+    held = [r[0] for r in layout.sessions.select("session_id").orderBy("session_id").limit(2).collect()]
+    stages.split(frames, output, schema, variant, val_sessions=held[:1], test_sessions=held[1:])
+    rows = spark.read.parquet(output).groupBy(F.col("split").alias("outcome"), "Class").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("row_ids")
+    )
+    lost = rejects.groupBy(F.col("reject_reason").alias("outcome")).agg(F.sum("lines").alias("rows"))
+    return rows.unionByName(lost, allowMissingColumns=True).select(F.lit(corpus).alias("corpus"), "outcome", "Class", "rows", "row_ids")
 
 
 @query(

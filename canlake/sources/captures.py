@@ -48,9 +48,14 @@ def with_row_ids(parsed: DataFrame) -> DataFrame:
 
     Good lines per (file, split) are counted first.  Offsets add up along the splits
     of a file and along the files; only the file totals, one row per capture, meet
-    in one window.  Lines are then numbered inside their own split.
+    in one window.  In a split whose good lines have successive keys the place of a
+    line is its key's distance from the first one, so they stay where they lie; the
+    lines of other splits are numbered inside their own split.  A key occurs once in
+    a split.
     """
-    counts = parsed.groupBy("path", "file_block").agg(F.count(F.lit(1)).alias("n"))
+    counts = parsed.groupBy("path", "file_block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("line_key").alias("first_key"), F.max("line_key").alias("last_key")
+    )
     in_file = W.partitionBy("path").orderBy("file_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = settle(
         counts.withColumn("in_file", F.coalesce(F.sum("n").over(in_file), F.lit(0))), "file-blocks"
@@ -61,16 +66,20 @@ def with_row_ids(parsed: DataFrame) -> DataFrame:
     )
     starts = settle(
         blocks.join(files, "path").select(
-            "path", "file_block", (F.col("before_file") + F.col("in_file")).alias("start")
+            "path", "file_block", (F.col("before_file") + F.col("in_file")).alias("start"), "first_key",
+            (F.col("last_key") - F.col("first_key") + 1 == F.col("n")).alias("gapless"),
         ),
         "row-starts",
     )
-    inside = W.partitionBy("path", "file_block").orderBy("line_key")
+    # A split is known by its first row id from here on: sorting and moving a number, not a path.
+    placed = parsed.join(starts, ["path", "file_block"]).drop("path", "file_block")
+    inside = W.partitionBy("start").orderBy("line_key")
+    successive = placed.where("gapless").withColumn("_n", F.col("line_key") - F.col("first_key"))
+    others = placed.where("NOT gapless").withColumn("_n", F.row_number().over(inside) - 1)
     return (
-        parsed.withColumn("_n", F.row_number().over(inside) - 1)
-        .join(starts, ["path", "file_block"])
+        successive.unionByName(others)
         .withColumn("row_id", (F.col("start") + F.col("_n")).cast("long"))
-        .drop("_n", "start", "path", "file_block", "line_key")
+        .drop("_n", "start", "first_key", "gapless", "line_key")
     )
 
 

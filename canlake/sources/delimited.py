@@ -20,6 +20,7 @@ LABELLED_LINE = r"^.*?Timestamp:\s*(\S+)\s+ID:\s*(\S+)\s+\S+\s+DLC:\s*(\d+)\s*(.
 CICIOV_REQUIRED = ["ID", "label", "specific_class", *[f"DATA_{i}" for i in range(8)]]
 RAGGED_WIDTH = 12
 KNOWN_BYTE = "^([0-9a-f]{1,2}|[0-9A-F]{1,2})$"
+PLAIN_BYTES = r"\A(?:[0-9a-f]{2}(?:,[0-9a-f]{2})*|[0-9A-F]{2}(?:,[0-9A-F]{2})*)\z"
 HEX_TEXT = "^(0[xX])?[0-9A-Fa-f]+$"
 HEX_PREFIX = r"(^|,|\s)\s*0X"
 DECIMALS = r"\.[0-9]+(?=\s*(,|$))"
@@ -147,6 +148,14 @@ def parse_hcrl_text(lines: DataFrame) -> DataFrame:
     return canonical(rows.withColumn("reject_reason", reason))
 
 
+def split_at(text: Column, pattern: str, mark: str, other: str) -> Column:
+    """Splits at a pattern that matches more than ``mark`` only in texts that hold ``other``.
+
+    Spark compiles the pattern of a split for every row; most rows need a plain split.
+    """
+    return F.split(F.when(text.rlike(other), F.regexp_replace(text, pattern, mark)).otherwise(text), mark, -1)
+
+
 def byte_text(index: int) -> Column:
     return F.nullif(F.get("bytes", F.lit(index)), F.lit(""))
 
@@ -161,7 +170,7 @@ def parse_hcrl(lines: DataFrame) -> DataFrame:
 
 def parse_survival(lines: DataFrame) -> DataFrame:
     """Comma lines with the payload either in one spaced cell or in cells before a flag."""
-    rows = once(filled(lines), "cells", F.split(F.trim("value"), r"\s*,\s*", -1))
+    rows = once(filled(lines), "cells", split_at(F.trim("value"), r"\s*,\s*", ",", r"\s,|,\s"))
     count = F.size("cells")
     fourth, last = F.get("cells", F.lit(3)), F.upper(F.get("cells", count - 1))
     rows = rows.withColumns(
@@ -172,12 +181,16 @@ def parse_survival(lines: DataFrame) -> DataFrame:
         }
     )
     wide = F.greatest(count - 3 - F.col("flagged").cast("int"), F.lit(0))
-    parts = F.when(F.col("spaced"), F.split(fourth, r"\s+")).otherwise(F.slice("cells", F.lit(4), wide))
+    parts = F.when(F.col("spaced"), split_at(fourth, r"\s+", " ", r"\s\s|[\t\n\x0B\f\r]")).otherwise(F.slice("cells", F.lit(4), wide))
     rows = once(rows, "bytes", parts)
+    # A byte holds no comma.  One look at a line of plain bytes instead of one at each byte.
+    plain = (F.size("bytes") <= len(BYTE_COLUMNS)) & F.array_join("bytes", ",").rlike(PLAIN_BYTES)
+    rows = once(rows, "plain", plain)
     data = {}
     for i, name in enumerate(BYTE_COLUMNS):
         text = F.get("bytes", F.lit(i))
-        data[name] = F.when(text.rlike(KNOWN_BYTE), F.lpad(F.upper(text), 2, "0")).otherwise(PAD)
+        known = F.when(F.col("plain"), F.lit(i) < F.size("bytes")).otherwise(text.rlike(KNOWN_BYTE))
+        data[name] = F.when(known, F.lpad(F.upper(text), 2, "0")).otherwise(PAD)
     family = labels.survival_family(F.col("session_id"))
     raw_id = F.get("cells", F.lit(1))
     rows = rows.withColumns(

@@ -37,7 +37,7 @@ def read_lines(spark: SparkSession, folder: str, dialect: str) -> DataFrame:
         .option("pathGlobFilter", dialect_glob(dialect))
         .text(folder)
         .select(
-            F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")).alias("path"),
+            plain_path(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_block_start").alias("file_block"),
             F.monotonically_increasing_id().alias("line_key"),
             "value",
@@ -46,16 +46,26 @@ def read_lines(spark: SparkSession, folder: str, dialect: str) -> DataFrame:
     )
 
 
+# A path is taken apart on every line of its file, so without regular expressions.
+def plain_path(path: Column) -> Column:
+    """The path of a file's URL."""
+    coded = path.contains("%") | path.contains("+")
+    return F.when(coded, F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
+
+
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def file_stem(path: Column) -> Column:
-    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
+    """The file name up to its last dot; a dot in front begins no extension."""
+    name = file_name(path)
+    stem = F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1
+    return F.when(stem > 0, F.substring(name, F.lit(1), stem)).otherwise(name)
 
 
 def parent_folder(path: Column) -> Column:
-    return F.coalesce(F.get(F.reverse(F.split(path, "/")), F.lit(1)), F.lit(""))
+    return F.when(path.contains("/"), F.substring_index(F.substring_index(path, "/", -2), "/", 1)).otherwise("")
 
 
 def glob_regex(pattern: str, across_folders: bool) -> str:

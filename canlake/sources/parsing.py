@@ -29,7 +29,7 @@ def matched(lines: DataFrame, pattern: str, groups: int) -> DataFrame:
 
     One regular expression per line; ``well_formed`` is false where it did not match.
     """
-    text = F.translate(F.trim("value"), SEPARATOR, "?")
+    text = F.replace(F.trim("value"), F.lit(SEPARATOR), F.lit("?"))
     marks = "".join(f"{SEPARATOR}${i + 1}" for i in range(groups))
     parts = F.split(F.regexp_replace(text, pattern, marks), SEPARATOR, -1)
     return once(filled(lines), "m", parts).withColumn("well_formed", F.size("m") == groups + 1)
@@ -140,4 +140,5 @@ def with_capture_facts(fields: DataFrame, family: Column) -> DataFrame:
 
 def beyond(cells: Column, width: int) -> Column:
     """Whether there is a filled cell after the first ``width``."""
-    return F.exists(F.slice(cells, width + 1, F.greatest(F.size(cells) - width, F.lit(0))), lambda x: F.trim(x) != "")
+    rest = F.slice(cells, width + 1, F.greatest(F.size(cells) - width, F.lit(0)))
+    return (F.size(cells) > width) & (F.trim(F.array_join(rest, "")) != "")
